@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,59 @@ def slices(sizes: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def in_buckets(rows: DataFrame, bucket: str, spread: str, work: Callable[[pa.Table], pa.Table], schema: str, total: int, most: int = 2048) -> DataFrame:
+    """work applied to groups of whole buckets of rows, sorted by (bucket, lo, hi); every two rows of a bucket meet in one group at least.
+
+    A bucket of over `most` rows is dealt by `spread` into blocks of about that many, and each pair of blocks (lo, hi) becomes a
+    bucket of its own: a row goes to as many of them as there are blocks, so no task holds more than two blocks of a bucket. work
+    gets the added columns blk, lo and hi and pairs rows of equal (bucket, lo, hi) where lo = hi or their blk differ. total:
+    the number of rows, from which the number of groups follows.
+    """
+    large = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).withColumnRenamed(bucket, "_bucket")
+    blocks = F.coalesce(F.ceil(F.col("_n") / most), F.lit(1))
+    dealt = (
+        rows.join(large, F.col(bucket) == F.col("_bucket"), "left")
+        .withColumn("_blocks", blocks)
+        .withColumn("blk", F.pmod(F.xxhash64(F.lit(7), F.col(spread)), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1)))
+        .withColumn("lo", F.least("blk", "_other"))
+        .withColumn("hi", F.greatest("blk", "_other"))
+        .drop("_n", "_bucket", "_blocks", "_other")
+    )
+    groups = max(1, -(-total // (8 * most)))
+
+    def sorted_work(table: pa.Table) -> pa.Table:
+        return work(table.sort_by([(bucket, "ascending"), ("lo", "ascending"), ("hi", "ascending")]))
+
+    return dealt.groupBy(F.pmod(F.xxhash64(bucket, "lo", "hi"), F.lit(groups)).alias("_group")).applyInArrow(sorted_work, schema)
+
+
+class Forest:
+    """Union of row numbers, for pairs that come as arrays."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def _find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = self.root[a] != self.root[b]
+        for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            x, y = self._find(x), self._find(y)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+        while True:
+            above = self.root[self.root]
+            if (above == self.root).all():
+                break
+            self.root = above
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component) with the smallest reachable node, for every node of an edge.
 
@@ -82,7 +136,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     pairs = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     for _ in range(most_rounds):
         both = pairs.union(pairs.select("v", "u"))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large-star: the neighbours above u, and u's own lower neighbours by their own turn, hang on the lowest
         large = both.where("v > u").join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe
+from granary.llm import bpe, simhash
 from granary.llm.common import documents
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest document that near-copies lead to."""
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text to ids and back, with digests of both."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,7 +31,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_byte_bpe": op8_byte_bpe}
+    return {
+        "op3_simhash": op3_simhash,
+        "op8_byte_bpe": op8_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
