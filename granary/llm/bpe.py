@@ -7,8 +7,9 @@ probe. Tier two takes the misses: a heap of ranked neighbour merges over a doubl
 from __future__ import annotations
 
 import base64
-import heapq
 import re
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -92,11 +93,19 @@ class PerfectHash:
         return [self.slot_key[s] for s in at.tolist()]
 
 
+class Numbering(dict):
+    """Numbers its keys from 0 in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class TwoTierBpe:
     """Encoder and decoder for a file of ranks (base64 of a token's bytes, a space, its rank, on each line)."""
 
     #: Encoded misses that are kept; the older half goes when they are as many.
-    MEMO = 240_000
+    MEMO = 600_000
 
     def __init__(self, ranks_path: str):
         with open(ranks_path, "rb") as lines:
@@ -110,21 +119,22 @@ class TwoTierBpe:
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of a pre-token: neighbours merge, lowest rank first and leftmost among equals, until no pair is in the vocabulary."""
-        ranks, n = self.ranks, len(word)
-        end, before = list(range(1, n + 1)), list(range(-1, n))
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        rank, n = self.ranks.get, len(word)
+        end, before = list(range(1, n + 2)), list(range(-1, n))
+        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, mid, stop = heapq.heappop(heap)
+            _, i, mid, stop = heappop(heap)
             if end[i] != mid or end[mid] != stop:
                 continue
             end[i], end[mid] = stop, -1
             if stop < n:
                 before[stop] = i
-                if (r := ranks.get(word[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, stop, end[stop]))
-            if (h := before[i]) >= 0 and (r := ranks.get(word[h:stop])) is not None:
-                heapq.heappush(heap, (r, h, i, stop))
+                if (r := rank(word[i : end[stop]])) is not None:
+                    heappush(heap, (r, i, stop, end[stop]))
+            if (h := before[i]) >= 0 and (r := rank(word[h:stop])) is not None:
+                heappush(heap, (r, h, i, stop))
+        ranks = self.ranks
         out, i = [], 0
         while i < n:
             out.append(ranks[word[i : end[i]]])
@@ -134,9 +144,10 @@ class TwoTierBpe:
     def resolve(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of distinct pre-tokens: the perfect hash answers for whole entries, the heap for the rest."""
         out: list[tuple[int, ...]] = []
+        tokens, ids = self.tokens, self.ids
         for word, k in zip(words, self.hash.lookup(words), strict=True):
-            if self.tokens[k] == word:
-                out.append((self.ids[k],))
+            if tokens[k] == word:
+                out.append((ids[k],))
                 continue
             got = self._young.get(word) or self._old.get(word)
             if got is None:
@@ -151,17 +162,13 @@ class TwoTierBpe:
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and each text's number of ids."""
         split = [pre_tokens(t) for t in texts]
-        number: dict[str, int] = {}
-        for tokens in split:
-            for t in tokens:
-                if t not in number:
-                    number[t] = len(number)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        number = Numbering()
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         ids = self.resolve([t.encode() for t in number])
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
         first = np.cumsum(size) - size
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((number[t] for tokens in split for t in tokens), np.int64, int(counts.sum()))
         n = size[at]
         ends = np.cumsum(n)
         out = flat[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
