@@ -112,7 +112,11 @@ class TwoTierBpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = list(self.ranks)
         self.ids = list(self.ranks.values())
-        self.bytes_of = {i: t for t, i in self.ranks.items()}
+        most = max(self.ids, default=-1) + 1
+        self.width, self.first = np.full(most, -1, np.int32), np.zeros(most, np.int32)
+        self.buffer = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.width[self.ids] = own = np.fromiter(map(len, self.tokens), np.int32, len(self.tokens))
+        self.first[self.ids] = np.cumsum(own) - own
         self.hash = PerfectHash(self.tokens)
         self._young: dict[bytes, tuple[int, ...]] = {}
         self._old: dict[bytes, tuple[int, ...]] = {}
@@ -175,8 +179,13 @@ class TwoTierBpe:
         bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
         return out, np.diff(bounds)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids in one array, and each text's number of bytes."""
+        n = self.width[ids]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.buffer[np.repeat(self.first[ids] - (ends - n), n) + np.arange(total, dtype=np.int32)]
+        return out, np.diff(np.r_[0, ends][np.r_[0, np.cumsum(counts)]])
 
 
 _loaded: dict[str, TwoTierBpe] = {}
@@ -195,7 +204,7 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
     def work(batch: pa.RecordBatch):
         bpe = load(ranks_path)
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        for a, b in common.slices([len(t) for t in texts]):
+        for a, b in common.slices([len(t) for t in texts], 3 * common.SLICE_CHARS):
             ids, counts = bpe.encode_batch(texts[a:b])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], [key, "ids"])
@@ -205,15 +214,17 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
 
 
 def decode(df: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """df's key and ids with a binary column decoded: the bytes that the ids stand for; null ids count as none. An id outside the vocabulary raises KeyError."""
+    """df's key and ids with a binary column decoded: the bytes that the ids stand for; null ids count as none. An id outside the vocabulary is an error."""
 
     def work(batch: pa.RecordBatch):
         bpe = load(ranks_path)
-        column = batch.column(1)
-        sizes = [n or 0 for n in column.value_lengths().to_pylist()] if batch.num_rows else []
-        for a, b in common.slices(sizes, common.SLICE_CHARS // 3):
+        column = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        for a, b in common.slices(sizes.tolist(), common.SLICE_CHARS):
             part = column[a:b]
-            got = pa.array([bpe.decode(x or []) for x in part.to_pylist()], pa.binary())
+            own, counts = bpe.decode_batch(part.flatten().to_numpy(zero_copy_only=False), sizes[a:b])
+            ends = pa.py_buffer(np.r_[0, np.cumsum(counts)].astype(np.int32).tobytes())
+            got = pa.Array.from_buffers(pa.binary(), b - a, [None, ends, pa.py_buffer(own.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], part, got], [key, ids, "decoded"])
 
     kind = df.schema[key].dataType.simpleString()
