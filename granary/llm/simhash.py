@@ -136,7 +136,7 @@ def plan(reps: DataFrame, distance: int, most_parts: int | None = None) -> tuple
     """
     n, both = bit_counts(reps)
     if n < 2:
-        return n, [(list(range(BITS)), distance)]
+        return n, [(bits, 0) for bits in group_bits(n, both, distance + 1)]
     p = np.diag(both) / n
     differ = 2 * p * (1 - p)
     chosen: tuple[float, list[tuple[list[int], int]]] | None = None
