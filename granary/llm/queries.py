@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, simhash
+from granary.llm import bpe, lattice, simhash
 from granary.llm.common import documents
 
 
+def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its number of links, its component and whether it is the one to keep."""
+    found = lattice.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest document that near-copies lead to."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
@@ -32,6 +38,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_lattice": op2_lattice,
         "op3_simhash": op3_simhash,
         "op8_byte_bpe": op8_byte_bpe,
     }
