@@ -93,14 +93,6 @@ class PerfectHash:
         return [self.slot_key[s] for s in at.tolist()]
 
 
-class Numbering(dict):
-    """Numbers its keys from 0 in the order in which they are first asked for."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 class TwoTierBpe:
     """Encoder and decoder for a file of ranks (base64 of a token's bytes, a space, its rank, on each line)."""
 
@@ -167,7 +159,7 @@ class TwoTierBpe:
         """All ids in one array, and each text's number of ids."""
         split = [pre_tokens(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        number = Numbering()
+        number = common.Numbering()
         at = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         ids = self.resolve([t.encode() for t in number])
         size = np.fromiter(map(len, ids), np.int64, len(ids))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,7 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/granary-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what led here
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -125,6 +128,27 @@ class Forest:
             self.root = above
 
 
+class Numbering(dict):
+    """Numbers its keys from 0 in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def number_words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Of all texts' words in a row their numbers, the distinct words by number, and each text's number of words."""
+    split = [t.split() for t in texts]
+    counts = np.fromiter(map(len, split), np.int64, len(split))
+    number = Numbering()
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+    return ids, list(number), counts
+
+
+def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component) with the smallest reachable node, for every node of an edge.
 

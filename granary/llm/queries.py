@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, lattice, simhash
+from granary.llm import bpe, hosts, lattice, simhash, spans
 from granary.llm.common import documents
 
 
@@ -24,6 +24,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 50 words that a smaller document has."""
+    found = spans.remove_repeated(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its rule measures and the verdict of its text and host."""
+    return hosts.judge(documents(spark, sf_dir)).select("doc_id", *hosts.MEASURES, "base_failed", "kept")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text to ids and back, with digests of both."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -40,9 +51,74 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_lattice": op2_lattice,
         "op3_simhash": op3_simhash,
+        "op7_spans": op7_spans,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_host_rules": op9_host_rules,
     }
 
 
+# Each word of each document with its place, from 1.
+_WORDS = r"""
+words as (
+  select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos
+  from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents)
+)"""
+
+_OP7 = f"""
+with {_WORDS},
+windows as (
+  select doc_id, pos, string_agg(word, ' ') over w as words, count(*) over w as n
+  from words window w as (partition by doc_id order by pos rows between current row and 49 following)
+),
+repeated as (
+  select doc_id, pos from (select doc_id, pos, min(doc_id) over (partition by md5(words)) as low from windows where n = 50) where low < doc_id
+),
+marked as (
+  select w.doc_id, w.pos, w.word, max(case when r.pos is not null then w.pos end) over (partition by w.doc_id order by w.pos) as latest
+  from words w left join repeated r using (doc_id, pos)
+)
+select d.doc_id, count(m.pos) as n_words, count(m.pos) filter (where m.latest is not null and m.pos - m.latest < 50) as n_removed,
+  sha256(coalesce(string_agg(m.word, ' ' order by m.pos) filter (where m.latest is null or m.pos - m.latest >= 50), '')) as kept_sha256
+from documents d left join marked m using (doc_id) group by d.doc_id
+"""
+
+_OP9 = rf"""
+with {_WORDS},
+windows as (
+  select doc_id, pos, string_agg(word, ' ') over w as words, count(*) over w as n
+  from words window w as (partition by doc_id order by pos rows between current row and 4 following)
+),
+repeated as (select doc_id, pos from (select doc_id, pos, count(*) over (partition by doc_id, words) as c from windows where n = 5) where c > 1),
+covered as (
+  select w.doc_id, w.pos, w.word, max(case when r.pos is not null then w.pos end) over (partition by w.doc_id order by w.pos) as latest
+  from words w left join repeated r using (doc_id, pos)
+),
+counted as (
+  select doc_id, count(*) as n_words, sum(length(word))::bigint as word_chars, count(*) filter (where latest is not null and pos - latest < 5) as n_repeat_words
+  from covered group by doc_id
+),
+lines as (
+  select doc_id, count(*) - count(distinct line) as n_dup_lines
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents)
+  where regexp_matches(line, '[^ 	-
+]') group by doc_id
+),
+measured as (
+  select d.doc_id, d.source, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars,
+    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) as n_symbols,
+    coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  from documents d left join counted using (doc_id) left join lines using (doc_id)
+),
+judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from measured),
+hosts as (select source, sum(base_failed::int)::double as failed, count(*)::double as total from judged where source is not null group by source),
+sums as (select sum(failed) as f, sum(total) as n, count(*) as k, sum(failed * failed / total) as q from hosts),
+means as (select *, least(greatest(f / n, 1e-6), 1 - 1e-6) as m from sums),
+prior as (select m, least(greatest(m * (1 - m) / greatest(q / n - m * m - m * (1 - m) * k / n, 1e-9) - 1, 2.0), 1e6) as s from means),
+rates as (select source, (failed + m * s) / (total + s) as rate from hosts, prior)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(rate, 0) <= 0.5 as kept
+from judged left join rates using (source)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_spans": _OP7, "op9_host_rules": _OP9}
