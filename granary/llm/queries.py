@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, hosts, lattice, simhash, spans
-from granary.llm.common import documents
+from granary.llm import bpe, hosts, language, lattice, simhash, spans
+from granary.llm.common import documents, held_out
 
 
 def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from those outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.where(~held_out("doc_id", 4)))
+    return language.identify(docs, model).select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
+
+
 def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the windows of 50 words that a smaller document has."""
     found = spans.remove_repeated(documents(spark, sf_dir))
@@ -51,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_lattice": op2_lattice,
         "op3_simhash": op3_simhash,
+        "op6_language": op6_language,
         "op7_spans": op7_spans,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_host_rules": op9_host_rules,
