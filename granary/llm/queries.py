@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, hosts, language, lattice, simhash, spans
+from granary.llm import bpe, grade, hosts, language, lattice, simhash, spans
 from granary.llm.common import documents, held_out
 
 
+#: Documents that are less likely to be good are rejected; low, so that good ones stay.
+LEAST_GOOD = 0.2
+
+
 def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector with its number of links, its component and whether it is the one to keep."""
     found = lattice.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -24,6 +28,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade (0 toxic, 1 poor, 2 good), its probability of being good, and the verdict, learned from the labels outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    ratings = grade.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = grade.fit(docs, ratings.where(~held_out("doc_id", 5)))
+    return grade.rate(docs, model, tail=2, least=LEAST_GOOD).select("doc_id", held_out("doc_id", 5).alias("held_out"), "expected_grade", F.col("tail").alias("p_good"), "kept")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from those outside the held-out fold."""
     docs = documents(spark, sf_dir)
@@ -58,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_lattice": op2_lattice,
         "op3_simhash": op3_simhash,
+        "op4_grade": op4_grade,
         "op6_language": op6_language,
         "op7_spans": op7_spans,
         "op8_byte_bpe": op8_byte_bpe,
