@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, grade, hosts, language, lattice, simhash, spans
+from granary.llm import bpe, grade, hosts, language, lattice, packing, simhash, spans
 from granary.llm.common import documents, held_out
 
 
@@ -36,6 +36,11 @@ def op4_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade.rate(docs, model, tail=2, least=LEAST_GOOD).select("doc_id", held_out("doc_id", 5).alias("held_out"), "expected_grade", F.col("tail").alias("p_good"), "kept")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2,048 tokens."""
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from those outside the held-out fold."""
     docs = documents(spark, sf_dir)
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lattice": op2_lattice,
         "op3_simhash": op3_simhash,
         "op4_grade": op4_grade,
+        "op5_packing": op5_packing,
         "op6_language": op6_language,
         "op7_spans": op7_spans,
         "op8_byte_bpe": op8_byte_bpe,
