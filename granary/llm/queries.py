@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, grade, hosts, language, lattice, packing, simhash, spans
+from granary.llm import bpe, grade, hosts, language, lattice, lm, packing, simhash, spans
 from granary.llm.common import documents, held_out
 
 
+def op1_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability by counts and by the model, learned outside the held-out fold."""
+    held = held_out("doc_id", 7)
+    found = lm.score(documents(spark, sf_dir), held)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: Documents that are less likely to be good are rejected; low, so that good ones stay.
 LEAST_GOOD = 0.2
 
@@ -73,6 +80,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_log_bilinear": op1_log_bilinear,
         "op2_lattice": op2_lattice,
         "op3_simhash": op3_simhash,
         "op4_grade": op4_grade,
