@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, grade, hosts, language, lattice, lm, packing, simhash, spans
+from granary.llm import bpe, grade, hosts, language, lattice, lm, packing, simhash, spans, wrappers
 from granary.llm.common import documents, held_out
 
 
@@ -78,6 +78,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    found = wrappers.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_log_bilinear": op1_log_bilinear,
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_spans": op7_spans,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_host_rules": op9_host_rules,
+        "op10_wrappers": op10_wrappers,
     }
 
 
