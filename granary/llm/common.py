@@ -58,6 +58,21 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
     return df.mapInArrow(over, schema)
 
 
+def beside(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """batch without its text but with more columns."""
+    names = [n for n in batch.schema.names if n != "_text"]
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns.values()], [*names, *columns])
+
+
+def carried(df: DataFrame, key: str, text: str, carry: tuple[str, ...], fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], made: dict[str, tuple[str, str]]) -> DataFrame:
+    """fn over batches of df's key, the columns to carry and _text; made: of each column that fn adds, its name in the result and its type."""
+    names = list(dict.fromkeys((key, *carry)))
+    plain = df.select(*(F.col(n).alias(f"_c{i}") for i, n in enumerate(names)), F.col(text).alias("_text"))
+    schema = ", ".join([f"_c{i} {df.schema[n].dataType.simpleString()}" for i, n in enumerate(names)] + [f"{m} {kind}" for m, (_, kind) in made.items()])
+    out = arrow_map(plain, fn, schema)
+    return out.toDF(*names, *(name for name, _ in made.values()))
+
+
 def binary(column: pa.Array) -> list[bytes]:
     """A string column's UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]

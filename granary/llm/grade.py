@@ -181,8 +181,8 @@ def fit(df: DataFrame, ratings: DataFrame, grades: int = 3, key: str = "doc_id",
     return Model(kinds[keep], w, thresholds)
 
 
-def rate(df: DataFrame, model: Model, tail: int, least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, expected_grade, tail, kept), one for each row of df: the probability of grade `tail` or above, and whether it is `least` or more.
+def rate(df: DataFrame, model: Model, tail: int, least: float = 0.5, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, expected_grade, tail, kept) and the columns to carry, one for each row of df: the probability of grade `tail` or above, and whether it is `least` or more.
 
     Null texts count as empty. Where nothing was learned every document is taken for the highest grade.
     """
@@ -190,12 +190,11 @@ def rate(df: DataFrame, model: Model, tail: int, least: float = 0.5, key: str =
 
     def work(batch: pa.RecordBatch):
         scorer = _scorers.get(id(shared.value)) or _scorers.setdefault(id(shared.value), Scorer(shared.value))
-        p = shared.value.tails(np.array([scorer.latent(t or "") for t in batch.column(1).to_pylist()]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array(p[:, tail - 1])], ["key", "expected_grade", "tail"])
+        p = shared.value.tails(np.array([scorer.latent(t or "") for t in batch.column("_text").to_pylist()]))
+        yield common.beside(batch, {"_grade": pa.array(p.sum(1)), "_tail": pa.array(p[:, tail - 1])})
 
-    plain = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    got = common.arrow_map(plain, work, f"key {df.schema[key].dataType.simpleString()}, expected_grade double, tail double")
-    return got.withColumn("kept", F.col("tail") >= least).withColumnRenamed("key", key)
+    got = common.carried(df, key, text, carry, work, {"_grade": ("expected_grade", "double"), "_tail": ("tail", "double")})
+    return got.withColumn("kept", F.col("tail") >= least)
 
 
 _scorers: dict[int, Scorer] = {}

@@ -165,18 +165,17 @@ def fit(df: DataFrame, text: str = "text", language: str = "lang", key: str = "d
     return Model(buckets, scale, families, pairs, np.stack([w for w, _ in machines], 1), np.array([b for _, b in machines]))
 
 
-def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, lang_pred, score), one for each row of df, from its text alone: a learned language and a score from 0 to 1.
+def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, lang_pred, score) and the columns to carry, one for each row of df, from its text alone: a learned language and a score from 0 to 1.
 
     Null texts and texts without a letter are `und` with score 0, and so is everything if nothing was learned.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # a few machines of `buckets` numbers, whatever the input
 
     def work(batch: pa.RecordBatch):
-        texts = [t or "" for t in batch.column(1).to_pylist()]
+        texts = [t or "" for t in batch.column("_text").to_pylist()]
         for a, b in common.slices([len(t) for t in texts]):
             names, score = shared.value.predict(texts[a:b])
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(names, pa.string()), pa.array(score)], ["key", "lang_pred", "score"])
+            yield common.beside(batch[a:b], {"_lang": pa.array(names, pa.string()), "_score": pa.array(score)})
 
-    plain = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return common.arrow_map(plain, work, f"key {df.schema[key].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("key", key)
+    return common.carried(df, key, text, carry, work, {"_lang": ("lang_pred", "string"), "_score": ("score", "double")})

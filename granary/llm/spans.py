@@ -130,7 +130,7 @@ def _settle(length: int):
                 for name, value in zip(("n_words", "n_removed", "kept"), result, strict=True):
                     out[name].append(value)
             kept = pa.array(out["kept"], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), kept, pa.array(out["gone"], pa.list_(span)), pa.array(out["edges"], pa.list_(edge))], ["key", "n_words", "n_removed", "kept", "gone", "edges"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), kept, pa.array(out["gone"], pa.list_(span)), pa.array(out["edges"], pa.list_(edge)), batch.column(3)[a:b]], ["key", "n_words", "n_removed", "kept", "gone", "edges", "more"])
 
     return work
 
@@ -145,30 +145,33 @@ def _close(length: int):
                 last = np.array([m["start"] + m["windows"] - 1 for m in gone] + (starts or []), np.int64)
                 done.append(_finish(text, first, last + length))
             n, removed, kept = zip(*done, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["key", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(4)[a:b]], ["key", "n_words", "n_removed", "kept", "more"])
 
     return work
 
 
-def remove_repeated(df: DataFrame, length: int = 50, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, n_words, n_removed, kept), one for each row of df: the words left, joined by one space.
+def remove_repeated(df: DataFrame, length: int = 50, k: int = 10, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, n_words, n_removed, kept) and the columns to carry, one for each row of df: the words left, joined by one space.
 
     A word goes if a window of `length` words over it also starts in a row with a smaller key; windows are taken from the input.
     Null and empty texts have no words. A row with a null key neither loses words nor makes others lose any. Repeated rows
     (equal key and text) do not count against each other; keys are integers and name one text.
     """
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    more = F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(carry))) if carry else F.struct(F.lit(0).alias("_0"))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), more.alias("more"))
+    kind = rows.schema["more"].dataType.simpleString()
     runs = common.stored(paths(rows, length, k))
     classes = runs.groupBy("minimizer", "whole").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     through = classes.groupBy("minimizer").agg(F.count(F.lit(1)).alias("classes"), F.min("low").alias("lowest"), F.max("high").alias("highest")).where("lowest < highest").select("minimizer", "classes")
     shared = common.stored(classes.join(through, "minimizer").where("classes > 1 or low < high"))
     met = runs.join(shared, ["minimizer", "whole"]).where("key > low or classes > 1")
     marks = met.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", F.col("windows").cast("int").alias("windows"), "minimizer", (F.col("key") == F.col("low")).alias("open"))).alias("marks"))
-    joined = rows.join(marks.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "text", "marks")
-    some = common.stored(common.arrow_map(joined, _settle(length), f"key long, {_SETTLED}, gone array<struct<start int, windows int>>, edges array<struct<minimizer long, edge long, start int>>"))
+    joined = rows.join(marks.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "text", "marks", "more")
+    some = common.stored(common.arrow_map(joined, _settle(length), f"key long, {_SETTLED}, gone array<struct<start int, windows int>>, edges array<struct<minimizer long, edge long, start int>>, more {kind}"))
     edges = some.where("edges is not null").select("key", F.explode("edges").alias("e")).select("key", "e.*")
     earliest = edges.groupBy("minimizer", "edge").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").drop("high")
     later = edges.join(earliest, ["minimizer", "edge"]).where("key > low").groupBy(F.col("key").alias("_key")).agg(F.collect_list("start").alias("starts"))
-    pending = some.where("edges is not null").join(later.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "kept", "gone", "starts")
-    closed = common.arrow_map(pending, _close(length), f"key long, {_SETTLED}")
-    return some.where("edges is null").select("key", "n_words", "n_removed", "kept").union(closed).withColumnRenamed("key", key)
+    pending = some.where("edges is not null").join(later.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "kept", "gone", "starts", "more")
+    closed = common.arrow_map(pending, _close(length), f"key long, {_SETTLED}, more {kind}")
+    out = some.where("edges is null").select("key", "n_words", "n_removed", "kept", "more").union(closed)
+    return out.select(F.col("key").alias(key), "n_words", "n_removed", "kept", *(F.col(f"more._{i}").alias(c) for i, c in enumerate(carry)))
