@@ -29,8 +29,8 @@ class Setup:
     endings: int = 350
     rest: int = 12
     width: int = 16
-    context: int = 4
-    noise: int = 64
+    context: int = 2
+    noise: int = 48
     batch: int = 4096
     rate: float = 0.4
     warm_up_rows: int = 400
@@ -75,21 +75,31 @@ class Model:
             p += self.C[j] * self.R[context[:, j]]
         return p
 
-    def log10(self, context: np.ndarray, target: np.ndarray, rows: int = 4096) -> np.ndarray:
-        """Normalised log-probabilities: each batch of contexts against all units at once."""
-        out = np.empty(len(target))
+    def log_norm(self, context: np.ndarray, rows: int = 1024) -> np.ndarray:
+        """Logarithms of the contexts' normalisers: each batch of contexts against all units at once."""
+        out = np.empty(len(context))
         QT = np.ascontiguousarray(self.Q.T)
         longest, top = np.sqrt((self.Q * self.Q).sum(1).max()), np.abs(self.b).max()
-        for a in range(0, len(target), rows):
-            own = target[a : a + rows]
+        for a in range(0, len(context), rows):
             p = self.predicted(context[a : a + rows])
             s = p @ QT
             s += self.b
-            if np.sqrt((p * p).sum(1).max()) * longest + top > 60:  # else no exponential can overflow
-                s -= s.max(1, keepdims=True)
-            hit = s[np.arange(len(own)), own].astype(np.float64)
+            most = s.max(1, keepdims=True) if np.sqrt((p * p).sum(1).max()) * longest + top > 60 else 0  # else no exponential can overflow
+            s -= most
             np.exp(s, out=s)
-            out[a : a + rows] = hit - np.log(s.sum(1))
+            out[a : a + rows] = np.log(s.sum(1)) + np.ravel(most)
+        return out
+
+    def log10(self, context: np.ndarray, target: np.ndarray, rows: int = 1 << 16) -> np.ndarray:
+        """Normalised log-probabilities; every distinct context is normalised once."""
+        code = np.zeros(len(target), np.int64)
+        for j in range(context.shape[1]):
+            code = code * len(self.R) + context[:, j]
+        _, first, place = np.unique(code, return_index=True, return_inverse=True)
+        out = -self.log_norm(context[first])[place]
+        for a in range(0, len(target), rows):
+            own = target[a : a + rows]
+            out[a : a + rows] += np.einsum("ij,ij->i", self.predicted(context[a : a + rows]), self.Q[own]) + self.b[own]
         return out / np.log(10)
 
 
@@ -307,7 +317,7 @@ def _score(shared, schema_names: list[str]):
         c, unit = vocabulary.column("c").to_numpy(), vocabulary.column("unit").to_numpy()
         base, inner = vocabulary.column("base").to_numpy(), vocabulary.column("inner").to_numpy()
         texts = common.binary(docs.column("text").combine_chunks())
-        for a, b in common.slices([len(t) for t in texts]):
+        for a, b in common.slices([len(t) for t in texts], 4 * common.SLICE_CHARS):
             ids, words, counts = _split(texts[a:b])
             at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))[ids]
             own = unit[at].astype(np.int32)

@@ -37,7 +37,7 @@ def test_query_counts_are_exact_and_the_model_beats_counts(spark, tmp_path):
 
 
 def test_probabilities_add_up_to_one_over_units():
-    setup = lm.Setup(words=5, endings=4, rest=2)
+    setup = lm.Setup(words=5, endings=4, rest=2, context=4)
     model = lm.Model.start(np.arange(11.0), setup)
     context = np.array([[1, 2, 3, 4]] * 11, np.int32)
     p = 10 ** model.log10(context, np.arange(11))
