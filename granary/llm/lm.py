@@ -136,9 +136,14 @@ class Trainer:
             parts = [m.R[c[:, j]] for j in range(c.shape[1])]
             p = sum(m.C[j] * parts[j] for j in range(len(parts)))
             qw, qz = m.Q[w], m.Q[z]
-            up = 1 / (1 + np.exp(np.clip((p * qw).sum(1) + m.b[w] - self.log_noise[w], -30, 30)))
-            down = -1 / (1 + np.exp(np.clip(self.log_noise[z] - (p @ qz.T + m.b[z]), -30, 30)))
-            up, down = up.astype(np.float32) * n, down.astype(np.float32) * n
+            up = np.einsum("ij,ij->i", p, qw)
+            up += (m.b - self.log_noise)[w]
+            down = p @ qz.T
+            down += (m.b - self.log_noise)[z]
+            with np.errstate(over="ignore"):  # an infinite exponential makes the share 0, as it should
+                np.exp(up, out=up)
+                np.exp(np.negative(down, out=down), out=down)
+            up, down = n / (1 + up), -n / (1 + down)
             by_p = up[:, None] * qw + down @ qz
             at, grad = _scatter(m.Q.shape, w, np.concatenate([up[:, None] * p, up[:, None]], 1))
             atz, gradz = _scatter(m.Q.shape, z, np.concatenate([down.T @ p, down.sum(0)[:, None]], 1))
@@ -146,7 +151,7 @@ class Trainer:
             total[at] += grad
             total[atz] += gradz
             both = np.union1d(at, atz)
-            by_c = np.stack([(by_p * x).sum(0) for x in parts])
+            by_c = np.stack([np.einsum("ij,ij->j", by_p, x) for x in parts])
             by_r = np.zeros_like(m.R)
             for j in range(len(parts)):
                 rows, grad = _scatter(m.R.shape, c[:, j], by_p * m.C[j])
@@ -279,7 +284,7 @@ def train(docs: DataFrame, units: Units, setup: Setup) -> Model:
     start = Model.start(units.counts, setup)
 
     def learn(trainer: Trainer, find, texts: list[bytes]) -> None:
-        for a, b in common.slices([len(t) for t in texts]):
+        for a, b in common.slices([len(t) for t in texts], 2 * common.SLICE_CHARS):
             ids, words, counts = _split(texts[a:b])
             own = np.fromiter(map(find, words), np.int32, len(words))[ids]
             trainer.learn(contexts(own, counts, 0, setup.context), own)
@@ -317,7 +322,7 @@ def _score(shared, schema_names: list[str]):
         c, unit = vocabulary.column("c").to_numpy(), vocabulary.column("unit").to_numpy()
         base, inner = vocabulary.column("base").to_numpy(), vocabulary.column("inner").to_numpy()
         texts = common.binary(docs.column("text").combine_chunks())
-        for a, b in common.slices([len(t) for t in texts], 4 * common.SLICE_CHARS):
+        for a, b in common.slices([len(t) for t in texts], 2 * common.SLICE_CHARS):
             ids, words, counts = _split(texts[a:b])
             at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))[ids]
             own = unit[at].astype(np.int32)
