@@ -50,7 +50,7 @@ def parse_nodes(rows: DataFrame, raw: str = "raw") -> DataFrame:
         typed("deleted", "boolean", "BOOLEAN").alias("deleted"), typed("synthetic", "boolean", "BOOLEAN").alias("synthetic"),
         typed("review_count", "bigint", "BIGINT").alias("review_count"), typed("review_result", "boolean", "BOOLEAN").alias("review_result"),
         typed("rank", "bigint", "BIGINT").alias("rank"), (~absent("rank") & (kind_of("rank") != "BIGINT")).alias("rank_bad"),
-        ~absent("parent_id").alias("_has_parent"), F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("_object"),
+        (~absent("parent_id")).alias("_has_parent"), F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("_object"),
     )
     empty = lambda c: F.col(c).isNull() | (F.col(c) == "")
     reason = (

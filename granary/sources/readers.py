@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ def lines(spark: SparkSession, path: str | list[str], pattern: str | None = None
 
 def numbered_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
     """Rows (file, line, value) with line numbers from 1. A file is read as one value, so files are to be of some size only; `lines` has no such limit."""
-    reader = spark.read.option("recursiveFileLookup", True).option("wholetext", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    whole = reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     split = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     return split.select("file", (F.col("line") + 1).alias("line"), "value")
 
@@ -38,8 +40,8 @@ def conversations(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def conversation_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows (file, messages) of files that hold one JSON array; other files give none."""
-    reader = spark.read.option("recursiveFileLookup", True).option("wholetext", True).option("pathGlobFilter", "*.json")
-    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.explode(F.from_json("value", f"array<struct<{_KEYS.replace('messages ', 'messages:', 1).replace(' conversations ', 'conversations:')}>>")).alias("v"))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    rows = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.explode(F.from_json("value", f"array<struct<{_KEYS.replace('messages ', 'messages:', 1).replace(' conversations ', 'conversations:')}>>")).alias("v"))
     return rows.select("file", F.coalesce("v.messages", "v.conversations").alias("messages")).where("messages is not null")
 
 
@@ -68,9 +70,6 @@ def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def token_shards(spark: SparkSession, folder: str, split: str) -> DataFrame:
     """Rows (file, ids) of {split}_*.bin in the order of the files' names; ids are unsigned 16-bit numbers."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def unpacked(content: pd.Series) -> pd.Series:
         return content.map(lambda b: np.frombuffer(b, "uint16").astype("int32"))
