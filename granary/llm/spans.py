@@ -160,7 +160,9 @@ def remove_repeated(df: DataFrame, length: int = 50, k: int = 10, key: str = "do
     more = F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(carry))) if carry else F.struct(F.lit(0).alias("_0"))
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), more.alias("more"))
     kind = rows.schema["more"].dataType.simpleString()
-    runs = common.stored(paths(rows, length, k))
+    every = common.stored(paths(rows, length, k))
+    twice = every.groupBy("minimizer").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("minimizer")
+    runs = common.stored(every.join(twice, "minimizer", "left_semi"))
     classes = runs.groupBy("minimizer", "whole").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     through = classes.groupBy("minimizer").agg(F.count(F.lit(1)).alias("classes"), F.min("low").alias("lowest"), F.max("high").alias("highest")).where("lowest < highest").select("minimizer", "classes")
     shared = common.stored(classes.join(through, "minimizer").where("classes > 1 or low < high"))
