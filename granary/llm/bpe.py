@@ -97,7 +97,7 @@ class TwoTierBpe:
     """Encoder and decoder for a file of ranks (base64 of a token's bytes, a space, its rank, on each line)."""
 
     #: Encoded misses that are kept; the older half goes when they are as many.
-    MEMO = 600_000
+    MEMO = 360_000
 
     def __init__(self, ranks_path: str):
         with open(ranks_path, "rb") as lines:
