@@ -33,13 +33,14 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
-# Elements that make blocks; those that are never the article; words of a class, id or role that name such parts; names of an article's element.
+# Elements that make blocks; those that are never the article; words of a class, id or role that name such parts, and beginnings of such words; names of an article's element.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ASIDE_TAGS = set("aside dialog footer form head menu nav".split())
 ASIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar aside footer masthead header topbar toolbar comment comments reply replies discussion disqus share sharing social related recommended newsletter subscribe signup login search form pagination pager widget".split()
 )
+ASIDE_STARTS = ("comment", "advert", "cookie", "sidebar", "newsletter", "sponsor", "breadcrumb", "navig", "promo")
 ARTICLE_WORDS = {"articlebody", "article-body", "entry-content", "post-content", "article-content", "article__body", "story-body"}
 CLOSES_ITSELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
 
@@ -61,8 +62,10 @@ def _is_aside(signature: str, inside_article: bool) -> bool:
         return True
     if name in ("html", "body", "main", "article"):
         words = [w for w in words if w in ("comment", "comments", "reply", "ad", "advert", "related")]
-    named = {part for w in words for part in (w, *re.split(r"[-_]+", w))} & ASIDE_WORDS
-    return bool(named - {"header", "masthead"} if inside_article else named)
+    parts = {part for w in words for part in (w, *re.split(r"[-_]+", w))}
+    if inside_article:
+        parts -= {"header", "masthead"}
+    return bool(parts & ASIDE_WORDS) or any(p.startswith(ASIDE_STARTS) for p in parts)
 
 
 def _is_article(signature: str) -> bool:
