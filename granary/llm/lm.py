@@ -95,8 +95,21 @@ class Model:
         code = np.zeros(len(target), np.int64)
         for j in range(context.shape[1]):
             code = code * len(self.R) + context[:, j]
-        _, first, place = np.unique(code, return_index=True, return_inverse=True)
-        out = -self.log_norm(context[first])[place]
+        size = len(self.R) ** context.shape[1]
+        if size <= 1 << 20:  # a table over all contexts; else those that occur are sorted out
+            there = np.zeros(size, bool)
+            there[code] = True
+            distinct = np.flatnonzero(there)
+            rest, columns = distinct, []
+            for _ in range(context.shape[1]):
+                rest, last = np.divmod(rest, len(self.R))
+                columns.append(last)
+            norm = np.empty(size)
+            norm[distinct] = self.log_norm(np.stack(columns[::-1], 1))
+            out = -norm[code]
+        else:
+            _, first, place = np.unique(code, return_index=True, return_inverse=True)
+            out = -self.log_norm(context[first])[place]
         for a in range(0, len(target), rows):
             own = target[a : a + rows]
             out[a : a + rows] += np.einsum("ij,ij->i", self.predicted(context[a : a + rows]), self.Q[own]) + self.b[own]
@@ -262,12 +275,15 @@ def _unit_finder(units: Units, setup: Setup):
             k = words.get(token, -1)
             if k < 0:
                 t = token.decode()
-                bare = tail.sub("", t)
-                k = endings.get(f"{bare[-3:]}\n{t[len(bare) : len(bare) + 1]}", -1)
+                if t[-1].isalpha():
+                    k = endings.get(t[-3:] + "\n", -1)
+                else:
+                    bare = tail.sub("", t)
+                    k = endings.get(f"{bare[-3:]}\n{t[len(bare) : len(bare) + 1]}", -1)
                 if k < 0:
                     h = xxhash.xxh64_intdigest(token, 42)
                     k = (h - (1 << 64) if h >> 63 else h) % setup.rest + setup.words + setup.endings
-            if len(known) > 300_000:
+            if len(known) > 700_000:
                 known.clear()
             known[token] = k
         return k
