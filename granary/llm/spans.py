@@ -161,17 +161,19 @@ def remove_repeated(df: DataFrame, length: int = 50, k: int = 10, key: str = "do
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), more.alias("more"))
     kind = rows.schema["more"].dataType.simpleString()
     every = common.stored(paths(rows, length, k))
-    twice = every.groupBy("minimizer").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("minimizer")
+    # stored, so that the joins below read both sides from exchanges and Spark may split a frequent minimizer
+    twice = common.stored(every.groupBy("minimizer").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("minimizer"))
     runs = common.stored(every.join(twice, "minimizer", "left_semi"))
-    classes = runs.groupBy("minimizer", "whole").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    classes = common.stored(runs.groupBy("minimizer", "whole").agg(F.min("key").alias("low"), F.max("key").alias("high")))
     through = classes.groupBy("minimizer").agg(F.count(F.lit(1)).alias("classes"), F.min("low").alias("lowest"), F.max("high").alias("highest")).where("lowest < highest").select("minimizer", "classes")
+    through = common.stored(through)
     shared = common.stored(classes.join(through, "minimizer").where("classes > 1 or low < high"))
     met = runs.join(shared, ["minimizer", "whole"]).where("key > low or classes > 1")
     marks = met.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", F.col("windows").cast("int").alias("windows"), "minimizer", (F.col("key") == F.col("low")).alias("open"))).alias("marks"))
     joined = rows.join(marks.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "text", "marks", "more")
     some = common.stored(common.arrow_map(joined, _settle(length), f"key long, {_SETTLED}, gone array<struct<start int, windows int>>, edges array<struct<minimizer long, edge long, start int>>, more {kind}"))
     edges = some.where("edges is not null").select("key", F.explode("edges").alias("e")).select("key", "e.*")
-    earliest = edges.groupBy("minimizer", "edge").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").drop("high")
+    earliest = common.stored(edges.groupBy("minimizer", "edge").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").drop("high"))
     later = edges.join(earliest, ["minimizer", "edge"]).where("key > low").groupBy(F.col("key").alias("_key")).agg(F.collect_list("start").alias("starts"))
     pending = some.where("edges is not null").join(later.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "kept", "gone", "starts", "more")
     closed = common.arrow_map(pending, _close(length), f"key long, {_SETTLED}, more {kind}")
