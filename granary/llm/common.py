@@ -175,10 +175,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     pairs = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     for _ in range(most_rounds):
         both = pairs.union(pairs.select("v", "u"))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        lowest = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))  # stored, so that Spark may split a node of many edges in the join
         # large-star: the neighbours above u, and u's own lower neighbours by their own turn, hang on the lowest
-        large = both.where("v > u").join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(both.where("v > u").join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         small = joined.select("u", "m").union(joined.where("v <> m").select("v", "m")).toDF("u", "v").distinct()
         after = stored(small)
