@@ -116,7 +116,7 @@ def doc_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of equal texts stays; the minimum is taken over hashes of two kinds, so copies meet as aggregates only."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
+    first = stored(docs.groupBy("h").agg(F.min("doc_id").alias("first")))  # stored, so that Spark may split the join on a text of very many copies
     return docs.join(first, "h").select("doc_id", (F.col("doc_id") == F.col("first")).alias("kept"))
 
 
