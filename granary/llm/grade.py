@@ -7,6 +7,7 @@ probability of the upper grades follow from both.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -187,9 +188,13 @@ def rate(df: DataFrame, model: Model, tail: int, least: float = 0.5, key: str =
     Null texts count as empty. Where nothing was learned every document is taken for the highest grade.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # of at most most_features weights
+    name = uuid.uuid4().hex
 
     def work(batch: pa.RecordBatch):
-        scorer = _scorers.get(id(shared.value)) or _scorers.setdefault(id(shared.value), Scorer(shared.value))
+        if name not in _scorers:  # a worker keeps one model's words
+            _scorers.clear()
+            _scorers[name] = Scorer(shared.value)
+        scorer = _scorers[name]
         p = shared.value.tails(np.array([scorer.latent(t or "") for t in batch.column("_text").to_pylist()]))
         yield common.beside(batch, {"_grade": pa.array(p.sum(1)), "_tail": pa.array(p[:, tail - 1])})
 
@@ -197,7 +202,7 @@ def rate(df: DataFrame, model: Model, tail: int, least: float = 0.5, key: str =
     return got.withColumn("kept", F.col("tail") >= least)
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def graded(labels: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -45,6 +45,12 @@ ARTICLE_WORDS = {"articlebody", "article-body", "entry-content", "post-content",
 CLOSES_ITSELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
 
 
+#: Blocks nested deeper take no part in wrappers; their text belongs to the block above.
+DEEPEST = 120
+#: A row of more kinds than this is kept as a set of optional repeated groups, one of each kind.
+LONGEST = 48
+
+
 def _signature(name: str, attributes: str) -> str:
     """An element's name with its classes, id and role, numbers left out."""
     if not attributes.strip():
@@ -77,6 +83,7 @@ def events(page: str) -> Iterator[tuple[str, tuple[str, ...] | None, str]]:
     """The stream of a page: ("open"|"close", path, ""), ("text", None, text) and ("space", None, "")."""
     path: list[str] = []
     names: list[str] = []
+    deeper: dict[str, int] = {}  # open blocks below DEEPEST, which only end other blocks
     for m in _TOKEN.finditer(page):
         _, end, name, attributes, text = m.groups()
         if text is not None:
@@ -90,7 +97,11 @@ def events(page: str) -> Iterator[tuple[str, tuple[str, ...] | None, str]]:
         if name not in BLOCKS:
             continue
         if end:
-            if name in names:
+            if deeper.get(name):
+                deeper[name] -= 1
+                yield "close", None, ""
+            elif name in names:
+                deeper.clear()
                 while names:
                     yield "close", tuple(path), ""
                     path.pop()
@@ -117,6 +128,10 @@ def events(page: str) -> Iterator[tuple[str, tuple[str, ...] | None, str]]:
         if name == "hr":
             yield "close", None, ""
             continue
+        if len(names) >= DEEPEST:
+            deeper[name] = deeper.get(name, 0) + 1
+            yield "close", None, ""
+            continue
         names.append(name)
         path.append(_signature(name, attributes))
         yield "open", tuple(path), ""
@@ -167,7 +182,16 @@ def _folded(items: list) -> list:
             out[-2][0] = out[-1][0] = "+"
         else:
             out.append(item)
-    return out
+    return _shortened(out)
+
+
+def _shortened(items: list) -> list:
+    if len(items) <= LONGEST:
+        return items
+    kinds: dict[str, list] = {}
+    for item in items:
+        kinds[item[1]] = _same(kinds[item[1]], item) if item[1] in kinds else item
+    return [["*", *x[1:]] for x in list(kinds.values())[: 4 * LONGEST]]
 
 
 def aligned(a: list, b: list) -> list:
@@ -203,7 +227,7 @@ def _folded_flat(items: list) -> list:
             out[-1] = both
         else:
             out.append(item)
-    return out
+    return _shortened(out)
 
 
 def expression(items: list) -> str:
@@ -224,7 +248,7 @@ def article_roots(items: list) -> list[list[str]]:
         slots = 0
         for _, signature, inner, fixed, chars in own:
             if signature == "#":
-                slots += chars if fixed is None else chars // 4
+                slots += 4 * chars if fixed is None else chars
                 continue
             if _is_aside(signature, any(map(_is_article, path))):
                 continue

@@ -57,5 +57,11 @@ def test_alignment_gives_optional_repeated_and_slots():
 def test_long_nested_and_unclosed_pages_end():
     deep = "<div>" * 300 + "text" + "</div>" * 10
     assert wrappers.main_text(deep, []) == "text"
+    far = "<article>" + "<div>" * 3000 + "<p>one</p>" + "</div>" * 3000 + "<p>two</p></article><div><p>out</p></div>"
+    assert wrappers.main_text(far, []) == "one\ntwo"
+    mixed = "<article>" + "".join(f"<h2>{i}</h2><p>p</p><ul><li>x</ul>" for i in range(3000)) + "</article>"
+    assert wrappers.main_text(mixed, wrappers.article_roots(wrappers.aligned(wrappers.page_wrapper(mixed), wrappers.page_wrapper(far)))).count("\n") == 8999
+    kinds = "<body>" + "".join(f'<div class="k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}"><p>t</p></div>' for i in range(3000)) + "</body>"
+    assert wrappers.main_text(kinds, []).count("t") == 3000
     assert wrappers.main_text("<a href='" * 2000, []) == ""
     assert wrappers.main_text("<p>x " * 5000, [[]]).count("\n") == 4999
