@@ -196,7 +196,7 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
     def work(batch: pa.RecordBatch):
         bpe = load(ranks_path)
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        for a, b in common.slices([len(t) for t in texts], 3 * common.SLICE_CHARS):
+        for a, b in common.slices([len(t) for t in texts], 2 * common.SLICE_CHARS):
             ids, counts = bpe.encode_batch(texts[a:b])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], [key, "ids"])
@@ -212,7 +212,7 @@ def decode(df: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids"
         bpe = load(ranks_path)
         column = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
         sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-        for a, b in common.slices(sizes.tolist(), common.SLICE_CHARS):
+        for a, b in common.slices(sizes.tolist(), common.SLICE_CHARS // 6):
             part = column[a:b]
             own, counts = bpe.decode_batch(part.flatten().to_numpy(zero_copy_only=False), sizes[a:b])
             ends = pa.py_buffer(np.r_[0, np.cumsum(counts)].astype(np.int32).tobytes())
