@@ -89,7 +89,7 @@ def doc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_FEATURES} select * exclude (text) from features")
 def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in T.features(F.col("text")).items()))
+    return table(spark, sf_dir, "documents").select("doc_id", *((c.cast("long") if n in ("n_chars", "n_words", "sentence_pieces", "paragraphs") else c).alias(n) for n, c in T.features(F.col("text")).items()))
 
 
 @query(f"with {_FEATURES} select doc_id, quality from scores")
