@@ -283,7 +283,7 @@ def _unit_finder(units: Units, setup: Setup):
                 if k < 0:
                     h = xxhash.xxh64_intdigest(token, 42)
                     k = (h - (1 << 64) if h >> 63 else h) % setup.rest + setup.words + setup.endings
-            if len(known) > 700_000:
+            if len(known) > 450_000:
                 known.clear()
             known[token] = k
         return k
