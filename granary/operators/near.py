@@ -9,26 +9,57 @@ from granary.functions import text as T
 from granary.plans.durable import stored
 
 
-def similar_pairs(sets: DataFrame, more_than: float) -> DataFrame:
-    """Pairs (a, b), a < b, of rows (id, s) whose sets have a Jaccard similarity above more_than.
+def prefixes(sets: DataFrame, more_than: float) -> DataFrame:
+    """Rows (id, n, e): the elements of rows (id, s) through which sets of a similarity above more_than must meet.
 
-    Prefix filtering: with elements from rare to frequent, two such sets share one of their first n - ceil(more_than * n) + 1
-    elements, so only those are joined; lengths that differ too much are left out before the sets themselves are compared.
+    Two such sets share one of their first n - ceil(more_than * n) + 1 elements from rare to frequent; elements of one set alone are left out.
     """
-    sized = sets.withColumn("n", F.size("s"))
-    elements = sized.select("id", "n", F.explode("s").alias("e"))
+    elements = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("e"))
     counts = elements.groupBy("e").count()
     ranked = elements.join(counts.where("count > 1"), "e", "left").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("c"), "e"))).alias("r"))
     first = F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * more_than) + 1).cast("int"))
-    prefixes = stored(ranked.select("id", "n", F.explode(F.filter(first, lambda x: x.c > 1)).alias("x")).select("id", "n", F.col("x.e").alias("e")))
-    a, b = prefixes.toDF("a", "na", "e"), prefixes.toDF("b", "nb", "e")
-    near = (F.least("na", "nb") > F.greatest("na", "nb") * more_than) & (F.col("a") < F.col("b"))
-    candidates = a.join(b, "e").where(near).select("a", "b").distinct()
+    return ranked.select("id", "n", F.explode(F.filter(first, lambda x: x.c > 1)).alias("x")).select("id", "n", F.col("x.e").alias("e"))
+
+
+def _verified(candidates: DataFrame, sets: DataFrame, more_than: float) -> DataFrame:
     both = candidates.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared / (F.size("sa") + F.size("sb") - shared) > more_than).select("a", "b")
 
 
+def similar_pairs(met: DataFrame, sets: DataFrame, more_than: float) -> DataFrame:
+    """Pairs (a, b), a < b, of sets with a similarity above more_than, among those that meet in rows (id, n, e)."""
+    a, b = met.toDF("a", "na", "e"), met.toDF("b", "nb", "e")
+    near = (F.least("na", "nb") > F.greatest("na", "nb") * more_than) & (F.col("a") < F.col("b"))
+    return _verified(a.join(b, "e").where(near).select("a", "b").distinct(), sets, more_than)
+
+
+def without_led(met: DataFrame, sets: DataFrame, more_than: float, crowded: int = 20) -> tuple[DataFrame, list[DataFrame]]:
+    """met less the sets that are decided by comparing with the smallest ids only, and the ids that go.
+
+    A set with the smallest id at each of its elements has no smaller neighbour and stays; the sets that it meets go if they are
+    similar. That is a row for each element, where all pairs of a group of m near-copies would be m * m / 2. It is repeated
+    while pairs would be over `crowded` times the rows and a round decides a twentieth of them.
+    """
+    gone: list[DataFrame] = []
+    while True:
+        size = met.groupBy("e").count().agg(F.sum("count").alias("rows"), F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).first()
+        if not size["rows"] or size["pairs"] <= crowded * size["rows"]:
+            return met, gone
+        leaders = stored(met.groupBy("e").agg(F.min(F.struct("id", "n")).alias("l")))
+        led = stored(met.join(leaders, "e").select("id", "n", "e", F.col("l.id").alias("lead"), F.col("l.n").alias("ln")))
+        stay = stored(led.groupBy("id").agg(F.min("lead").alias("low")).where("low = id").select("id"))
+        close = F.least("n", "ln") > F.greatest("n", "ln") * more_than
+        pairs = led.where(close & (F.col("lead") < F.col("id"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+        out = stored(_verified(pairs.join(stay, F.col("a") == F.col("id"), "left_semi"), sets, more_than).select(F.col("b").alias("id")).distinct())
+        gone.append(out)
+        left = stored(met.join(stay.union(out), "id", "left_anti"))
+        slow = left.count() > 0.95 * size["rows"]
+        met = left
+        if slow:
+            return met, gone
+
+
 def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids that stay when each, in order, goes if a smaller one that stays is its neighbour: rounds keep all whose smaller neighbours are decided."""
     edges, kept = stored(edges), None
@@ -49,7 +80,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     made = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, size), " ")))
     sets = stored(own.where(F.size("w") >= size).select("id", F.array_sort(F.array_distinct(made)).alias("s")))
     classes = stored(sets.groupBy(F.xxhash64("s").alias("h"), F.size("s").alias("n")).agg(F.min_by("s", "id").alias("s"), F.min("id").alias("id")).select("id", "s"))
-    stay = first_independent(classes.select("id"), similar_pairs(classes, more_than))
+    met, gone = without_led(stored(prefixes(classes, more_than)), classes, more_than)
+    left = classes.select("id")
+    for out in gone:
+        left = left.join(out, "id", "left_anti")
+    stay = first_independent(left, similar_pairs(met, classes, more_than))
     return own.where(F.size("w") < size).select("id").union(stay).withColumnRenamed("id", key)
 
 

@@ -42,6 +42,19 @@ def test_near_duplicates_equal_the_greedy_rule(spark):
     assert sorted(r.doc_id for r in got) == want and len(want) < 140
 
 
+def test_large_groups_are_decided_by_their_first(spark):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            words[rng.randrange(100)] = f"n{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near.near_duplicates(frame).collect()) == greedy(rows)
+
+
 def test_similarity_must_exceed_and_chains_keep_their_third(spark):
     words = [f"w{i}" for i in range(21)]
     ten = spark.createDataFrame([(1, " ".join(words[:21])), (2, " ".join(words[:19] + ["x"] * 0))], "doc_id long, text string")  # 19 and 17 shingles: 17 / 19 < 0.9
