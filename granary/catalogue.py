@@ -84,7 +84,7 @@ def query(sql: str | None = None):
 
 @query(f"with {_COUNTS} select doc_id, language from languages")
 def doc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.language(F.col("text")).alias("language"))
+    return T.with_language(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "language")
 
 
 @query(f"with {_FEATURES} select * exclude (text) from features")
@@ -491,7 +491,8 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chats(spark, sf_dir).select("conv_id", F.explode(chat.examples(F.col("messages"))).alias("e"))
-    return made.select("conv_id", F.size("e.prompt").alias("target"), tokens.char_ids(chat.template(F.col("e.prompt"), True), None).alias("p"), tokens.char_ids(F.col("e.completion.content")).alias("a"))
+    ids = T.once(made, "x", p=tokens.char_ids(chat.template(F.col("e.prompt"), True), None), a=tokens.char_ids(F.col("e.completion.content")))
+    return ids.select("conv_id", F.size("e.prompt").alias("target"), "x.p", "x.a")
 
 
 _EXAMPLES = f"""{_MESSAGES}, examples as (
@@ -510,7 +511,7 @@ padded as (select conv_id, target, keep, list_concat(x, list_transform(range(513
 select conv_id, target, len(x) - 1 as n, list_sum(x[1:512])::bigint as input_sum, list_sum(list_transform(range(1, 513), lambda i: case when i - 1 < greatest(0, keep - 1) or x[i + 1] = 0 then -100 else x[i + 1] end))::bigint as label_sum from padded"""
 )
 def sft_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = stored(stored(_framed(spark, sf_dir)).select("conv_id", "target", tokens.training_example(F.col("p"), F.col("a"), 512).alias("x")))
+    made = T.once(tokens.with_training_example(_framed(spark, sf_dir), "p", "a", 512), "x", input_ids=F.col("input_ids"), labels=F.col("labels"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return made.select("conv_id", F.col("target").cast("long").alias("target"), F.size("x.input_ids").cast("long").alias("n"), total("x.input_ids").alias("input_sum"), total("x.labels").alias("label_sum"))
 

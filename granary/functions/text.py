@@ -58,9 +58,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def language(text: Column, least_share: float = 0.3) -> Column:
-    """The language with the most letters of its class, ties by the classes' order; unknown without letters or below the share."""
-    counts = {lang: F.regexp_count(text, F.lit(letters)) for lang, letters in LETTERS.items()}
+def _left(text: Column, others: str) -> Column:
+    """How many characters stay when all runs of others go: a match for each run costs less than one for each character."""
+    return F.length(F.regexp_replace(text, f"{others}+", ""))
+
+
+def letter_counts(text: Column) -> dict[str, Column]:
+    return {lang: _left(text, "[^" + letters[1:]) for lang, letters in LETTERS.items()}
+
+
+def language(text: Column, least_share: float = 0.3, given: dict[str, Column] | None = None) -> Column:
+    """The language with the most letters of its class, ties by the classes' order; unknown without letters or below the share. given: letter counts that are columns already."""
+    counts = given or letter_counts(text)
     total, best = sum(counts.values(), F.lit(0)), F.greatest(*counts.values())
     found = F.coalesce(*(F.when(n == best, lang) for lang, n in counts.items()))
     return F.when(total == 0, "unknown").when(best / total < least_share, "unknown").otherwise(found)
@@ -71,13 +80,13 @@ def features(text: Column) -> dict[str, Column]:
     n_chars, n_words = F.length(text), F.regexp_count(text, F.lit(WORD))
     lines = F.split(text, "\n", -1)
     filled = F.filter(F.transform(lines, strip), lambda x: x != "")
-    share = lambda pattern: F.when(n_chars == 0, 0.0).otherwise(F.regexp_count(text, F.lit(pattern)) / n_chars)
+    share = lambda others: F.when(n_chars == 0, 0.0).otherwise(_left(text, others) / n_chars)
     return {
         "n_chars": n_chars,
         "n_words": n_words,
-        "alpha_ratio": share(r"\p{L}"),
-        "digit_ratio": share(rf"[\p{{Nd}}{OTHER_DIGITS}]"),
-        "special_ratio": share(r"(?U)[^\p{L}\p{N}\s\x1c-\x1f]"),
+        "alpha_ratio": share(r"[^\p{L}]"),
+        "digit_ratio": share(rf"[^\p{{Nd}}{OTHER_DIGITS}]"),
+        "special_ratio": share(r"(?U)[\p{L}\p{N}\s\x1c-\x1f]"),
         "line_repetition": 1 - F.size(F.array_distinct(filled)) / F.size(lines),
         "mean_word_length": F.when(n_words == 0, 0.0).otherwise(F.length(F.regexp_replace(text, rf"{SPACE}+", "")) / n_words),
         "sentence_pieces": F.size(F.split(text, "[.!?]+", -1)),
@@ -119,9 +128,16 @@ def once(df: DataFrame, name: str, **columns: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def with_language(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with language."""
+    counted = once(df, "_f", **letter_counts(F.col(text)))
+    return counted.withColumn("language", language(F.col(text), given={n: F.col(f"_f.{n}") for n in LETTERS})).drop("_f")
+
+
 def with_verdict(df: DataFrame, rules: FilterRules | None = None, text: str = "text") -> DataFrame:
     """df with verdict: struct(passed, quality, reason)."""
     r, t = rules or FilterRules(), F.col(text)
-    first = once(df, "_f", **features(t), language=language(F.coalesce(t, F.lit(""))))
-    second = once(first, "_q", quality=quality(t, r.quality, {n: F.col(f"_f.{n}") for n in features(t)}), language=F.col("_f.language"))
+    first = once(df, "_f", **features(t), **letter_counts(F.coalesce(t, F.lit(""))))
+    made = lambda names: {n: F.col(f"_f.{n}") for n in names}
+    second = once(first, "_q", quality=quality(t, r.quality, made(features(t))), language=language(t, given=made(LETTERS)))
     return second.withColumn("verdict", verdict(t, r, {n: F.col(f"_q.{n}") for n in ("quality", "language")})).drop("_f", "_q")

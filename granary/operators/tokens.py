@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.text import once
+
 IGNORE = -100
 
 
@@ -45,22 +47,22 @@ def decoder(tokenizer_path: str):
     return decode
 
 
-def training_example(prompt: Column, answer: Column, length: int, pad: int = 0, end: int = 2) -> Column:
-    """struct(input_ids, labels) of `length` ids: the prompt's tail before the answer, labels one ahead, the prompt and padding ignored.
+def with_training_example(df: DataFrame, prompt: str, answer: str, length: int, pad: int = 0, end: int = 2) -> DataFrame:
+    """df (prompt and answer as ids) with input_ids and labels of `length` ids: the prompt's tail before the answer, labels one ahead, the prompt and padding ignored.
 
-    An answer that would not leave room is cut so that some of the prompt stays, and ends with the end id.
+    An answer that would not leave room is cut so that some of the prompt stays, and ends with the end id. Each array is made
+    once a row and then read by the next step.
     """
-    m = length + 1
-    room = F.least(F.size(prompt), F.greatest(F.lit(1), F.least(F.lit(m - 1), F.greatest(F.lit(16), F.lit(m // 4)))))
-    cut = F.concat(F.slice(answer, F.lit(1), m - room - 1), F.array(F.lit(end)))
-    answer = F.when(F.size(answer) >= m, cut).otherwise(answer)
-    keep = F.greatest(F.lit(0), F.least(F.size(prompt), m - F.size(answer)))
-    prompt = F.when(keep > 0, F.slice(prompt, F.size(prompt) - keep + 1, F.greatest(keep, F.lit(1)))).otherwise(F.slice(prompt, 1, 0))
-    ids = F.concat(prompt, answer)
-    ids = F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(F.lit(0), m - F.size(ids))))
-    masked = F.greatest(F.lit(0), keep - 1)
-    labels = F.transform(F.slice(ids, 2, length), lambda x, i: F.when((i < masked) | (x == pad), IGNORE).otherwise(x))
-    return F.struct(F.slice(ids, 1, length).alias("input_ids"), labels.alias("labels"))
+    m, p, a = length + 1, F.col(prompt), F.col(answer)
+    room = F.least(F.size(p), F.greatest(F.lit(1), F.least(F.lit(m - 1), F.greatest(F.lit(16), F.lit(m // 4)))))
+    cut = F.concat(F.slice(a, F.lit(1), m - room - 1), F.array(F.lit(end)))
+    first = once(df, "_a", x=F.when(F.size(a) >= m, cut).otherwise(a))
+    keep = F.greatest(F.lit(0), F.least(F.size(p), m - F.size("_a.x")))
+    tail = F.when(keep > 0, F.slice(p, F.size(p) - keep + 1, F.greatest(keep, F.lit(1)))).otherwise(F.slice(p, 1, 0))
+    ids = F.concat(tail, "_a.x", F.array_repeat(F.lit(pad), F.greatest(F.lit(0), m - keep - F.size("_a.x"))))
+    second = once(first, "_i", x=ids, masked=F.greatest(F.lit(0), keep - 1))
+    labels = F.transform(F.slice("_i.x", 2, length), lambda x, i: F.when((i < F.col("_i.masked")) | (x == pad), IGNORE).otherwise(x))
+    return second.withColumn("input_ids", F.slice("_i.x", 1, length)).withColumn("labels", labels).drop("_a", "_i")
 
 
 def preference_example(prompt: Column, chosen: Column, rejected: Column, length: int, pad: int = 0) -> Column:

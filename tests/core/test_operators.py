@@ -225,7 +225,7 @@ def plain_example(p, a, length, pad=0, end=2):
 def test_training_examples(spark, np, na):
     p, a = [10 + i for i in range(np)], [1000 + i * (i % 7 != 3) - 1000 * (i % 7 == 3) for i in range(na)]
     frame = spark.createDataFrame([(p, a)], "p array<int>, a array<int>")
-    got = frame.select(tokens.training_example(F.col("p"), F.col("a"), 64).alias("x")).first().x
+    got = tokens.with_training_example(frame, "p", "a", 64).first()
     assert (got.input_ids, got.labels) == plain_example(p, list(a), 64)
 
 
