@@ -23,7 +23,7 @@ from granary.llm import common
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|select|button|object|canvas|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|iframe|svg|select|button|object|canvas|video|audio|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
@@ -31,6 +31,7 @@ _TOKEN = re.compile(
     r"|([^<]+|<)",
     re.S | re.I,
 )
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 # Elements that make blocks; those that are never the article; words of a class, id or role that name such parts, and beginnings of such words; names of an article's element.
@@ -38,7 +39,7 @@ BLOCKS = set("address article aside blockquote body caption center dd details di
 ASIDE_TAGS = set("aside dialog footer form head menu nav".split())
 ASIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay nav navbar navigation menu "
-    "breadcrumb breadcrumbs sidebar aside footer masthead header topbar toolbar comment comments reply replies discussion disqus share sharing social related recommended newsletter subscribe signup login search form pagination pager widget".split()
+    "breadcrumb breadcrumbs sidebar aside footer masthead header topbar toolbar comment comments reply replies discussion disqus share sharing social related recommended newsletter subscribe signup login search form pagination pager widget hiddenelement".split()
 )
 ASIDE_STARTS = ("comment", "advert", "cookie", "sidebar", "newsletter", "sponsor", "breadcrumb", "navig", "promo")
 ARTICLE_WORDS = {"articlebody", "article-body", "entry-content", "post-content", "article-content", "article__body", "story-body"}
@@ -55,7 +56,7 @@ def _signature(name: str, attributes: str) -> str:
     """An element's name with its classes, id and role, numbers left out."""
     if not attributes.strip():
         return name
-    words: list[str] = []
+    words: list[str] = ["hiddenelement"] if _HIDDEN.search(attributes) else []
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         if key.lower() in ("class", "id", "role", "itemprop"):
             words += re.sub(r"\d+", "0", (a or b or c).lower()).split()

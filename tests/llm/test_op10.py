@@ -63,5 +63,6 @@ def test_long_nested_and_unclosed_pages_end():
     assert wrappers.main_text(mixed, wrappers.article_roots(wrappers.aligned(wrappers.page_wrapper(mixed), wrappers.page_wrapper(far)))).count("\n") == 8999
     kinds = "<body>" + "".join(f'<div class="k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}"><p>t</p></div>' for i in range(3000)) + "</body>"
     assert wrappers.main_text(kinds, []).count("t") == 3000
+    assert wrappers.main_text('<article><p>a</p><div hidden><p>b</p></div><div style="display: none"><p>c</p></div><video>no</video><p>d</p></article>', []) == "a\nd"
     assert wrappers.main_text("<a href='" * 2000, []) == ""
     assert wrappers.main_text("<p>x " * 5000, [[]]).count("\n") == 4999
