@@ -73,8 +73,10 @@ def carried(df: DataFrame, key: str, text: str, carry: tuple[str, ...], fn: Call
     return out.toDF(*names, *(name for name, _ in made.values()))
 
 
-def binary(column: pa.Array) -> list[bytes]:
+def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """A string column's UTF-8 bytes; null counts as empty."""
+    if isinstance(column, pa.ChunkedArray):
+        return [x for chunk in column.chunks for x in binary(chunk)]
     return [x or b"" for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]
 
 

@@ -34,7 +34,7 @@ class Setup:
     batch: int = 4096
     rate: float = 0.4
     warm_up_rows: int = 400
-    block_chars: int = 24_000_000
+    block_chars: int = 16_000_000
 
     @property
     def units(self) -> int:
@@ -206,7 +206,7 @@ def _count(table: pa.Table) -> pa.Table:
     """A block's distinct tokens with their counts in the training rows, which may be zero."""
     block = table.column("block")[0]
     learned = np.array(table.column("held").to_pylist()) == False  # noqa: E712
-    texts = common.binary(table.column("text").combine_chunks())
+    texts = common.binary(table.column("text"))
     number, counts = common.Numbering(), np.zeros(1 << 16, np.int64)
     for a, b in common.slices([len(t) for t in texts]):
         ids, words, sizes = _split(texts[a:b])
@@ -334,10 +334,10 @@ def _score(shared, schema_names: list[str]):
     def work(key: tuple, docs: pa.Table, vocabulary: pa.Table) -> pa.Table:
         model, setup = shared.value
         out: dict[str, list] = {n: [] for n in schema_names[1:]}
-        number = {w: k for k, w in enumerate(common.binary(vocabulary.column("token").combine_chunks()))}
+        number = {w: k for k, w in enumerate(common.binary(vocabulary.column("token")))}
         c, unit = vocabulary.column("c").to_numpy(), vocabulary.column("unit").to_numpy()
         base, inner = vocabulary.column("base").to_numpy(), vocabulary.column("inner").to_numpy()
-        texts = common.binary(docs.column("text").combine_chunks())
+        texts = common.binary(docs.column("text"))
         for a, b in common.slices([len(t) for t in texts], 2 * common.SLICE_CHARS):
             ids, words, counts = _split(texts[a:b])
             at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))[ids]
