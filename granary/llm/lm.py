@@ -29,8 +29,8 @@ class Setup:
     endings: int = 350
     rest: int = 12
     width: int = 16
-    context: int = 2
-    noise: int = 48
+    context: int = 4
+    noise: int = 64
     batch: int = 4096
     rate: float = 0.4
     warm_up_rows: int = 400
@@ -70,46 +70,49 @@ class Model:
         return Model(*out, self.noise)
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
-        p = self.C[0] * self.R[context[:, 0]]
+        weighted = self.C[:, None] * self.R
+        p = weighted[0].take(context[:, 0], 0)
         for j in range(1, context.shape[1]):
-            p += self.C[j] * self.R[context[:, j]]
+            p += weighted[j].take(context[:, j], 0)
         return p
 
-    def log_norm(self, context: np.ndarray, rows: int = 1024) -> np.ndarray:
-        """Logarithms of the contexts' normalisers: each batch of contexts against all units at once."""
+    def log_norm(self, context: np.ndarray, target: np.ndarray | None = None, rows: int = 1024) -> np.ndarray:
+        """Logarithms of the contexts' normalisers, less the targets' own terms if there are targets: each batch of contexts against all units at once."""
         out = np.empty(len(context))
-        QT = np.ascontiguousarray(self.Q.T)
+        QbT = np.ascontiguousarray(np.c_[self.Q, self.b].T)
         longest, top = np.sqrt((self.Q * self.Q).sum(1).max()), np.abs(self.b).max()
+        ones, scores = np.ones(len(self.Q), np.float32), np.empty((min(rows, len(context)), len(self.Q)), np.float32)
         for a in range(0, len(context), rows):
             p = self.predicted(context[a : a + rows])
-            s = p @ QT
-            s += self.b
-            most = s.max(1, keepdims=True) if np.sqrt((p * p).sum(1).max()) * longest + top > 60 else 0  # else no exponential can overflow
-            s -= most
+            s = np.matmul(np.c_[p, ones[:1].repeat(len(p))], QbT, out=scores[: len(p)])
+            most = hit = 0
+            if np.sqrt((p * p).sum(1).max()) * longest + top > 60:  # else no exponential can overflow
+                most = s.max(1)
+                s -= most[:, None]
+            if target is not None:
+                hit = s[np.arange(len(p)), target[a : a + rows]] + most
             np.exp(s, out=s)
-            out[a : a + rows] = np.log(s.sum(1)) + np.ravel(most)
+            out[a : a + rows] = np.log(s @ ones) + most - hit
         return out
 
     def log10(self, context: np.ndarray, target: np.ndarray, rows: int = 1 << 16) -> np.ndarray:
-        """Normalised log-probabilities; every distinct context is normalised once."""
+        """Normalised log-probabilities; of few possible contexts every distinct one is normalised once."""
+        size = len(self.R) ** context.shape[1]
+        if size > 1 << 20:  # too many for a table, and few would repeat
+            return -self.log_norm(context, target) / np.log(10)
         code = np.zeros(len(target), np.int64)
         for j in range(context.shape[1]):
             code = code * len(self.R) + context[:, j]
-        size = len(self.R) ** context.shape[1]
-        if size <= 1 << 20:  # a table over all contexts; else those that occur are sorted out
-            there = np.zeros(size, bool)
-            there[code] = True
-            distinct = np.flatnonzero(there)
-            rest, columns = distinct, []
-            for _ in range(context.shape[1]):
-                rest, last = np.divmod(rest, len(self.R))
-                columns.append(last)
-            norm = np.empty(size)
-            norm[distinct] = self.log_norm(np.stack(columns[::-1], 1))
-            out = -norm[code]
-        else:
-            _, first, place = np.unique(code, return_index=True, return_inverse=True)
-            out = -self.log_norm(context[first])[place]
+        there = np.zeros(size, bool)
+        there[code] = True
+        distinct = np.flatnonzero(there)
+        rest, columns = distinct, []
+        for _ in range(context.shape[1]):
+            rest, last = np.divmod(rest, len(self.R))
+            columns.append(last)
+        norm = np.empty(size)
+        norm[distinct] = self.log_norm(np.stack(columns[::-1], 1))
+        out = -norm[code]
         for a in range(0, len(target), rows):
             own = target[a : a + rows]
             out[a : a + rows] += np.einsum("ij,ij->i", self.predicted(context[a : a + rows]), self.Q[own]) + self.b[own]
@@ -121,7 +124,7 @@ def _scatter(shape: tuple[int, int], index: np.ndarray, values: np.ndarray) -> t
     order = np.argsort(index.astype(np.uint16), kind="stable")
     ranked = index[order]
     starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    return ranked[starts], np.add.reduceat(values[order], starts, axis=0)
+    return ranked[starts], np.add.reduceat(values.take(order, 0), starts, axis=0)
 
 
 class Trainer:
@@ -146,9 +149,8 @@ class Trainer:
             c, w = context[a : a + self.setup.batch], target[a : a + self.setup.batch]
             n = np.float32(1 / len(w))
             z = np.searchsorted(self.cum, self.rng.random(k) * self.cum[-1]).clip(0, len(self.cum) - 1)
-            parts = [m.R[c[:, j]] for j in range(c.shape[1])]
-            p = sum(m.C[j] * parts[j] for j in range(len(parts)))
-            qw, qz = m.Q[w], m.Q[z]
+            p = m.predicted(c)
+            qw, qz = m.Q.take(w, 0), m.Q[z]
             up = np.einsum("ij,ij->i", p, qw)
             up += (m.b - self.log_noise)[w]
             down = p @ qz.T
@@ -164,11 +166,12 @@ class Trainer:
             total[at] += grad
             total[atz] += gradz
             both = np.union1d(at, atz)
-            by_c = np.stack([np.einsum("ij,ij->j", by_p, x) for x in parts])
+            by_c = np.empty_like(m.C)
             by_r = np.zeros_like(m.R)
-            for j in range(len(parts)):
-                rows, grad = _scatter(m.R.shape, c[:, j], by_p * m.C[j])
-                by_r[rows] += grad
+            for j in range(len(m.C)):  # summed by unit first, so that the products are made once a unit
+                rows, grad = _scatter(m.R.shape, c[:, j], by_p)
+                by_c[j] = np.einsum("ij,ij->j", grad, m.R[rows])
+                by_r[rows] += grad * m.C[j]
             self._move("Q", both, total[both, :-1])
             self._move("b", both, total[both, -1])
             moved = np.flatnonzero(by_r.any(1))

@@ -44,6 +44,29 @@ def test_probabilities_add_up_to_one_over_units():
     assert p.sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_production_looks_back_four_units_and_draws_64_noise_samples():
+    setup = lm.Setup()
+    model = lm.Model.start(np.ones(setup.units), setup)
+    units = np.array([[7, 1, 2, 3, 4], [8, 1, 2, 3, 4]], np.int32)
+    c = lm.contexts(units.ravel(), np.array([5, 5]), 0, setup.context)[[4, 9]]
+    one, other = model.log10(c, np.array([4, 4]))
+    assert abs(one - other) > 1e-4 and setup.context == 4
+    assert setup.noise == 64 and np.exp(lm.Trainer(model, setup, 1).log_noise).sum() == pytest.approx(64, rel=1e-3)
+
+
+def test_log_probabilities_are_the_same_by_table_and_without():
+    setup = lm.Setup(words=20, endings=8, rest=4)
+    rng = np.random.default_rng(5)
+    model = lm.Model.start(np.arange(32.0), setup)
+    c, target = rng.integers(0, 32, (3000, 4)).astype(np.int32), rng.integers(0, 32, 3000).astype(np.int32)
+    for scale in (1, 40):  # without and with scores that could overflow
+        model.R *= np.float32(scale)
+        s = sum(model.C[j] * model.R[c[:, j]] for j in range(4)).astype(float) @ model.Q.T.astype(float) + model.b
+        want = (s[np.arange(3000), target] - np.logaddexp.reduce(s, axis=1)) / np.log(10)
+        assert model.log10(c, target) == pytest.approx(want, abs=2e-3)
+        assert -model.log_norm(c, target) / np.log(10) == pytest.approx(want, abs=2e-3)
+
+
 def test_contrastive_steps_learn_a_pattern():
     setup = lm.Setup(words=4, endings=3, rest=1, batch=64, noise=8)
     rng = np.random.default_rng(3)
