@@ -13,6 +13,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -48,8 +49,11 @@ CLOSES_ITSELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {
 
 #: Blocks nested deeper take no part in wrappers; their text belongs to the block above.
 DEEPEST = 120
-#: A row of more kinds than this is kept as a set of optional repeated groups, one of each kind.
+#: A row of more items than this is kept as a set of optional repeated groups, one of each kind.
 LONGEST = 48
+#: A row of more kinds than this is kept as generic kinds (WIDE after the element's name, no class has a space), to which all of its elements belong.
+MOST_KINDS = 4 * LONGEST
+WIDE = " *"
 
 
 def _signature(name: str, attributes: str) -> str:
@@ -80,6 +84,24 @@ def _is_article(signature: str) -> bool:
     return name in ("article", "main") or "main" in words and name != "header" or any(w in ARTICLE_WORDS for w in words)
 
 
+@lru_cache(1 << 14)
+def _generic(signature: str) -> str:
+    """The kind that stands for all elements of a name that are alike named as the article, as aside, or neither."""
+    if signature == "#":
+        return signature
+    marks = ["article-body"] if _is_article(signature) else []
+    if _is_aside(signature, True):
+        marks.append("ad")
+    elif _is_aside(signature, False):
+        marks.append("masthead")
+    return ".".join([signature.split(".")[0], WIDE, *marks])
+
+
+def _starts(path: tuple[str, ...], top: tuple[str, ...]) -> bool:
+    """Whether a page's path leads through the elements of a wrapper's path."""
+    return path[: len(top)] == top or len(path) >= len(top) and all(a == b or WIDE in b and _generic(a) == b for a, b in zip(path, top, strict=False))
+
+
 def events(page: str) -> Iterator[tuple[str, tuple[str, ...] | None, str]]:
     """The stream of a page: ("open"|"close", path, ""), ("text", None, text) and ("space", None, "")."""
     path: list[str] = []
@@ -187,12 +209,16 @@ def _folded(items: list) -> list:
 
 
 def _shortened(items: list) -> list:
-    if len(items) <= LONGEST:
+    """A long row as a set with one group of each kind; with too many kinds, and once there is a generic one, all become generic, so that none is lost."""
+    wide = any(WIDE in x[1] for x in items)
+    if len(items) <= LONGEST and not wide:
         return items
+    if wide or len(items) > MOST_KINDS and len({x[1] for x in items}) > MOST_KINDS:
+        items = [[x[0], _generic(x[1]), *x[2:]] for x in items]
     kinds: dict[str, list] = {}
     for item in items:
         kinds[item[1]] = _same(kinds[item[1]], item) if item[1] in kinds else item
-    return [["*", *x[1:]] for x in list(kinds.values())[: 4 * LONGEST]]
+    return [["*", *x[1:]] for x in kinds.values()]
 
 
 def aligned(a: list, b: list) -> list:
@@ -241,7 +267,10 @@ def expression(items: list) -> str:
 
 
 def article_roots(items: list) -> list[list[str]]:
-    """Paths of the elements that hold the article: the outermost named as one outside menus and the like; else the element with most of the text in slots."""
+    """Paths of the elements that hold the article: the outermost named as one outside menus and the like; else the element with most of the text in slots.
+
+    A generic kind is never that element, as it stands for many; the element around it is.
+    """
     named: list[tuple[str, ...]] = []
     mass: dict[tuple[str, ...], int] = {}
 
@@ -265,7 +294,7 @@ def article_roots(items: list) -> list[list[str]]:
         return [list(p) for p in inner if not any(p != q and p[: len(q)] == q for q in inner)]
     if not total:
         return []
-    deep = max((p for p in mass if mass[p] * 10 >= total * 7 and not re.fullmatch(r"(?:p|h\d|li|td|th|tr|dd|dt|pre)(?:\..*)?", p[-1] if p else "")), key=len, default=())
+    deep = max((p for p in mass if mass[p] * 10 >= total * 7 and not re.fullmatch(r"(?:p|h\d|li|td|th|tr|dd|dt|pre)(?:\..*)?", p[-1] if p else "") and not any(WIDE in s for s in p)), key=len, default=())
     return [list(deep)]
 
 
@@ -292,7 +321,7 @@ def main_text(page: str, roots: list[list[str]]) -> str:
                 parts = []
                 if path is not None:
                     now = path if kind == "open" else path[:-1]
-                    keep = any(now[: len(t)] == t for t in tops) and not any(_is_aside(s, any(map(_is_article, now[:k]))) for k, s in enumerate(now))
+                    keep = any(_starts(now, t) for t in tops) and not any(_is_aside(s, any(map(_is_article, now[:k]))) for k, s in enumerate(now))
         if parts and (block := " ".join(html.unescape("".join(parts)).split())):
             blocks.append(block)
         if blocks:

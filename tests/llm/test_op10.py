@@ -66,3 +66,21 @@ def test_long_nested_and_unclosed_pages_end():
     assert wrappers.main_text('<article><p>a</p><div hidden><p>b</p></div><div style="display: none"><p>c</p></div><video>no</video><p>d</p></article>', []) == "a\nd"
     assert wrappers.main_text("<a href='" * 2000, []) == ""
     assert wrappers.main_text("<p>x " * 5000, [[]]).count("\n") == 4999
+
+
+def test_hosts_of_many_kinds_lose_no_article():
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    page = lambda i: f"<body><article class='teaser'><p>short</p></article><article id='{name(i)}'><p>text {name(i)}</p></article><div class='ad {name(i)}'><p>buy</p></div></body>"
+    for order in (range(400), reversed(range(400))):
+        got = None
+        for i in order:
+            own = wrappers.page_wrapper(page(i))
+            got = own if got is None else wrappers.aligned(got, own)
+        roots = wrappers.article_roots(got)
+        assert len(roots) < 5
+        assert all(wrappers.main_text(page(i), roots) == f"short\ntext {name(i)}" for i in range(400))
+    plain = lambda i: f"<body><h1>{name(i)}</h1><div class='{name(i)}'><p>text {name(i)}</p></div></body>"
+    got = wrappers.page_wrapper(plain(0))
+    for i in range(1, 300):
+        got = wrappers.aligned(got, wrappers.page_wrapper(plain(i)))
+    assert all(wrappers.main_text(plain(i), wrappers.article_roots(got)) == f"{name(i)}\ntext {name(i)}" for i in range(300))
