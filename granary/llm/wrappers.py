@@ -24,7 +24,7 @@ from granary.llm import common
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|select|button|object|canvas|video|audio|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|iframe|svg|select|button|object|canvas|video|audio|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
@@ -32,6 +32,13 @@ _TOKEN = re.compile(
     r"|([^<]+|<)",
     re.S | re.I,
 )
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template textarea iframe svg object canvas video audio title".split()}
+_ENDS |= {name: re.compile(rf"</{name}\s*>|<(?={name}\b)", re.I) for name in ("select", "button")}  # they never hold one another, so a second one says that the first has no end
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+/>\Z")
+#: Their content is no markup: no slash closes them.
+RAW = set("script style textarea title".split())
+#: Without an end they reach to the page's end; of other elements without an end only the opening tag goes.
+TO_THE_END = set("script style title".split())
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
@@ -102,12 +109,33 @@ def _starts(path: tuple[str, ...], top: tuple[str, ...]) -> bool:
     return path[: len(top)] == top or len(path) >= len(top) and all(a == b or WIDE in b and _generic(a) == b for a, b in zip(path, top, strict=False))
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """The page's tags, texts and so on; an element whose content is never text of the page is one token with it."""
+    at, endless = 0, set()
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        yield m
+        at = m.end()
+        if m[1] is None:
+            continue
+        name = m[1].lower()
+        if name in endless or name not in RAW and page[at - 2] == "/" and not _UNQUOTED.search(page, m.start(), at):
+            continue
+        end = _ENDS[name].search(page, at)
+        if end and end[0].startswith("</"):
+            at = end.end()
+        elif name in TO_THE_END:
+            return
+        elif not end:  # the search is not made again
+            endless.add(name)
+
+
 def events(page: str) -> Iterator[tuple[str, tuple[str, ...] | None, str]]:
     """The stream of a page: ("open"|"close", path, ""), ("text", None, text) and ("space", None, "")."""
     path: list[str] = []
     names: list[str] = []
     deeper: dict[str, int] = {}  # open blocks below DEEPEST, which only end other blocks
-    for m in _TOKEN.finditer(page):
+    for m in _tokens(page):
         _, end, name, attributes, text = m.groups()
         if text is not None:
             yield "text", None, text

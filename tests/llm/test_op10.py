@@ -84,3 +84,13 @@ def test_hosts_of_many_kinds_lose_no_article():
     for i in range(1, 300):
         got = wrappers.aligned(got, wrappers.page_wrapper(plain(i)))
     assert all(wrappers.main_text(plain(i), wrappers.article_roots(got)) == f"{name(i)}\ntext {name(i)}" for i in range(300))
+
+
+def test_elements_closed_by_a_slash_or_never_drop_nothing_else():
+    text = lambda inner: wrappers.main_text(f"<article><p>a</p>{inner}<p>b</p></article>", [["article"]])
+    for inner in ("<svg class='icon'/>", "<SVG/>", "<svg a=b />", "<iframe src='x'/>", "<button>", "<select>", "<canvas>", "<object data=x>", "<button/><p></p><button>Go</button>", "<svg/><svg><p>x</p></svg>", "<svg><p>x</p></svg>", "<object data=http://x/><p>x</p></object>", "<script src='x'/><p>x</p></script>", "<textarea/><p>x</p></textarea>", "<style>p{}</STYLE >"):
+        assert text(inner) == "a\nb", inner
+    assert text("<button><p>c</p><button>Go</button>") == "a\nc\nb"
+    for inner in ("<script>", "<style>", "<title>"):
+        assert text(inner) == "a", inner
+    assert text("<button><svg>" * 50_000).startswith("a")
