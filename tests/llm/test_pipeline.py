@@ -45,3 +45,21 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     assert any(gone for _, gone, _ in left.values()) and all(r.n_chars == len(r.text) for r in kept[3].values())
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in last} == set(kept[3]) == set(kept[4])
+
+
+def test_near_copies_at_four_fifths_go(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    rows, want = [], set()
+    for k in range(120):
+        own = [word() for _ in range(200)]
+        other = list(own)
+        for i in rng.sample(range(0, 200, 8), 4 if k % 2 else 9):
+            other[i] = word()
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+        a, b = map(shingles, (rows[-2][1], rows[-1][1]))
+        want |= {2 * k} | ({2 * k + 1} if len(a & b) < 0.8 * len(a | b) else set())
+    assert 160 < len(want) < 200
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
