@@ -16,8 +16,13 @@ LEAST_ALIKE = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those whose language is too uncertain; lang stays as it came."""
+    """Rejects documents without a letter and those whose language is too uncertain; lang stays as it came.
+
+    Where no document has a language, none can be learned, and only documents without a letter are rejected.
+    """
     model = language.fit(docs)
+    if not model.families:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.identify(docs, model, carry=tuple(docs.columns))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 

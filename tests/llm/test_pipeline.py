@@ -63,3 +63,18 @@ def test_near_copies_at_four_fifths_go(spark):
     assert 160 < len(want) < 200
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+def test_null_and_repeated_ids_are_judged_by_their_texts(spark):
+    rng = random.Random(8)
+    text = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (7, text[2]), (5, text[3]), (5, text[4]), (5, text[4]), (3, text[3]), (9, text[5]), (9, text[5]), (None, None), (4, "")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    want = [(None, text[0]), (None, text[1]), (7, text[2]), (3, text[3]), (5, text[4]), (9, text[5]), (4, "")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_without_any_language_lettered_texts_stay(spark):
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "ä", None)]
+    got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 4]
