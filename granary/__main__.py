@@ -1,4 +1,4 @@
-"""python -m granary COMMAND: filter, mix, trees, sources or verdicts over files."""
+"""python -m granary COMMAND: filter, mix, trees or verdicts over files."""
 
 from __future__ import annotations
 

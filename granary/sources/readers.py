@@ -69,10 +69,12 @@ def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def token_shards(spark: SparkSession, folder: str, split: str) -> DataFrame:
-    """Rows (file, ids) of {split}_*.bin in the order of the files' names; ids are unsigned 16-bit numbers."""
+    """Rows (file, ids) of {split}_*.bin, or of *.bin if there are none, in the order of the files' names; ids are unsigned 16-bit numbers."""
     @F.pandas_udf("array<int>")
     def unpacked(content: pd.Series) -> pd.Series:
         return content.map(lambda b: np.frombuffer(b, "uint16").astype("int32"))
 
     rows = spark.read.format("binaryFile").option("pathGlobFilter", f"{split}_*.bin").load(folder)
+    if rows.select("path").isEmpty():
+        rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
     return rows.select(F.col("path").alias("file"), unpacked("content").alias("ids")).orderBy("file")

@@ -88,3 +88,13 @@ def test_writers(spark, tmp_path):
     with pytest.raises(ValueError):
         writers.write_mix(mix, paths[0], paths[0], paths[2], {})
     assert writers.path_id({"revision": "r"}, "t", "l").startswith("oasst1-") and len(writers.path_id({}, "t", "l")) == 31
+
+
+def test_token_shards_fall_back_to_all_shards(spark, tmp_path):
+    from granary.sources import readers
+
+    (tmp_path / "b.bin").write_bytes(bytes([3, 0]))
+    (tmp_path / "a.bin").write_bytes(bytes([1, 0, 2, 0]))
+    assert [r.ids for r in readers.token_shards(spark, str(tmp_path), "train").collect()] == [[1, 2], [3]]
+    (tmp_path / "train_0.bin").write_bytes(bytes([9, 0]))
+    assert [r.ids for r in readers.token_shards(spark, str(tmp_path), "train").collect()] == [[9]]
