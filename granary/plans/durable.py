@@ -4,17 +4,61 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Lets Spark delete the shuffle files of a statement once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written under spark.checkpoint.dir and read again: lineage is cut and lost executors cost nothing. A temporary folder is set only where the session names none."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a temporary folder is, but only if the driver runs the tasks itself: the executors of a cluster
+    would each write to a disk of their own, and what is read back would be incomplete.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = got.get() if got.isDefined() else None
+    if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/granary-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return at.rstrip("/")
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read again: lineage is cut, and lost executors cost no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
+    with _cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read any more; other DataFrames are left alone."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path:
+            jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            table._stored_at = None
