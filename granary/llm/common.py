@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -13,6 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.plans.durable import discard, shared_dir, stored
+
+__all__ = ["discard", "shared_dir", "stored"]
+
 #: Characters of text that one step of a Python operator holds as Python objects.
 SLICE_CHARS = 1_500_000
 
@@ -26,27 +28,6 @@ def held_out(key: str, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)) == 2, F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = got.get() if got.isDefined() else None
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """df written as a table in the shared folder and read again, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/granary-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what led here
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """fn applied to each Arrow batch of df."""
 
@@ -92,16 +73,23 @@ def slices(sizes: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def large_buckets(rows: DataFrame, bucket: str, most: int) -> DataFrame:
+    """Rows (_bucket, _n) of the buckets of over `most` rows, stored: at most a row for each `most` rows."""
+    sizes = rows.groupBy(F.col(bucket).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    return stored(sizes.where(F.col("_n") > most))
+
+
 def in_buckets(rows: DataFrame, bucket: str, spread: str, work: Callable[[pa.Table], pa.Table], schema: str, total: int, most: int = 2048) -> DataFrame:
     """work applied to groups of whole buckets of rows, sorted by (bucket, lo, hi); every two rows of a bucket meet in one group at least.
 
     A bucket of over `most` rows is dealt by `spread` into blocks of about that many, and each pair of blocks (lo, hi) becomes a
     bucket of its own: a row goes to as many of them as there are blocks, so no task holds more than two blocks of a bucket. work
     gets the added columns blk, lo and hi and pairs rows of equal (bucket, lo, hi) where lo = hi or their blk differ. total:
-    the number of rows, from which the number of groups follows.
+    the number of rows. The number of groups follows from the rows once they are dealt, so a group holds about 8 * most.
     """
-    large = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).withColumnRenamed(bucket, "_bucket")
+    large = large_buckets(rows, bucket, most)
     blocks = F.coalesce(F.ceil(F.col("_n") / most), F.lit(1))
+    more = large.agg(F.coalesce(F.sum(F.col("_n") * (blocks - 1)), F.lit(0)).alias("more")).first()["more"]
     dealt = (
         rows.join(large, F.col(bucket) == F.col("_bucket"), "left")
         .withColumn("_blocks", blocks)
@@ -111,7 +99,7 @@ def in_buckets(rows: DataFrame, bucket: str, spread: str, work: Callable[[pa.Tab
         .withColumn("hi", F.greatest("blk", "_other"))
         .drop("_n", "_bucket", "_blocks", "_other")
     )
-    groups = max(1, -(-total // (8 * most)))
+    groups = max(1, -(-(total + more) // (8 * most)))
 
     def sorted_work(table: pa.Table) -> pa.Table:
         return work(table.sort_by([(bucket, "ascending"), ("lo", "ascending"), ("hi", "ascending")]))
@@ -184,6 +172,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select("u", "m").union(joined.where("v <> m").select("v", "m")).toDF("u", "v").distinct()
         after = stored(small)
+        discard(pairs, lowest, large, least)
         # done when every node hangs on one node that hangs on none
         roots = after.select(F.col("v").alias("u")).distinct()
         open_ = after.join(roots, "u", "left_semi").limit(1).count() or after.groupBy("u").count().where("count > 1").limit(1).count()
