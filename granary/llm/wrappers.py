@@ -1,9 +1,15 @@
 """Operator 10: main-text extraction by wrappers inferred for each host as union-free regular expressions.
 
-A page is a stream of block tags and text. Streams of the same host are aligned one after the other: what agrees stays, a
-text that differs becomes a slot, elements that one stream lacks become optional, and neighbours of the same kind become a
-repeated group. Partial wrappers merge in the same way, first within batches, then within parts of a host, then by host. The
-wrapper tells where a host's articles are; pages are read along it.
+A page is a stream of block tags and text. Its own wrapper folds neighbours of one kind into repeated groups. Wrappers of the same
+host are aligned: kinds that both have stay, those that one lacks become optional, elements whose names differ at the same
+place become one whose name is what they share, and text is a slot unless the same blocks are on every page. Pages of equal
+form are added up first, in any order; wrappers of different forms are aligned in the order of their content, so the result
+depends on neither partitions nor the order of pages.
+
+The wrapper then says which of its elements hold the article, and each page is matched against it. Slots and repeated groups
+with slots are content, text that all pages share is not, nor are groups of links. Where slots alone cannot tell (adverts,
+comments and menus differ from page to page too), names of elements break the tie: a part named like one that is never the article
+is left out, unless it holds what the page is about.
 """
 
 from __future__ import annotations
@@ -12,11 +18,13 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,71 +50,58 @@ TO_THE_END = set("script style title".split())
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
-# Elements that make blocks; those that are never the article; words of a class, id or role that name such parts, and beginnings of such words; names of an article's element.
+# Elements that make blocks; those that are never the article; words of a class, id or role that name such parts, and beginnings of such words; those that name headers, which an article has too; those that name comments; names of an article's element.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ASIDE_TAGS = set("aside dialog footer form head menu nav".split())
 ASIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay nav navbar navigation menu "
-    "breadcrumb breadcrumbs sidebar aside footer masthead header topbar toolbar comment comments reply replies discussion disqus share sharing social related recommended newsletter subscribe signup login search form pagination pager widget hiddenelement".split()
+    "breadcrumb breadcrumbs sidebar aside footer topbar toolbar share sharing social related recommended newsletter subscribe signup login search form pagination pager widget".split()
 )
-ASIDE_STARTS = ("comment", "advert", "cookie", "sidebar", "newsletter", "sponsor", "breadcrumb", "navig", "promo")
+ASIDE_STARTS = ("advert", "cookie", "sidebar", "newsletter", "sponsor", "breadcrumb", "navig", "promo")
+HEADER_WORDS = {"header", "masthead"}
+COMMENT_WORDS = set("comment comments reply replies disqus".split())
 ARTICLE_WORDS = {"articlebody", "article-body", "entry-content", "post-content", "article-content", "article__body", "story-body"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_ITSELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
 
-
-#: Blocks nested deeper take no part in wrappers; their text belongs to the block above.
+#: Blocks nested deeper take no part in wrappers: their text belongs to the block above, and only their own names can leave them out.
 DEEPEST = 120
-#: A row of more items than this is kept as a set of optional repeated groups, one of each kind.
-LONGEST = 48
-#: A row of more kinds than this is kept as generic kinds (WIDE after the element's name, no class has a space), to which all of its elements belong.
-MOST_KINDS = 4 * LONGEST
-WIDE = " *"
-
-
-def _signature(name: str, attributes: str) -> str:
-    """An element's name with its classes, id and role, numbers left out."""
-    if not attributes.strip():
-        return name
-    words: list[str] = ["hiddenelement"] if _HIDDEN.search(attributes) else []
-    for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        if key.lower() in ("class", "id", "role", "itemprop"):
-            words += re.sub(r"\d+", "0", (a or b or c).lower()).split()
-    return ".".join([name, *sorted(set(words))])
-
-
-def _is_aside(signature: str, inside_article: bool) -> bool:
-    name, *words = signature.split(".")
-    if name in ASIDE_TAGS or name == "header" and not inside_article:
-        return True
-    if name in ("html", "body", "main", "article"):
-        words = [w for w in words if w in ("comment", "comments", "reply", "ad", "advert", "related")]
-    parts = {part for w in words for part in (w, *re.split(r"[-_]+", w))}
-    if inside_article:
-        parts -= {"header", "masthead"}
-    return bool(parts & ASIDE_WORDS) or any(p.startswith(ASIDE_STARTS) for p in parts)
-
-
-def _is_article(signature: str) -> bool:
-    name, *words = signature.split(".")
-    return name in ("article", "main") or "main" in words and name != "header" or any(w in ARTICLE_WORDS for w in words)
-
-
-@lru_cache(1 << 14)
-def _generic(signature: str) -> str:
-    """The kind that stands for all elements of a name that are alike named as the article, as aside, or neither."""
-    if signature == "#":
-        return signature
-    marks = ["article-body"] if _is_article(signature) else []
-    if _is_aside(signature, True):
-        marks.append("ad")
-    elif _is_aside(signature, False):
-        marks.append("masthead")
-    return ".".join([signature.split(".")[0], WIDE, *marks])
-
-
-def _starts(path: tuple[str, ...], top: tuple[str, ...]) -> bool:
-    """Whether a page's path leads through the elements of a wrapper's path."""
-    return path[: len(top)] == top or len(path) >= len(top) and all(a == b or WIDE in b and _generic(a) == b for a, b in zip(path, top, strict=False))
+#: Text is told to be the same on all pages from so many pages on; pages that differ only in parts named as none of the article count as one.
+FEWEST_PAGES = 3
+#: So many wrappers are aligned in one task.
+FAN_IN = 256
+
+
+@lru_cache(1 << 16)
+def signature(name: str, attributes: str) -> tuple[str, str, tuple[str, ...]]:
+    """An element's name; what its names say (a: aside, c: comments, h: hidden, t: a header, r: article, else nothing); its classes, id and role without numbers."""
+    words: set[str] = set()
+    told: set[str] = set()
+    if attributes.strip():
+        for key, a, b, c in _ATTRIBUTE.findall(attributes):
+            key = key.lower()
+            if key in ("class", "id", "role", "itemprop"):
+                own = (a or b or c).lower().split()
+                words.update(re.sub(r"\d+", "0", w) for w in own)
+                if not (key == "id" and name in HEADINGS):  # a heading's id is made of its text
+                    told.update(own)
+        if _HIDDEN.search(attributes):
+            return name, "h", tuple(sorted(words))
+    kind = ""
+    if name in ("html", "body"):
+        told = set()
+    elif name in ("main", "article"):
+        told = {w for w in told if w in COMMENT_WORDS or w in ("ad", "advert", "related")}
+    parts = {part for w in told for part in (w, *re.split(r"[-_]+", w))}
+    if parts & COMMENT_WORDS or any(p.startswith("comment") for p in parts):
+        kind = "c"
+    elif name in ASIDE_TAGS or parts & ASIDE_WORDS or any(p.startswith(ASIDE_STARTS) for p in parts):
+        kind = "a"
+    elif name == "header" or parts & HEADER_WORDS:
+        kind = "t"
+    elif name in ("article", "main") or told & (ARTICLE_WORDS | {"main"}):
+        kind = "r"
+    return name, kind, tuple(sorted(words))
 
 
 def _tokens(page: str) -> Iterator[re.Match]:
@@ -130,231 +125,472 @@ def _tokens(page: str) -> Iterator[re.Match]:
             endless.add(name)
 
 
-def events(page: str) -> Iterator[tuple[str, tuple[str, ...] | None, str]]:
-    """The stream of a page: ("open"|"close", path, ""), ("text", None, text) and ("space", None, "")."""
-    path: list[str] = []
+def events(page: str) -> Iterator[tuple[str, str, str]]:
+    """The stream of a page: ("open", name, attributes) and ("close", name, "") of blocks, ("text", text, ""), ("space", "", ""), ("break", "", "") between blocks, and ("link", "", "/" at its end)."""
     names: list[str] = []
-    deeper: dict[str, int] = {}  # open blocks below DEEPEST, which only end other blocks
+    there: Counter[str] = Counter()
+
+    def close() -> tuple[str, str, str]:
+        there[names[-1]] -= 1
+        return "close", names.pop(), ""
+
     for m in _tokens(page):
         _, end, name, attributes, text = m.groups()
         if text is not None:
-            yield "text", None, text
+            yield "text", text, ""
             continue
         if name is None:
             continue
         name = name.lower()
         if name == "br":
-            yield "space", None, ""
+            yield "space", "", ""
+        elif name == "a":
+            yield "link", "", end
         if name not in BLOCKS:
             continue
         if end:
-            if deeper.get(name):
-                deeper[name] -= 1
-                yield "close", None, ""
-            elif name in names:
-                deeper.clear()
-                while names:
-                    yield "close", tuple(path), ""
-                    path.pop()
-                    if names.pop() == name:
-                        break
+            if there[name]:
+                while names[-1] != name:
+                    yield close()
+                yield close()
             else:
-                yield "close", None, ""
+                yield "break", "", ""
             continue
-        if "p" in names:  # a block ends an open paragraph
-            while "p" in names:
-                yield "close", tuple(path), ""
-                path.pop()
-                names.pop()
-        if name in CLOSES_ITSELF:
+        while there["p"]:  # a block ends an open paragraph
+            yield close()
+        if name in CLOSES_ITSELF and any(there[x] for x in (name, "dt", "dd", "td", "th")):
             for k in range(len(names) - 1, -1, -1):
                 if names[k] in CLOSES_ITSELF[name]:
                     break
                 if names[k] == name or {name, names[k]} in ({"dt", "dd"}, {"td", "th"}):
                     for _ in range(len(names) - k):
-                        yield "close", tuple(path), ""
-                        path.pop()
-                        names.pop()
+                        yield close()
                     break
         if name == "hr":
-            yield "close", None, ""
-            continue
-        if len(names) >= DEEPEST:
-            deeper[name] = deeper.get(name, 0) + 1
-            yield "close", None, ""
+            yield "break", "", ""
             continue
         names.append(name)
-        path.append(_signature(name, attributes))
-        yield "open", tuple(path), ""
-
-
-# A wrapper is a list of items [how often, signature, items, fixed text or None, characters]; how often is 1, ?, + or *; a text has the signature "#".
-def page_wrapper(page: str) -> list:
-    """The wrapper of one page: its own stream with neighbours of the same kind folded into repeated groups."""
-    root: list = []
-    stack = [root]
-    for kind, path, text in events(page):
-        if kind == "open":
-            item = ["1", path[-1], [], None, 0]
-            stack[-1].append(item)
-            stack.append(item[2])
-        elif kind == "close" and path is not None:
-            stack.pop()
-        elif kind == "text" and not text.isspace():
-            own = stack[-1]
-            if own and own[-1][1] == "#":
-                own[-1][3] = zlib.crc32(text.encode("utf-8", "replace"), own[-1][3])
-                own[-1][4] += len(text)
+        there[name] += 1
+        yield "open", name, attributes
+
+
+def _mark(text: str) -> int:
+    """What two equal blocks share; white space within does not count."""
+    return zlib.crc32(" ".join(text.split()).encode("utf-8", "replace"))
+
+
+class Node:
+    """An element of a wrapper: its signature, if some parents lack it, if it repeats; over all pages that have it their number, marks of a few that differ, the characters of its own text, of links in it and the number of those; the marks of own blocks that all of them have, the most that one has; and its elements by signature, in order."""
+
+    __slots__ = ("chars", "inside", "links", "most", "nlinks", "optional", "pages", "repeated", "seen", "shared", "sign")
+
+    def __init__(self, sign: tuple[str, str, tuple[str, ...]]):
+        self.sign, self.optional, self.repeated = sign, False, False
+        self.pages, self.seen, self.chars, self.links, self.nlinks, self.most = 1, [], 0, 0, 0, 0
+        self.shared: set[int] = set()
+        self.inside: dict[tuple, Node] = {}
+
+    def packed(self) -> list:
+        name, kind, words = self.sign
+        return [name, kind, " ".join(words), int(self.optional), int(self.repeated), self.pages, self.seen, self.chars, self.links, self.nlinks, self.most, sorted(self.shared), [x.packed() for x in self.inside.values()]]
+
+    @classmethod
+    def unpacked(cls, own: list) -> Node:
+        out = cls((own[0], own[1], tuple(own[2].split())))
+        out.optional, out.repeated, out.pages, out.seen, out.chars, out.links, out.nlinks, out.most = bool(own[3]), bool(own[4]), *own[5:11]
+        out.shared = set(own[11])
+        for x in map(cls.unpacked, own[12]):
+            out.inside[x.sign] = x
+        return out
+
+    def form(self) -> str:
+        """The signatures within, in order: pages of equal form can be added up in any order."""
+        name, kind, words = self.sign
+        return f"<{name} {kind} {' '.join(words)}>{''.join(x.form() for x in self.inside.values())}</>"
+
+    @property
+    def slot(self) -> bool:
+        """Whether its own text differs from page to page, or too few pages tell."""
+        return self.most > len(self.shared) or len(self.seen) < FEWEST_PAGES and bool(self.shared)
+
+
+def page_wrapper(page: str) -> Node:
+    """The wrapper of one page: its own stream with elements of a kind under one parent folded into a repeated group."""
+    root = Node(("", "", ()))
+    stack, quiet, deeper, linked = [root], [False], 0, 0  # quiet: within a part that is named as none of the article
+    parts: list[tuple[str, int]] = []
+    said, size = [0, 0], [0, 0]  # sums of the marks, and characters, outside and within such parts: pages that differ in adverts only are one
+
+    def end_block() -> None:
+        text = "".join(t for t, _ in parts)
+        if text and not text.isspace():
+            own, m, n = stack[-1], _mark(text), sum(len(t) for t, _ in parts if not t.isspace())
+            own.shared.add(m)
+            own.chars += n
+            own.links += sum(len(t) for t, k in parts if k)
+            said[quiet[-1]] += m
+            size[quiet[-1]] += n
+        parts.clear()
+
+    for kind, a, b in events(page):
+        if kind == "text":
+            parts.append((a, linked))
+        elif kind == "space":
+            parts.append((" ", 0))
+        elif kind == "link":
+            linked = 0 if b else 1
+            stack[-1].nlinks += linked
+        elif kind == "open":
+            end_block()
+            if len(stack) > DEEPEST:
+                deeper += 1
             else:
-                own.append(["1", "#", [], zlib.crc32(text.encode("utf-8", "replace")), len(text)])
-    return _folded(root)
-
-
-def _same(a: list, b: list) -> list:
-    often = "1" if a[0] == b[0] == "1" else {(False, False): "?", (False, True): "+", (True, False): "?", (True, True): "*"}[a[0] in "?*" or b[0] in "?*", a[0] in "+*" or b[0] in "+*"]
-    if a[1] == "#":
-        return [often, "#", [], a[3] if a[3] == b[3] else None, a[4] + b[4]]
-    return [often, a[1], aligned(a[2], b[2]), None, 0]
-
-
-def _folded(items: list) -> list:
-    """Neighbours of the same kind, and neighbouring pairs of two kinds, as one repeated group each."""
-    for item in items:
-        item[2] = _folded(item[2])
-    out: list = []
-    for item in items:
-        if out and out[-1][1] == item[1] != "#":
-            both = _same(out[-1], item)
-            both[0] = "*" if "?" in (out[-1][0], item[0]) or "*" in (out[-1][0], item[0]) and out[-1][0] != "+" != item[0] else "+"
-            out[-1] = both
-        elif len(out) >= 3 and out[-1][1] == out[-3][1] and out[-2][1] == item[1] and "#" not in (item[1], out[-1][1]):
-            last = out.pop()
-            out[-2], out[-1] = _same(out[-2], last), _same(out[-1], item)
-            out[-2][0] = out[-1][0] = "+"
-        else:
-            out.append(item)
-    return _shortened(out)
-
-
-def _shortened(items: list) -> list:
-    """A long row as a set with one group of each kind; with too many kinds, and once there is a generic one, all become generic, so that none is lost."""
-    wide = any(WIDE in x[1] for x in items)
-    if len(items) <= LONGEST and not wide:
-        return items
-    if wide or len(items) > MOST_KINDS and len({x[1] for x in items}) > MOST_KINDS:
-        items = [[x[0], _generic(x[1]), *x[2:]] for x in items]
-    kinds: dict[str, list] = {}
-    for item in items:
-        kinds[item[1]] = _same(kinds[item[1]], item) if item[1] in kinds else item
-    return [["*", *x[1:]] for x in kinds.values()]
-
-
-def aligned(a: list, b: list) -> list:
-    """Two wrappers as one: the longest common row of kinds stays, and what only one has becomes optional."""
-    n, m = len(a), len(b)
-    if [x[1] for x in a] == [x[1] for x in b]:
-        return _folded_flat([_same(x, y) for x, y in zip(a, b, strict=True)])
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][1] == b[j][1] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    maybe = lambda x: [{"1": "?", "+": "*"}.get(x[0], x[0]), *x[1:]]
-    while i < n or j < m:
-        if i < n and j < m and a[i][1] == b[j][1]:
-            out.append(_same(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(maybe(a[i]))
-            i += 1
+                stack.append(Node(signature(a, b)))
+                quiet.append(quiet[-1] or stack[-1].sign[1] not in ("", "r"))
         else:
-            out.append(maybe(b[j]))
-            j += 1
-    return _folded_flat(out)
-
-
-def _folded_flat(items: list) -> list:
-    out: list = []
-    for item in items:
-        if out and out[-1][1] == item[1] != "#":
-            both = _same(out[-1], item)
-            both[0] = "+" if "1" in (out[-1][0], item[0]) or "+" in (out[-1][0], item[0]) else "*"
-            out[-1] = both
+            end_block()
+            if kind == "close":
+                if deeper:
+                    deeper -= 1
+                else:
+                    quiet.pop()
+                    _put(stack[-2].inside, stack.pop())
+    end_block()
+    while len(stack) > 1:
+        _put(stack[-2].inside, stack.pop())
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        x.seen, x.most = [(said[0] if 4 * size[0] > size[1] else sum(said)) & 0xFFFFFFFF], len(x.shared)
+        todo += x.inside.values()
+    return root
+
+
+def _put(row: dict[tuple, Node], own: Node) -> None:
+    """One more element into the row of its parent's elements on the same page."""
+    got = row.get(own.sign)
+    if got is None:
+        row[own.sign] = own
+        return
+    got.repeated = True
+    got.optional |= own.optional
+    got.chars, got.links, got.nlinks = got.chars + own.chars, got.links + own.links, got.nlinks + own.nlinks
+    got.shared |= own.shared
+    for sign, x in got.inside.items():
+        x.optional |= sign not in own.inside
+    for sign, x in own.inside.items():
+        again = x.repeated or sign in got.inside and got.inside[sign].repeated
+        x.optional |= sign not in got.inside
+        _put(got.inside, x)
+        got.inside[sign].repeated = again  # once in each is not repeated
+
+
+def aligned(a: Node, b: Node) -> Node:
+    """Two wrappers of different pages as one; a and b are used up."""
+    a.optional |= b.optional
+    a.repeated |= b.repeated
+    a.pages, a.chars, a.links, a.nlinks, a.most = a.pages + b.pages, a.chars + b.chars, a.links + b.links, a.nlinks + b.nlinks, max(a.most, b.most)
+    a.seen = sorted({*a.seen, *b.seen})[:FEWEST_PAGES]
+    a.shared &= b.shared
+    if list(a.inside) == list(b.inside):
+        for sign, x in a.inside.items():
+            aligned(x, b.inside[sign])
+    else:
+        a.inside = _row(list(a.inside.values()), b.inside)
+    return a
+
+
+def _longest_rise(x: list[int]) -> set[int]:
+    """Members of a longest increasing subsequence of distinct numbers."""
+    from bisect import bisect_left
+
+    tails: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for i, v in enumerate(x):
+        k = bisect_left(tails, v)
+        before.append(at[k - 1] if k else -1)
+        if k == len(tails):
+            tails.append(v)
+            at.append(i)
         else:
-            out.append(item)
-    return _shortened(out)
+            tails[k], at[k] = v, i
+    out, i = set(), at[-1] if at else -1
+    while i >= 0:
+        out.add(x[i])
+        i = before[i]
+    return out
 
 
-def expression(items: list) -> str:
-    """A wrapper written as a regular expression, with #PCDATA for slots and #TEXT for texts that are the same on every page."""
-    out = []
-    for often, signature, inner, fixed, _ in items:
-        body = ("#PCDATA" if fixed is None else "#TEXT") if signature == "#" else f"<{signature}>{expression(inner)}</>"
-        out.append(body if often == "1" else f"({body}){often}")
-    return "".join(out)
+def _row(a: list[Node], b: dict[tuple, Node]) -> dict[tuple, Node]:
+    """Two rows of kinds as one: the longest row of kinds in the same order in both is the spine; others of both stay once; what one lacks is optional.
 
+    Between two kinds of the spine, elements of one name that only one row has are the same element under changing
+    classes or ids, and keep those that they share.
+    """
+    place = {sign: j for j, sign in enumerate(b)}
+    others = list(b.values())
+    mine = {x.sign for x in a}
+    spine = _longest_rise([place[x.sign] for x in a if x.sign in place])
+    out: dict[tuple, Node] = {}
+
+    def put(x: Node) -> None:
+        got = out.get(x.sign)
+        if got is None:
+            out[x.sign] = x
+        else:
+            aligned(got, x)
+
+    def gap(only_a: list[Node], only_b: list[Node]) -> None:
+        waiting: dict[tuple[str, str], list[Node]] = {}
+        for y in only_b:
+            waiting.setdefault(y.sign[:2], []).append(y)
+        for x in only_a:
+            own = waiting.get(x.sign[:2])
+            if own:
+                y = own.pop(0)
+                x.sign = (*x.sign[:2], tuple(w for w in x.sign[2] if w in y.sign[2]))
+                put(aligned(x, y))
+            else:
+                x.optional = True
+                put(x)
+        for own in waiting.values():
+            for y in own:
+                y.optional = True
+                put(y)
+
+    only_a: list[Node] = []
+    done = 0
+    for x in a:
+        j = place.get(x.sign)
+        if j is None:
+            only_a.append(x)
+        elif j in spine:
+            gap(only_a, [y for y in others[done:j] if y.sign not in mine])
+            only_a, done = [], j + 1
+            put(aligned(x, others[j]))
+        else:
+            put(aligned(x, others[j]))
+    gap(only_a, [y for y in others[done:] if y.sign not in mine])
+    return out
 
-def article_roots(items: list) -> list[list[str]]:
-    """Paths of the elements that hold the article: the outermost named as one outside menus and the like; else the element with most of the text in slots.
 
-    A generic kind is never that element, as it stands for many; the element around it is.
-    """
-    named: list[tuple[str, ...]] = []
-    mass: dict[tuple[str, ...], int] = {}
-
-    def walk(own: list, path: tuple[str, ...]) -> int:
-        slots = 0
-        for _, signature, inner, fixed, chars in own:
-            if signature == "#":
-                slots += 4 * chars if fixed is None else chars
-                continue
-            if _is_aside(signature, any(map(_is_article, path))):
+def expression(own: Node) -> str:
+    """A wrapper written as a regular expression, with #PCDATA for slots and #TEXT for texts that are the same on every page."""
+    name, _, words = own.sign
+    text = "#PCDATA" if own.slot and own.chars else "#TEXT" if own.shared else ""
+    body = text + "".join(expression(x) for x in own.inside.values())
+    if not name:
+        return body
+    often = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[own.optional, own.repeated]
+    body = f"<{'.'.join([name, *words])}>{body}</>"
+    return f"({body}){often}" if often else body
+
+
+class _Judge:
+    """What each element of a wrapper is."""
+
+    def __init__(self, root: Node):
+        self.out: set[int] = set()  # elements that are left out
+        self.masses: dict[int, float] = {}
+        self.root = root
+        self.links = any(x.slot and x.chars > x.links for x in self.every(root))  # else there is nothing but links, and they are the text
+        self.total = self.mass(root, False)
+        self.visit(root, False)
+
+    @staticmethod
+    def every(x: Node) -> Iterator[Node]:
+        todo = [x]
+        while todo:
+            x = todo.pop()
+            yield x
+            todo += x.inside.values()
+
+    def aside(self, x: Node, within: bool) -> bool:
+        """Whether names tell that x is no part of the article. A header is one within an article, and where its main heading is a slot."""
+        name, kind, _ = x.sign
+        if kind == "t":
+            return not within and not any(y.sign[0] == "h1" and y.slot and len(y.seen) >= FEWEST_PAGES and y.chars > y.links for y in self.every(x))
+        return name == "head" or kind in ("a", "c", "h")
+
+    def mass(self, x: Node, within: bool) -> float:
+        """Characters of slots in x that are no links, without the parts that are named as aside, whatever x itself is named."""
+        if id(x) not in self.masses:
+            chars = (x.chars - (x.links if self.links else 0)) if x.slot else 0
+            within = within or x.sign[1] == "r"
+            self.masses[id(x)] = max(chars, 0) + sum(self.mass(y, within) for y in x.inside.values() if not self.aside(y, within))
+        return self.masses[id(x)]
+
+    def believed(self, x: Node, within: bool) -> bool:
+        """Whether x, named as aside, is: not if it has headings or paragraphs, and next to it nothing much would be left."""
+        if x.sign[0] == "head":
+            return True
+        inside, titled = self.mass(x, within), False
+        if not inside:
+            return True
+        todo, plain = [x], False
+        while todo:
+            for y in todo.pop().inside.values():
+                titled |= y.sign[0] == "h1" or y.sign[1] == "r"
+                plain |= y.sign[0] == "p" or y.sign[0] in HEADINGS
+                if not self.aside(y, within):
+                    todo.append(y)
+        if x.sign[1] == "c" or not plain and not titled:
+            return not titled or inside < self.total
+        return inside < self.total * (1 if titled else 4)
+
+    def visit(self, x: Node, within: bool) -> None:
+        within = within or x.sign[1] == "r"
+        for y in x.inside.values():
+            if self.aside(y, within):
+                if self.believed(y, within):
+                    self.out.add(id(y))
+                    continue
+                self.total += self.mass(y, within)
+            elif not within and self.menu(y):
+                self.out.add(id(y))
                 continue
-            if _is_article(signature):
-                named.append((*path, signature))
-            slots += walk(inner, (*path, signature))
-        mass[path] = mass.get(path, 0) + slots
-        return slots
-
-    total = walk(items, ())
-    inner = [p for p in named if mass.get(p, 0) > 0 and not any(len(q) > len(p) and q[: len(p)] == p and mass.get(q, 0) * 2 > mass[p] for q in named)]
-    if inner:
-        return [list(p) for p in inner if not any(p != q and p[: len(q)] == q for q in inner)]
-    if not total:
-        return []
-    deep = max((p for p in mass if mass[p] * 10 >= total * 7 and not re.fullmatch(r"(?:p|h\d|li|td|th|tr|dd|dt|pre)(?:\..*)?", p[-1] if p else "") and not any(WIDE in s for s in p)), key=len, default=())
-    return [list(deep)]
-
-
-def main_text(page: str, roots: list[list[str]]) -> str:
-    """The blocks of a page under the roots, without the parts that are never the article; where the page has no such block, its own wrapper gives the roots."""
-    for own in (roots, None):
-        if own is None:
-            own = article_roots(page_wrapper(page))
-            if own == roots:
-                return ""
-        tops = [tuple(r) for r in own]
-        blocks: list[str] = []
-        parts: list[str] = []
-        keep = () in tops
-        for kind, path, text in events(page):
-            if kind == "text":
-                if keep:
-                    parts.append(text)
-            elif kind == "space":
-                parts.append(" ")
+            self.visit(y, within)
+
+    def menu(self, x: Node) -> bool:
+        """A group of links: most of its text is in links, of which a page has several."""
+        if not self.links or x.sign[0] in HEADINGS | {"p", "li", "body", "html", "main", "article"} or x.sign[1] == "r":
+            return False
+        chars = links = n = 0
+        for y in self.every(x):
+            chars, links, n = chars + y.chars, links + y.links, n + y.nlinks
+        return n >= 2 * x.pages and links > 0.6 * chars
+
+    def roots(self) -> set[int]:
+        """Elements named as the article that hold at least half of the slots, the outermost of them, or one within that has most of its text; none if no such name helps."""
+        named: list[tuple[Node, tuple[int, ...]]] = []
+
+        def walk(x: Node, above: tuple[int, ...]) -> None:
+            for y in x.inside.values():
+                if id(y) in self.out:
+                    continue
+                if y.sign[1] == "r":
+                    named.append((y, above))
+                walk(y, (*above, id(y)))
+
+        walk(self.root, ())
+        mass = {id(x): self.mass(x, False) for x, _ in named}
+        inner = [(x, above) for x, above in named if not any(id(x) in up and mass[id(y)] * 2 > mass[id(x)] for y, up in named)]
+        chosen = [(x, above) for x, above in inner if not any(id(y) in above for y, _ in inner)]
+        top = max((mass[id(x)] for x, _ in chosen), default=0)
+        chosen = [x for x, _ in chosen if 25 * mass[id(x)] >= top]
+        return {id(x) for x in chosen} if sum(mass[id(x)] for x in chosen) * 2 >= self.total > 0 else set()
+
+
+def rules(root: Node) -> list:
+    """A wrapper as what pages are matched against: [name, kind, words, o (left out), r (holds the article) or nothing, shared marks, elements]."""
+    judge = _Judge(root)
+    roots = judge.roots()
+    varied = judge.total > 0
+
+    def of(x: Node) -> list:
+        state = "o" if id(x) in judge.out else "r" if id(x) in roots else ""
+        same = sorted(x.shared) if varied and len(x.seen) >= FEWEST_PAGES else []
+        return [x.sign[0], x.sign[1], " ".join(x.sign[2]), state, same, [] if state == "o" else [of(y) for y in x.inside.values()]]
+
+    return [bool(roots), of(root)]
+
+
+class _Match:
+    """An element of rules as pages are matched against it."""
+
+    __slots__ = ("exact", "named", "same", "state")
+
+    def __init__(self, own: list):
+        self.state, self.same = own[3], frozenset(own[4])
+        self.exact: dict[tuple, _Match] = {}
+        self.named: dict[tuple, list[tuple[frozenset, _Match]]] = {}
+        for x in own[5]:
+            words, got = tuple(x[2].split()), _Match(x)
+            self.exact[x[0], x[1], words] = got
+            self.named.setdefault((x[0], x[1]), []).append((frozenset(words), got))
+
+    def find(self, sign: tuple[str, str, tuple[str, ...]]) -> _Match | None:
+        """The element of the wrapper that a page's element is: of equal names, else the one whose names it has most of."""
+        got = self.exact.get(sign)
+        if got is None:
+            own = set(sign[2])
+            fits = [(len(words), x) for words, x in self.named.get(sign[:2], ()) if words <= own]
+            got = max(fits, key=lambda f: f[0])[1] if fits else None
+        return got
+
+
+@lru_cache(512)
+def _loaded(text: str) -> tuple[bool, _Match]:
+    rooted, top = json.loads(text)
+    return rooted, _Match(top)
+
+
+def _read(page: str, rooted: bool, top: _Match) -> str:
+    # of each open block: its match, if it is read, if it is within a root
+    stack: list[tuple[_Match | None, bool, bool]] = [(top, True, not rooted)]
+    headings: list[str] = []  # of those that all pages share; they stay if what follows them does
+    blocks: list[str] = []
+    parts: list[str] = []
+    names: list[str] = [""]
+
+    def end_block() -> None:
+        match, read, within = stack[-1]
+        raw = "".join(parts)
+        parts.clear()
+        if not raw or raw.isspace():
+            return
+        if not (read and within):
+            headings.clear()
+            return
+        text = " ".join(html.unescape(raw).split())
+        if match is not None and match.same and _mark(raw) in match.same:
+            if names[-1] in HEADINGS:
+                headings.append(text)
+            else:
+                headings.clear()
+        elif text:
+            blocks.extend(headings)
+            headings.clear()
+            blocks.append(text)
+
+    for kind, a, b in events(page):
+        if kind == "text":
+            parts.append(a)
+        elif kind == "space":
+            parts.append(" ")
+        elif kind == "open":
+            end_block()
+            match, read, within = stack[-1]
+            sign = signature(a, b)
+            named = a == "head" or sign[1] in ("a", "c", "h") or sign[1] == "t" and not (rooted and within)
+            if len(stack) > DEEPEST:
+                stack.append((match, read and not named, within))
             else:
-                if parts and (block := " ".join(html.unescape("".join(parts)).split())):
-                    blocks.append(block)
-                parts = []
-                if path is not None:
-                    now = path if kind == "open" else path[:-1]
-                    keep = any(_starts(now, t) for t in tops) and not any(_is_aside(s, any(map(_is_article, now[:k]))) for k, s in enumerate(now))
-        if parts and (block := " ".join(html.unescape("".join(parts)).split())):
-            blocks.append(block)
-        if blocks:
-            return "\n".join(blocks)
-    return ""
+                own = match.find(sign) if match is not None else None
+                if own is None:  # the wrapper does not know it, so only its names can tell
+                    read = read and not named
+                else:
+                    read = read and own.state != "o"
+                    within = within or own.state == "r"
+                stack.append((own, read, within))
+            names.append(a)
+        elif kind != "link":
+            end_block()
+            if kind == "close":
+                stack.pop()
+                names.pop()
+    end_block()
+    return "\n".join(blocks)
+
+
+def main_text(page: str, found: str | None) -> str:
+    """The article's blocks of a page by its host's rules (JSON); where they give none, by those of its own wrapper."""
+    text = _read(page, *_loaded(found)) if found else ""
+    if not text:
+        rooted, top = rules(page_wrapper(page))
+        text = _read(page, rooted, _Match(top))
+    return text
 
 
 def host_of(url: str | None) -> str:
@@ -365,59 +601,73 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _merge(table: pa.Table, by_part: bool) -> pa.Table:
-    host = table.column("host")[0].as_py()
-    part = table.column("part")[0].as_py() if by_part else 0
-    got: list | None = None
+def _added(table: pa.Table, names: tuple[str, ...]) -> pa.Table:
+    """All wrappers of a group as one, aligned in the order of their content."""
+    got: Node | None = None
     for text in sorted(table.column("wrapper").to_pylist()):
-        got = json.loads(text) if got is None else aligned(got, json.loads(text))
-    return pa.table({"host": [host], "part": pa.array([part], pa.int32()), "wrapper": [json.dumps(got)]})
+        own = Node.unpacked(json.loads(text))
+        got = own if got is None else aligned(got, own)
+    return pa.table({**{n: table.column(n)[:1] for n in names}, "wrapper": [json.dumps(got.packed(), separators=(",", ":"))]})
+
 
+def infer(pages: DataFrame, url: str = "url", page: str = "html", spread: int = 64) -> DataFrame:
+    """Rows (host, wrapper, expression, rules): each host's wrapper over all of its pages that are not null or empty.
 
-def infer(pages: DataFrame, url: str = "url", page: str = "html", parts: int = 32) -> DataFrame:
-    """Rows (host, wrapper, expression, roots): each host's wrapper over all of its pages that are not null or empty."""
+    Pages of equal form are added up in their batch, then in `spread` parts, then altogether: sums, minima and intersections,
+    in any order. A host's forms are then aligned FAN_IN at a time, dealt by a hash of the form, level by level.
+    """
 
     def work(batch: pa.RecordBatch):
-        found: dict[str, list] = {}
+        found: dict[tuple[str, int], Node] = {}
         for u, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if text:
-                host, own = host_of(u), page_wrapper(text)
-                found[host] = aligned(found[host], own) if host in found else own
-        hosts = sorted(found)
-        wrappers = [json.dumps(found[h]) for h in hosts]
-        spread = [zlib.crc32(w.encode()) % parts for w in wrappers]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(spread, pa.int32()), pa.array(wrappers, pa.string())], ["host", "part", "wrapper"])
-
-    def finish(table: pa.Table) -> pa.Table:
-        merged = _merge(table, False)
-        wrapper = json.loads(merged.column("wrapper")[0].as_py())
-        return pa.table({"host": merged.column("host"), "wrapper": merged.column("wrapper"), "expression": [expression(wrapper)], "roots": pa.array([article_roots(wrapper)], pa.list_(pa.list_(pa.string())))})
-
-    schema = "host string, part int, wrapper string"
+                own = page_wrapper(text)
+                at = host_of(u), xxhash.xxh64_intdigest(own.form().encode("utf-8", "replace")) >> 1
+                found[at] = aligned(found[at], own) if at in found else own
+        keys = sorted(found)
+        wrappers = [json.dumps(found[k].packed(), separators=(",", ":")) for k in keys]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(wrappers, pa.string())], ["host", "at", "wrapper"])
+
+    def finish(batch: pa.RecordBatch):
+        nodes = [Node.unpacked(json.loads(w)) for w in batch.column(1).to_pylist()]
+        made = [(expression(x), json.dumps(rules(x), separators=(",", ":"))) for x in nodes]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([e for e, _ in made], pa.string()), pa.array([r for _, r in made], pa.string())], ["host", "wrapper", "expression", "rules"])
+
+    schema = "host string, at long, wrapper string"
     partial = common.arrow_map(pages.select(F.col(url).alias("url"), F.col(page).alias("html")), work, schema)
-    merged = partial.groupBy("host", "part").applyInArrow(lambda t: _merge(t, True), schema)
-    return merged.groupBy("host").applyInArrow(finish, "host string, wrapper string, expression string, roots array<array<string>>")
-
-
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", most_broadcast: int = 20_000) -> DataFrame:
+    parts = partial.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(spread))).groupBy("host", "at", "part").applyInArrow(lambda t: _added(t, ("host", "at")), schema)
+    forms = common.stored(parts.groupBy("host", "at").applyInArrow(lambda t: _added(t, ("host", "at")), schema))
+    while True:
+        counts = common.stored(forms.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("n")))
+        if (counts.agg(F.max("n").alias("n")).first()["n"] or 1) <= 1:
+            common.discard(counts)
+            break
+        dealt = forms.join(counts, F.col("host") == F.col("_host")).select("host", F.pmod("at", F.ceil(F.col("n") / FAN_IN)).alias("at"), "wrapper")
+        after = common.stored(dealt.groupBy("host", "at").applyInArrow(lambda t: _added(t, ("host", "at")), schema))
+        common.discard(forms, counts)
+        forms = after
+    return common.arrow_map(forms.select("host", "wrapper"), finish, "host string, wrapper string, expression string, rules string")
+
+
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", most_broadcast: int = 32 << 20) -> DataFrame:
     """Rows (key, url, text), one for each row of pages: the article's blocks joined by line feeds.
 
-    Null and empty pages have an empty text. Pages without a host share the wrapper of the empty host. Up to
-    most_broadcast hosts the roots are broadcast (a few paths each); beyond, pages and roots meet in a shuffled join.
+    Null and empty pages have an empty text. Pages without a host share the wrapper of the empty host. Repeated rows and null
+    keys each give a row; equal pages count as one where pages are compared. Up to most_broadcast bytes the hosts' rules are
+    broadcast; beyond, pages and rules meet in a shuffled join.
     """
-    wrappers = common.stored(infer(pages, url, page))
-    roots = wrappers.select(F.col("host").alias("_host"), "roots")
+    found = common.stored(infer(pages, url, page).select(F.col("host").alias("_host"), "rules"))
     plain = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("html"))
 
     def with_host(batch: pa.RecordBatch):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string())], ["key", "url", "html", "host"])
 
     def work(batch: pa.RecordBatch):
-        texts = [main_text(p, r or []) if p else "" for p, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        texts = [main_text(p, r) if p else "" for p, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["key", "url", "text"])
 
     kind = pages.schema[key].dataType.simpleString()
     hosted = common.arrow_map(plain, with_host, f"key {kind}, url string, html string, host string")
-    few = wrappers.count() <= most_broadcast
-    joined = hosted.join(F.broadcast(roots) if few else roots, F.col("host") == F.col("_host"), "left").select("key", "url", "html", "roots")
+    few = (found.agg(F.sum(F.length("_host") + F.length("rules")).alias("n")).first()["n"] or 0) <= most_broadcast
+    joined = hosted.join(F.broadcast(found) if few else found, F.col("host") == F.col("_host"), "left").select("key", "url", "html", "rules")
     return common.arrow_map(joined, work, f"key {kind}, url string, text string").withColumnRenamed("key", key)

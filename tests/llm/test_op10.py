@@ -1,5 +1,8 @@
+import json
 import random
 
+import pytest
+
 from granary.llm import queries, wrappers
 
 
@@ -48,46 +51,118 @@ def test_query_on_two_kinds_of_hosts_and_odd_pages(spark, tmp_path):
     assert queries.op10_wrappers(spark, f"{tmp_path}/none").count() == 0
 
 
+def wrapper(*pages):
+    got = None
+    for page in pages:
+        own = wrappers.page_wrapper(page)
+        got = own if got is None else wrappers.aligned(got, own)
+    return got
+
+
+def texts(*pages):
+    found = json.dumps(wrappers.rules(wrapper(*pages)))
+    return [wrappers.main_text(p, found) for p in pages]
+
+
 def test_alignment_gives_optional_repeated_and_slots():
-    a = wrappers.page_wrapper("<div><h1>T</h1><p>one</p><ul><li>x</li><li>y</li></ul></div>")
-    b = wrappers.page_wrapper("<div><h1>T</h1><p>two</p><p>three</p></div>")
-    assert wrappers.expression(wrappers.aligned(a, b)) == "<div><h1>#TEXT</>(<p>#PCDATA</>)+(<ul>(<li>#PCDATA</>)+</>)?</>"
+    pages = ["<div><h1>T</h1><p>one</p><ul><li>x</li><li>y</li></ul></div>", "<div><h1>T</h1><p>two</p><p>three</p></div>", "<div><h1>T</h1><p>four</p></div>"]
+    assert wrappers.expression(wrapper(*pages)) == "<div><h1>#TEXT</>(<p>#PCDATA</>)+(<ul>(<li>#PCDATA</>)+</>)?</>"
+    # changing classes at one place are one element; other kinds keep their order
+    made = wrapper("<body><i></i><div class='a x'>1</div><p>2</p></body>", "<body><div class='b x'>3</div><h2>4</h2><p>5</p></body>")
+    assert wrappers.expression(made) == "<body><div.x>#PCDATA</>(<h2>#PCDATA</>)?<p>#PCDATA</></>"
+
+
+def body(k, inner):
+    return f"<html><body>{inner.format(t=f'Title {k}', a=f'first text {k} of the article ' * 4, b=f'second text {k} ' * 9)}</body></html>"
+
+
+# Each with markers for a page's title and two paragraphs, which are all of the article.
+MARKUP = {
+    "a form around the page": '<form id="aspnetForm"><div class="menu"><a href=1>One</a> <a href=2>Two</a></div><div><h1>{t}</h1><p>{a}</p><p>{b}</p></div><div class="footer">All rights</div></form>',
+    "a class that names a sidebar": '<div class="page has-sidebar"><h1>{t}</h1><p>{a}</p><p>{b}</p><div class="sidebar"><p>Other news</p></div></div>',
+    "a section named discussion": '<article><h1>{t}</h1><p>{a}</p><section id="discussion"><p>{b}</p></section></article><footer>x</footer>',
+    "a class with the word search": '<div class="search-guide"><h1>{t}</h1><p>{a}</p><p>{b}</p></div><div class=foot>All rights</div>',
+    "unnamed menu and footer": '<div><a href=1>Home page</a> <a href=2>All the news</a> <a href=3>About</a></div><h1>{t}</h1><p>{a}</p><p>{b}</p><div>Printed by the same house on every page</div>',
+    "a fixed block in the article": '<article><h1>{t}</h1><p>{a}</p><div class="x"><h3>Be there</h3><p>Sign up now, on every page</p></div><p>{b}</p></article>',
+    "a heading whose id has a word": '<div><h1 id="comments-on-method">{t}</h1><p>{a}</p><p>{b}</p></div><div class="comments"><p>First! {t}</p></div>',
+    "a header in the article": '<header><a href="/">Site</a></header><article><header class="entry-header"><h1>{t}</h1></header><p>{a}</p><p>{b}</p><footer>by me</footer></article>',
+    "comments as articles": '<main><h1>{t}</h1><p>{a}</p><p>{b}</p></main><div id="comments"><article class="comment"><p>so {t} it is</p></article><article class="comment"><p>no {t}</p></article></div>',
+    "a header with the title": '<div class="header"><h2>Site</h2></div><div class="post-header"><h1>{t}</h1></div><div><p>{a}</p><p>{b}</p></div>',
+    "adverts that differ": '<div class="ad">Buy {t} now</div><div class="body"><h1>{t}</h1><p>{a}</p><div class="ad-slot"><p>More {t}</p></div><p>{b}</p></div>',
+}
+
+
+@pytest.mark.parametrize("name", MARKUP)
+def test_articles_are_read_through_the_wrapper(name):
+    pages = [body(k, MARKUP[name]) for k in range(4)]
+    for k, got in enumerate(texts(*pages)):
+        assert got == "\n".join([f"Title {k}", (f"first text {k} of the article " * 4).strip(), (f"second text {k} " * 9).strip()])
+
+
+def test_shared_headings_stay_with_what_follows_and_copies_are_one_page():
+    pages = [f"<body><article><h1>T{k}</h1><p>one {k}</p><h2>Sources</h2><p>two {k}</p><h2>Share</h2><p>now</p></article></body>" for k in range(5)]
+    assert texts(*pages) == [f"T{k}\none {k}\nSources\ntwo {k}" for k in range(5)]
+    assert texts(*[pages[0]] * 9) == ["T0\none 0\nSources\ntwo 0\nShare\nnow"] * 9
+    assert texts("<body><nav><a href=1>a</a></nav></body>") == [""]
+    assert texts("<body><div><a href=1>only</a> <a href=2>links</a></div></body>") == ["only links"]
+
+
+def test_wrappers_do_not_depend_on_partitions(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [(k, f"http://h{k % 3}.example.com/{k}", page_article(rng, k)[0] if k % 3 else body(k, list(MARKUP.values())[k // 3 % len(MARKUP)])) for k in range(150)] + [(None, None, "<p>x"), (5, "http://h1.example.com", "<p>y"), (5, "http://h1.example.com", "<p>y")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = frame.coalesce(1), frame.repartition(8, F.rand(4))
+    made = [sorted((r.host, r.wrapper) for r in wrappers.infer(f).collect()) for f in (one, many)]
+    assert made[0] == made[1]
+    made = [sorted(((r.page_id or 0), r.text) for r in wrappers.extract(f, most_broadcast=m).collect()) for f, m in ((one, 1 << 20), (many, 0))]
+    assert made[0] == made[1] and len(made[0]) == 153
+
+
+def test_forms_of_a_host_are_aligned_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "FAN_IN", 3)
+    frame = spark.createDataFrame([(k, f"<body><h1>t{k}</h1>" + "".join(f"<div class=c{chr(97 + x)}><p>{k}</p></div>" for x in range(6) if k >> x & 1) + "</body>") for k in range(64)], "page_id long, html string").withColumn("url", F_lit("http://a.b"))
+    got = wrappers.infer(frame).collect()
+    assert len(got) == 1 and got[0].expression.count("<div.c") == 6
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
 
 
 def test_long_nested_and_unclosed_pages_end():
     deep = "<div>" * 300 + "text" + "</div>" * 10
-    assert wrappers.main_text(deep, []) == "text"
-    far = "<article>" + "<div>" * 3000 + "<p>one</p>" + "</div>" * 3000 + "<p>two</p></article><div><p>out</p></div>"
-    assert wrappers.main_text(far, []) == "one\ntwo"
+    assert wrappers.main_text(deep, None) == "text"
+    far = "<article>" + "<div>" * 3000 + "<p>one</p><nav><p>menu</p></nav>" + "</div>" * 3000 + "<p>two</p></article><div><p>out</p></div>"
+    assert wrappers.main_text(far, None) == "one\ntwo"
     mixed = "<article>" + "".join(f"<h2>{i}</h2><p>p</p><ul><li>x</ul>" for i in range(3000)) + "</article>"
-    assert wrappers.main_text(mixed, wrappers.article_roots(wrappers.aligned(wrappers.page_wrapper(mixed), wrappers.page_wrapper(far)))).count("\n") == 8999
+    assert texts(mixed, far)[0].count("\n") == 8999
     kinds = "<body>" + "".join(f'<div class="k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}"><p>t</p></div>' for i in range(3000)) + "</body>"
-    assert wrappers.main_text(kinds, []).count("t") == 3000
-    assert wrappers.main_text('<article><p>a</p><div hidden><p>b</p></div><div style="display: none"><p>c</p></div><video>no</video><p>d</p></article>', []) == "a\nd"
-    assert wrappers.main_text("<a href='" * 2000, []) == ""
-    assert wrappers.main_text("<p>x " * 5000, [[]]).count("\n") == 4999
+    assert wrappers.main_text(kinds, None).count("t") == 3000
+    assert wrappers.main_text('<article><p>a</p><div hidden><p>b</p></div><div style="display: none"><p>c</p></div><video>no</video><p>d</p></article>', None) == "a\nd"
+    assert wrappers.main_text("<a href='" * 2000, None) == ""
+    assert wrappers.main_text("<p>x " * 5000, None).count("\n") == 4999
+    assert wrappers.main_text("<div>" * 50_000 + "<p>x", None) == "x"
 
 
 def test_hosts_of_many_kinds_lose_no_article():
     name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
-    page = lambda i: f"<body><article class='teaser'><p>short</p></article><article id='{name(i)}'><p>text {name(i)}</p></article><div class='ad {name(i)}'><p>buy</p></div></body>"
-    for order in (range(400), reversed(range(400))):
-        got = None
-        for i in order:
-            own = wrappers.page_wrapper(page(i))
-            got = own if got is None else wrappers.aligned(got, own)
-        roots = wrappers.article_roots(got)
-        assert len(roots) < 5
-        assert all(wrappers.main_text(page(i), roots) == f"short\ntext {name(i)}" for i in range(400))
+    page = lambda i: f"<body><article class='teaser'><p>short {i}</p></article><article id='{name(i)}'><p>text {name(i)}</p></article><div class='ad {name(i)}'><p>buy</p></div></body>"
+    for order in (range(400), range(399, -1, -1)):
+        found = wrapper(*map(page, order))
+        assert wrappers.expression(found).count("<article") < 5
+        found = json.dumps(wrappers.rules(found))
+        assert all(wrappers.main_text(page(i), found) == f"short {i}\ntext {name(i)}" for i in range(400))
     plain = lambda i: f"<body><h1>{name(i)}</h1><div class='{name(i)}'><p>text {name(i)}</p></div></body>"
-    got = wrappers.page_wrapper(plain(0))
-    for i in range(1, 300):
-        got = wrappers.aligned(got, wrappers.page_wrapper(plain(i)))
-    assert all(wrappers.main_text(plain(i), wrappers.article_roots(got)) == f"{name(i)}\ntext {name(i)}" for i in range(300))
+    found = json.dumps(wrappers.rules(wrapper(*map(plain, range(300)))))
+    assert all(wrappers.main_text(plain(i), found) == f"{name(i)}\ntext {name(i)}" for i in range(300))
 
 
 def test_elements_closed_by_a_slash_or_never_drop_nothing_else():
-    text = lambda inner: wrappers.main_text(f"<article><p>a</p>{inner}<p>b</p></article>", [["article"]])
+    text = lambda inner: wrappers.main_text(f"<article><p>a</p>{inner}<p>b</p></article>", None)
     for inner in ("<svg class='icon'/>", "<SVG/>", "<svg a=b />", "<iframe src='x'/>", "<button>", "<select>", "<canvas>", "<object data=x>", "<button/><p></p><button>Go</button>", "<svg/><svg><p>x</p></svg>", "<svg><p>x</p></svg>", "<object data=http://x/><p>x</p></object>", "<script src='x'/><p>x</p></script>", "<textarea/><p>x</p></textarea>", "<style>p{}</STYLE >"):
         assert text(inner) == "a\nb", inner
     assert text("<button><p>c</p><button>Go</button>") == "a\nc\nb"
