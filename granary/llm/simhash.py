@@ -8,6 +8,7 @@ all variants within the threshold, and the whole fingerprints verified.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
@@ -258,8 +259,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return linked(common.stored(fingerprints(df, key, text, shingle)), key, distance)
 
 
-def linked(prints: DataFrame, key: str, distance: int = 3) -> DataFrame:
-    """The same of rows (key, fp) of a stored table."""
+#: A bucket of over so many fingerprints is split by their other bits before pairs are compared.
+LARGE = 2048
+
+
+def linked(prints: DataFrame, key: str, distance: int = 3, large: int = LARGE) -> DataFrame:
+    """The same of rows (key, fp) of a stored table.
+
+    Fingerprints of a bucket agree in its bits, so two of them within the distance agree in one of distance + 1 parts of the
+    others: a bucket of over `large` rows is dealt into the buckets of those parts, and no link is lost.
+    """
     reps = common.stored(prints.groupBy("fp").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies")))
     named = reps.where("rep is not null").select("fp", "rep")
     n, parts = plan(named, distance)
@@ -269,9 +278,119 @@ def linked(prints: DataFrame, key: str, distance: int = 3) -> DataFrame:
             for flips in combinations(bits, r):
                 flip = sum(1 << (BITS - 1 - b) for b in flips)
                 buckets.append((i, bits, flip - (1 << BITS) if flip >= 1 << (BITS - 1) else flip, r == 0))
-    kinds = F.array(*[F.struct(F.xxhash64(F.lit(i), _values(F.col("fp"), bits).bitwiseXOR(F.lit(flip).cast("long"))).alias("bucket"), F.lit(own).alias("own")) for i, bits, flip, own in buckets])
-    rows = named.select("fp", "rep", F.explode(kinds).alias("_x")).select("fp", "rep", "_x.bucket", "_x.own")
-    edges = common.in_buckets(rows, "bucket", "rep", _links(distance), "a long, b long", n * len(buckets))
+    kinds = F.array(*[F.struct(F.xxhash64(F.lit(i), _values(F.col("fp"), bits).bitwiseXOR(F.lit(flip).cast("long"))).alias("bucket"), F.lit(own).alias("own"), F.lit(i).alias("part")) for i, bits, flip, own in buckets])
+    rows = common.stored(named.select("fp", "rep", F.explode(kinds).alias("_x")).select("fp", "rep", "_x.*"))
+    crowded = common.large_buckets(rows, "bucket", large)
+    more = crowded.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
+    if more:
+        finer = F.array(F.col("bucket"))
+        for i, (bits, _) in enumerate(parts):
+            rest = [b for b in range(BITS) if b not in bits]
+            split = F.array(*[F.xxhash64(F.col("bucket"), F.lit(j), _values(F.col("fp"), rest[j :: distance + 1])) for j in range(distance + 1)])
+            finer = F.when(F.col("_n").isNotNull() & (F.col("part") == i), split).otherwise(finer)
+        rows = rows.join(crowded, F.col("bucket") == F.col("_bucket"), "left").select("fp", "rep", "own", F.explode(finer).alias("bucket"))
+    edges = common.stored(common.in_buckets(rows.select("fp", "rep", "bucket", "own"), "bucket", "rep", _links(distance), "a long, b long", n * len(buckets) + more * distance))
     tied = common.components(edges)
     found = reps.join(tied, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component"))
     return prints.join(found, F.col("fp") == F.col("_fp")).select(key, "fp", "component")
+
+
+def _jaccard(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike by `least` or more."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= (least - 1e-9) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def _forest(least: float):
+    """Links within a bucket as a spanning forest, by exact Jaccard similarity of sets; rows of one group count as linked already."""
+
+    def work(table: pa.Table) -> pa.Table:
+        ids, group = table.column("id").to_numpy(), table.column("group").to_numpy()
+        blk, lo, hi, bucket = (table.column(c).to_numpy() for c in ("blk", "lo", "hi", "bucket"))
+        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+        starts = np.r_[np.flatnonzero(new), len(ids)]
+        out_a, out_b = [], []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            own = table.slice(a, b - a).column("s").combine_chunks()
+            sizes = own.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            item = np.unique(own.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            member = np.repeat(np.arange(b - a), sizes)
+            order = np.argsort(item, kind="stable")
+            owners, ends = member[order], np.cumsum(np.bincount(item))
+            begins, bounds = np.r_[0, ends[:-1]], np.r_[0, np.cumsum(sizes)]
+            kinds, node = np.unique(group[a:b], return_inverse=True)
+            forest = common.Forest(len(kinds))
+            apart = blk[a:b, None] != blk[None, a:b] if lo[a] != hi[a] else None
+            for i in range(b - a):
+                there = item[bounds[i] : bounds[i + 1]]
+                n = ends[there] - begins[there]
+                at = np.repeat(begins[there] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                shared = np.bincount(owners[at], minlength=b - a)
+                near = shared >= (least - 1e-9) * (sizes[i] + sizes - shared)
+                near[: i + 1] = False
+                if apart is not None:
+                    near &= apart[i]
+                for j in np.flatnonzero(near).tolist():
+                    x, y = forest._find(int(node[i])), forest._find(int(node[j]))
+                    if x != y:
+                        forest.root[max(x, y)] = min(x, y)
+                        out_a.append(int(ids[a + i]))
+                        out_b.append(int(ids[a + j]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return work
+
+
+def alike(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float, most: int = 256) -> DataFrame:
+    """Links (a, b) that connect all rows (id long, bands array<long>) that share a band and whose sets are alike by `least` or more; stored.
+
+    sets_of gives rows (id, s) for a table of ids. Pairs are compared exactly, but never all made: in each band's bucket
+    the members are first compared with the smallest id, and with the one whose hash is least. Buckets that this leaves in
+    several groups are worked through whole, as blocks of sets in a task, and only a spanning forest comes out.
+    """
+    met = common.stored(bands.select("id", F.posexplode("bands").alias("b", "v")).select("id", F.xxhash64("b", "v").alias("e")))
+    twice = common.stored(met.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.min_by("id", F.xxhash64("id")).alias("other")).where("n > 1").drop("n"))
+    seen = common.stored(met.join(twice, "e"))
+    pairs = seen.select(F.explode(F.array("first", "other")).alias("a"), F.col("id").alias("b")).where("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = common.stored(sets_of(seen.select("id").distinct()))
+    links = common.stored(_jaccard(sets, pairs, least))
+    groups = common.stored(common.components(links))
+    rows = seen.select("id", F.col("e").alias("bucket")).join(groups, F.col("id") == F.col("node"), "left").select("id", "bucket", F.coalesce("component", "id").alias("group"))
+    rows = common.stored(rows)
+    open_ = common.stored(rows.groupBy(F.col("bucket").alias("_b")).agg(F.min("group").alias("x"), F.max("group").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y"))
+    total = open_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    if total:
+        whole = rows.join(open_.select("_b"), F.col("bucket") == F.col("_b"), "left_semi").join(sets, "id")
+        more = common.in_buckets(whole.select("id", "bucket", "group", "s"), "bucket", "id", _forest(least), "a long, b long", total, most)
+        links = common.stored(links.union(more))
+    common.discard(met, twice, seen, sets, groups, rows, open_)
+    return links
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 3, least: float = 0.8) -> DataFrame:
+    """df less all but one row of each group of near copies: the one with the smallest key, of equal ones that with the least hash; its columns stay.
+
+    Linked are texts whose fingerprints differ by at most `distance` bits, and those whose shingles are alike by `least` or
+    more, found by bands of minima (a pair at 0.8 is missed in 7 of a million cases) and counted on the shingles. Rows are told
+    apart by key and text: texts under one key, or under none, are judged each for itself, null keys come last, and of equal
+    rows one stays. Null and empty texts, and all without words, are alike. An empty table stays one.
+    """
+    marked = df.withColumn("_h", F.xxhash64(F.col(text))).withColumn("_k", F.xxhash64(F.col(key), F.col(text), F.lit(1)))
+    name = F.struct("_h", "_k", F.col(key).alias("_key"))
+    signed = common.stored(signatures(marked.select(name.alias("n"), F.col(text).alias("t")), "n", "t", shingle).select("n.*", "fp", "bands"))
+    low = F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_k").alias("k"))).alias("low")
+    nodes = common.stored(signed.groupBy(F.col("_h").alias("id")).agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), low))
+    common.discard(signed)
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        few = ids.join(nodes.select(F.col("id").alias("_i"), "low.k"), F.col("id") == F.col("_i")).select("id", "k")
+        texts = marked.join(few, (F.col("_h") == F.col("id")) & (F.col("_k") == F.col("k"))).select("id", F.col(text).alias("t"))
+        return shingle_sets(texts.dropDuplicates(["id"]), "id", "t", shingle)
+
+    bits = linked(nodes.select("id", "fp"), "id", distance).where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    tied = common.components(bits.union(alike(nodes.where("bands is not null").select("id", "bands"), sets_of, least)))
+    grouped = nodes.join(tied, F.col("id") == F.col("node"), "left").select("id", "low", F.coalesce("component", "id").alias("group"))
+    stay = common.stored(grouped.groupBy("group").agg(F.min(F.struct("low", "id")).alias("m")).select(F.col("m.id").alias("_h"), F.col("m.low.k").alias("_k")))
+    return marked.join(stay, ["_h", "_k"], "left_semi").dropDuplicates(["_h", "_k"]).select(*df.columns)

@@ -75,3 +75,50 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(3, 3), (None, 4), (200, 201), (201, 200)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in range(7, 60)} | {200: 200, 201: 200}
+
+
+def test_crowded_buckets_are_split_and_lose_no_link(spark):
+    from granary.llm import common
+
+    rng = np.random.default_rng(2)
+    top = int(rng.integers(1 << 14)) << 48  # all agree in the highest bits, so all share a bucket
+    fps = [top | int(x) for x in rng.integers(0, 1 << 48, 1500)]
+    fps += [f ^ (1 << int(a)) ^ (1 << int(b)) for f, (a, b) in zip(fps, rng.integers(0, 48, (500, 2)), strict=False)]
+    rows = common.stored(spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "id long, fp long"))
+    got = {r.id: r.component for r in simhash.linked(rows, "id", 3, large=100).collect()}
+    x = np.array(fps, np.uint64)
+    label = np.arange(len(x))
+    for i in range(len(x)):
+        for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 3).tolist():
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+    assert got == dict(enumerate(label.tolist())) and len(set(label.tolist())) < 1600
+
+
+def test_dealt_groups_are_of_bounded_size(spark):
+    from granary.llm import common
+
+    sizes = lambda t: pa.table({"n": [t.num_rows]})
+    import pyarrow as pa
+
+    rows = spark.range(20_000).select("id", F_lit(1).alias("bucket"))
+    groups = [r.n for r in common.in_buckets(rows, "bucket", "id", sizes, "n long", 20_000).collect()]
+    assert sum(groups) == 200_000 and max(groups) < 5 * 16_384
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x).cast("long")
+
+
+def test_hubless_groups_of_alike_sets_are_found_whole(spark):
+    # a chain: each set is like the next only, and all share a band with a stranger
+    sets = {i: set(range(10 * i, 10 * i + 100)) for i in range(40)} | {99: {-1, -2}}
+    frame = lambda ids: spark.createDataFrame([(r.id, sorted(sets[r.id])) for r in ids.collect()], "id long, s array<long>")
+    from granary.llm import common
+
+    for most in (256, 8):
+        bands = spark.createDataFrame([(i, [5, i]) for i in sets], "id long, bands array<long>")
+        got = {r.node: r.component for r in common.components(simhash.alike(bands, frame, 0.8, most)).collect()}
+        assert got == {i: 0 for i in range(40)}
+        assert not simhash.alike(bands, frame, 0.83, most).count()
