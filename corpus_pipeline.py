@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import common, grade, language, packing, queries, simhash, spans
-from granary.operators import near
 
 #: Documents whose language is less certain than this are rejected.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -34,29 +33,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group within 3 bits of the fingerprint; of those, in the order of doc_id, removes what is alike by LEAST_ALIKE to one that stays.
+    """Keeps the document with the smallest doc_id of each group of near copies: within 3 bits of the fingerprint of five-word shingles, or alike by LEAST_ALIKE on the shingles themselves.
 
-    Alike: Jaccard similarity of the sets of five-word shingles, counted on the shingles; pairs come from bands of minima, as
-    texts at 0.8 differ by some 10 bits of the fingerprint. Rows are told apart by doc_id and text: different texts with
-    one doc_id, or with none, are judged each for itself (null ids come last), and of equal rows one stays.
+    Different texts with one doc_id, or with none, are judged each for itself; null ids come last, and of equal rows one stays.
     """
-    marked = docs.withColumn("_h", F.xxhash64("text"))
-    signed = common.stored(simhash.signatures(marked.select(F.struct("doc_id", "_h").alias("k"), "text"), "k"))
-    rows = signed.select("k.doc_id", "k._h", "fp", "bands").dropDuplicates(["doc_id", "_h"]).orderBy(F.col("doc_id").asc_nulls_last(), "_h")
-    rows = common.stored(rows.withColumn("id", F.monotonically_increasing_id()))  # stored, as the numbers depend on the partitions
-    first = simhash.linked(rows.select("id", "fp"), "id").where("id = component").select("id")
-    rows = common.stored(rows.join(first, "id", "left_semi"))
-    met = common.stored(rows.select("id", F.posexplode("bands").alias("b", "v")).select("id", F.lit(1).alias("n"), F.xxhash64("b", "v").alias("e")))
-    met = common.stored(met.join(met.groupBy("e").count().where("count > 1"), "e", "left_semi").select("id", "n", "e"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_h"] == b["_h"])
-    few = rows.join(met.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "_h")
-    sets = common.stored(simhash.shingle_sets(marked.join(few, same(marked, few)).select("id", "text").dropDuplicates(["id"]), "id"))
-    met, gone = near.without_led(met, sets, LEAST_ALIKE - 1e-9)
-    for out in gone:
-        rows = rows.join(out, "id", "left_anti")
-    pairs = near.similar_pairs(met, sets, LEAST_ALIKE - 1e-9)
-    kept = near.first_independent(rows.select("id", "doc_id", "_h"), pairs)
-    return marked.join(kept, same(marked, kept), "left_semi").dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return simhash.near_copies(docs, least=LEAST_ALIKE)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +50,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences of 2,048 tokens: a row for each piece."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    """Packs the texts into sequences of 2,048 tokens: a row for each piece, with its token ids and its place."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=True)
 
 
 STAGES = [
