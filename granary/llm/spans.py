@@ -4,11 +4,14 @@ A window of `length` consecutive words is an edge of a de Bruijn graph over the
 k-mer in the window with the least hash), and the consecutive edges of a document with the same minimizer form a path. A Spark
 join on the minimizer brings all paths through it together: paths of equal words are one class, and where there is one class
 the path does not branch and is settled by its earliest document as a whole. Only where paths branch are they opened into
-single edges, once for each class, at the source coordinates of its earliest document, and joined edge by edge.
+single edges, once for each class, at the source coordinates of its earliest document, and joined edge by edge. Minimizers only
+bring paths together; that paths or edges are equal is verified by 128-bit BLAKE2b digests of the very words at their coordinates.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,10 +52,16 @@ class Spans:
             return _mix((self.sums[end] - self.sums[start]) * self.back[start] ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def digests(words: list[bytes], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each span of a row of words two 64-bit halves of a digest of the words."""
+    out = [blake2b(b" ".join(words[a:b]), digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
+
+
 def paths_batch(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Of all texts' paths: the text, the first window's start, the number of windows, the minimizer and the hash of all words."""
+    """Of all texts' paths: the text, the first window's start, the number of windows, the minimizer and the digest of all words."""
     ids, words, counts = common.number_words(texts)
-    none = tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    none = (*(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64)), np.zeros((0, 2), np.int64))
     n = len(ids)
     if n < length:
         return none
@@ -69,7 +78,8 @@ def paths_batch(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ..
     first = np.flatnonzero(new)
     windows = np.diff(np.r_[first, len(start)])
     at = start[first]
-    return text[at], at - begin[text[at]], windows, mers[least[first]], span(at, at + windows + length - 1)
+    flat = list(map(words.__getitem__, ids.tolist()))
+    return text[at], at - begin[text[at]], windows, mers[least[first]], digests(flat, at, at + windows + length - 1)
 
 
 def paths(df: DataFrame, length: int, k: int) -> DataFrame:
@@ -78,9 +88,9 @@ def paths(df: DataFrame, length: int, k: int) -> DataFrame:
         for a, b in common.slices([len(t) for t in texts]):
             text, start, windows, minimizer, whole = paths_batch(texts[a:b], length, k)
             keys = batch.column(0)[a:b].take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int16)), pa.array(minimizer.view(np.int64)), pa.array(whole.view(np.int64))], ["key", "start", "windows", "minimizer", "whole"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int16)), pa.array(minimizer.view(np.int64)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())], ["key", "start", "windows", "minimizer", "whole", "check"])
 
-    return common.arrow_map(df.where("key is not null").select("key", "text"), work, "key long, start int, windows short, minimizer long, whole long")
+    return common.arrow_map(df.where("key is not null").select("key", "text"), work, "key long, start int, windows short, minimizer long, whole long, check long")
 
 
 def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -103,7 +113,7 @@ _SETTLED = "n_words long, n_removed long, kept string"
 
 def _settle(length: int):
     """Removes the paths that an earlier document has as a whole; opens the others that were marked into windows, and leaves their texts for the last step."""
-    edge = pa.struct([("minimizer", pa.int64()), ("edge", pa.int64()), ("start", pa.int32())])
+    edge = pa.struct([("minimizer", pa.int64()), ("edge", pa.int64()), ("check", pa.int64()), ("start", pa.int32())])
     span = pa.struct([("start", pa.int32()), ("windows", pa.int32())])
 
     def work(batch: pa.RecordBatch):
@@ -114,14 +124,13 @@ def _settle(length: int):
                 gone = [m for m in marks or () if not m["open"]]
                 opened = [m for m in marks or () if m["open"]]
                 if opened:
-                    ids, words, _ = common.number_words([text])
-                    hashes = Spans(common.word_hashes(words)[ids])
+                    words = text.split()
                     starts = np.concatenate([np.arange(m["start"], m["start"] + m["windows"]) for m in opened])
                     minimizers = np.repeat([m["minimizer"] for m in opened], [m["windows"] for m in opened])
-                    edges = hashes(starts, starts + length).view(np.int64)
-                    out["edges"].append([{"minimizer": x, "edge": y, "start": z} for x, y, z in zip(minimizers.tolist(), edges.tolist(), starts.tolist(), strict=True)])
+                    edges = digests(words, starts, starts + length)
+                    out["edges"].append([{"minimizer": x, "edge": y[0], "check": y[1], "start": z} for x, y, z in zip(minimizers.tolist(), edges.tolist(), starts.tolist(), strict=True)])
                     out["gone"].append([{"start": m["start"], "windows": m["windows"]} for m in gone])
-                    result = (len(ids), 0, text)
+                    result = (len(words), 0, text)
                 else:
                     starts = np.array([m["start"] for m in gone], np.int64)
                     result = _finish(text, starts, starts + np.array([m["windows"] for m in gone], np.int64) + length - 1)
@@ -129,7 +138,7 @@ def _settle(length: int):
                     out["gone"].append(None)
                 for name, value in zip(("n_words", "n_removed", "kept"), result, strict=True):
                     out[name].append(value)
-            kept = pa.array(out["kept"], pa.binary()).cast(pa.string())
+            kept = pa.array(out["kept"], pa.binary()).view(pa.string())  # not validated: broken UTF-8 stays as it came
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), kept, pa.array(out["gone"], pa.list_(span)), pa.array(out["edges"], pa.list_(edge)), batch.column(3)[a:b]], ["key", "n_words", "n_removed", "kept", "gone", "edges", "more"])
 
     return work
@@ -145,7 +154,7 @@ def _close(length: int):
                 last = np.array([m["start"] + m["windows"] - 1 for m in gone] + (starts or []), np.int64)
                 done.append(_finish(text, first, last + length))
             n, removed, kept = zip(*done, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(4)[a:b]], ["key", "n_words", "n_removed", "kept", "more"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string()), batch.column(4)[a:b]], ["key", "n_words", "n_removed", "kept", "more"])
 
     return work
 
@@ -164,17 +173,20 @@ def remove_repeated(df: DataFrame, length: int = 50, k: int = 10, key: str = "do
     # stored, so that the joins below read both sides from exchanges and Spark may split a frequent minimizer
     twice = common.stored(every.groupBy("minimizer").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("minimizer"))
     runs = common.stored(every.join(twice, "minimizer", "left_semi"))
-    classes = common.stored(runs.groupBy("minimizer", "whole").agg(F.min("key").alias("low"), F.max("key").alias("high")))
+    classes = common.stored(runs.groupBy("minimizer", "whole", "check").agg(F.min("key").alias("low"), F.max("key").alias("high")))
     through = classes.groupBy("minimizer").agg(F.count(F.lit(1)).alias("classes"), F.min("low").alias("lowest"), F.max("high").alias("highest")).where("lowest < highest").select("minimizer", "classes")
     through = common.stored(through)
     shared = common.stored(classes.join(through, "minimizer").where("classes > 1 or low < high"))
-    met = runs.join(shared, ["minimizer", "whole"]).where("key > low or classes > 1")
+    met = runs.join(shared, ["minimizer", "whole", "check"]).where("key > low or classes > 1")
     marks = met.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", F.col("windows").cast("int").alias("windows"), "minimizer", (F.col("key") == F.col("low")).alias("open"))).alias("marks"))
-    joined = rows.join(marks.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "text", "marks", "more")
-    some = common.stored(common.arrow_map(joined, _settle(length), f"key long, {_SETTLED}, gone array<struct<start int, windows int>>, edges array<struct<minimizer long, edge long, start int>>, more {kind}"))
+    named, plain = rows.where("key is not null"), rows.where("key is null")  # without a key they would all meet in one task
+    joined = named.join(marks.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "text", "marks", "more")
+    joined = joined.union(plain.select("key", "text", F.lit(None).cast(joined.schema["marks"].dataType), "more"))
+    some = common.stored(common.arrow_map(joined, _settle(length), f"key long, {_SETTLED}, gone array<struct<start int, windows int>>, edges array<struct<minimizer long, edge long, check long, start int>>, more {kind}"))
     edges = some.where("edges is not null").select("key", F.explode("edges").alias("e")).select("key", "e.*")
-    earliest = common.stored(edges.groupBy("minimizer", "edge").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").drop("high"))
-    later = edges.join(earliest, ["minimizer", "edge"]).where("key > low").groupBy(F.col("key").alias("_key")).agg(F.collect_list("start").alias("starts"))
+    common.discard(every, twice, runs, classes, through, shared)
+    earliest = common.stored(edges.groupBy("minimizer", "edge", "check").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").drop("high"))
+    later = edges.join(earliest, ["minimizer", "edge", "check"]).where("key > low").groupBy(F.col("key").alias("_key")).agg(F.collect_list("start").alias("starts"))
     pending = some.where("edges is not null").join(later.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "kept", "gone", "starts", "more")
     closed = common.arrow_map(pending, _close(length), f"key long, {_SETTLED}, more {kind}")
     out = some.where("edges is null").select("key", "n_words", "n_removed", "kept", "more").union(closed)
