@@ -12,6 +12,7 @@ from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import xxhash
@@ -19,12 +20,11 @@ from pyspark.sql import DataFrame
 
 from granary.llm import common
 
-# The pre-token pattern for the library's engine and, for texts whose characters both engines class alike, for the faster built-in one.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The pre-token pattern for texts whose characters the built-in engine classes as the library's does, and characters that it does not.
 FAST_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 UNLIKE = r"[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-ɏ‐-‧‰-⁞]"
 
-_full, _fast, _unlike = regex.compile(PATTERN), re.compile(FAST_PATTERN), re.compile(UNLIKE)
+_full, _fast, _unlike = regex.compile(public_tokenizers.PATTERN), re.compile(FAST_PATTERN), re.compile(UNLIKE)
 
 
 def pre_tokens(text: str) -> list[str]:

@@ -12,13 +12,14 @@ import base64
 import random
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from granary.llm import bpe, common
+from granary.llm import common
 
 CAPACITY = 2048
 _encoders: dict[tuple[str, str], tuple[tiktoken.Encoding, Tokenizer]] = {}
@@ -29,7 +30,7 @@ def _encoder(tokenizer_path: str, ranks_path: str) -> tuple[tiktoken.Encoding, T
     if at not in _encoders:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[at] = tiktoken.Encoding("ranks", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(tokenizer_path)
+        _encoders[at] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(tokenizer_path)
     return _encoders[at]
 
 
@@ -100,52 +101,6 @@ class Bins:
                 self.rooms |= 1 << (room - size)
 
 
-def complement_fill(sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Bins from the largest item left, each filled exactly by one or two others where there are such, else by the largest that fits."""
-    stock: list[list[int]] = [[] for _ in range(capacity + 1)]
-    for i, s in enumerate(sizes):
-        stock[s].append(i)
-    there = mirrored = 0
-    for s in range(1, capacity + 1):
-        if stock[s]:
-            rng.shuffle(stock[s])
-            there |= 1 << s
-            mirrored |= 1 << (capacity - s)
-
-    def take(s: int) -> int:
-        nonlocal there, mirrored
-        item = stock[s].pop()
-        if not stock[s]:
-            there ^= 1 << s
-            mirrored ^= 1 << (capacity - s)
-        return item
-
-    bins = []
-    while there:
-        s = there.bit_length() - 1
-        own, room = [take(s)], capacity - s
-        while room and there:
-            if there >> room & 1:
-                own.append(take(room))
-                room = 0
-                break
-            pairs = there & (mirrored >> (capacity - room))  # sizes whose rest to the room is there too
-            if pairs:
-                a = pairs.bit_length() - 1
-                if 2 * a != room or len(stock[a]) > 1:
-                    own += [take(a), take(room - a)]
-                    room = 0
-                    break
-            low = there & ((1 << room) - 1)
-            if not low:
-                break
-            a = low.bit_length() - 1
-            own.append(take(a))
-            room -= a
-        bins.append(own)
-    return bins
-
-
 def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> float:
     """Fewer bins first, then fuller ones: minus the number of bins, plus the mean square of how full they are."""
     return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(len(bins), 1) - len(bins)
@@ -153,7 +108,7 @@ def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> float:
 
 def crossover(giver: list[list[int]], taker: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """The taker's bins with a part of the giver's well-filled bins put in whole; bins that hold one of their items are dissolved and the rest of their items best-fitted."""
-    full = [b for b in giver if sum(sizes[i] for i in b) >= capacity - capacity // 100]
+    full = [b for b in giver if sum(sizes[i] for i in b) >= capacity - capacity // 500]
     injected = rng.sample(full, rng.randint(len(full) // 4, max(len(full) // 4, 3 * len(full) // 4))) if full else []
     inside = {i for b in injected for i in b}
     child = Bins(sizes, capacity)
@@ -165,36 +120,28 @@ def crossover(giver: list[list[int]], taker: list[list[int]], sizes: list[int],
             child.add(list(b), capacity - sum(sizes[i] for i in b))
         else:
             displaced += [i for i in b if i not in inside]
-    poor = sorted(range(len(child.bins)), key=lambda k: sum(sizes[i] for i in child.bins[k]))[: 1 + len(child.bins) // 50]
-    poor_set = set(poor)  # mutation: the emptiest bins are packed anew
-    again = Bins(sizes, capacity)
+    poor = set(sorted(range(len(child.bins)), key=lambda k: sum(sizes[i] for i in child.bins[k]))[: 1 + len(child.bins) // 20])
+    again = Bins(sizes, capacity)  # mutation: the emptiest bins are dissolved too
     for k, b in enumerate(child.bins):
-        if k in poor_set:
+        if k in poor:
             displaced += b
         else:
             again.add(b, capacity - sum(sizes[i] for i in b))
-    noise = rng.random() < 0.5
-    displaced.sort(key=lambda i: -sizes[i] * (1 + 0.1 * rng.random() * noise))
-    if rng.random() < 0.5:
-        again.best_fit(displaced)
-    else:
-        own = [sizes[i] for i in displaced]
-        for b in complement_fill(own, capacity, rng):
-            again.add([displaced[i] for i in b], capacity - sum(own[i] for i in b))
+    noise = rng.choice([0, 0.02, 0.1, 0.3])
+    displaced.sort(key=lambda i: -sizes[i] * (1 + noise * rng.random()))
+    again.best_fit(displaced)
     return again.bins
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], generations: int, population: int) -> tuple[float, list[list[int]]]:
-    """The best packing of an island after some generations, from the elites that came and new starts."""
+    """The best packing of an island after some generations, from the elites that came and new starts; it ends early where no packing can have fewer bins."""
     rng = random.Random(seed)
     pool = list(elites)
-    while len(pool) < population:
-        if len(pool) % 2:
-            start = Bins(sizes, capacity)
-            start.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 + 0.02 * rng.random() * len(pool))))
-            pool.append(start.bins)
-        else:
-            pool.append(complement_fill(sizes, capacity, rng))
+    while len(pool) < population:  # best fit from large to small, the order more and more disturbed
+        noise = 0.02 * len(pool)
+        start = Bins(sizes, capacity)
+        start.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 + noise * rng.random())))
+        pool.append(start.bins)
     ranked = sorted(((fitness(b, sizes, capacity), k, b) for k, b in enumerate(pool)), reverse=True)
     least = -(-sum(sizes) // capacity)
     for g in range(generations):
@@ -258,7 +205,7 @@ def _round(items: DataFrame, capacity: int, shard_size: int, islands: int, epoch
     return dealt.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(_place, "item long, length long, shard long, bin long, offset long, filled long")
 
 
-def place(lengths: DataFrame, capacity: int = CAPACITY, shard_size: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 5, population: int = 4) -> DataFrame:
+def place(lengths: DataFrame, capacity: int = CAPACITY, shard_size: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 40, population: int = 6) -> DataFrame:
     """Rows (item, sequence_id, offset) for items (item long, length long from 1 to capacity): no sequence over capacity, offsets gapless from 0.
 
     Items of full length are sequences of their own. Item numbers must be distinct. An empty table gives no rows.

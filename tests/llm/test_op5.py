@@ -55,7 +55,9 @@ def test_packing_is_dense_over_shards(spark):
 def test_crossover_keeps_every_item_once_and_best_fit_fits_best():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 100) for _ in range(200)]
-    a = packing.complement_fill(sizes, 100, rng)
+    first = packing.Bins(sizes, 100)
+    first.best_fit(sorted(range(200), key=lambda i: -sizes[i]))
+    a = first.bins
     start = packing.Bins(sizes, 100)
     start.best_fit(list(range(200)))
     for bins in (a, start.bins, *(packing.crossover(a, start.bins, sizes, 100, rng) for _ in range(20))):
@@ -67,6 +69,19 @@ def test_crossover_keeps_every_item_once_and_best_fit_fits_best():
     assert len(fitted) == 3
 
 
+def test_generations_gain_bins_over_best_fit():
+    gained = 0
+    for seed in range(8):
+        rng = random.Random(seed)
+        sizes = [rng.randrange(15, 60) for _ in range(240)]
+        start = packing.Bins(sizes, 100)
+        start.best_fit(sorted(range(240), key=lambda i: -sizes[i]))
+        evolved = packing.evolve(sizes, 100, seed, [], 60, 6)[1]
+        assert len(evolved) <= len(start.bins)
+        gained += len(start.bins) - len(evolved)
+    assert gained > 0
+
+
 def test_empty_tables_null_keys_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
