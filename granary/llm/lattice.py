@@ -67,6 +67,31 @@ class Tables:
         return np.stack(own, 1), np.stack(probed, 1)
 
 
+#: Of unit vectors at random, the share of pairs that are in one cell at scale 1; it falls with the eighth power of the scale.
+STRANGERS = 3.5e-5
+#: So many strangers may be in a cell on average before cells are made finer.
+CROWD = 64
+
+
+def tuned(n: int, least: float, probes: int = 3, recall: float = 0.98, pairs: int = 4000) -> tuple[int, float]:
+    """Tables and scale for n vectors: cells so fine that the strangers in one do not grow with n, and as many tables as find `recall` of simulated pairs right at the cosine `least`.
+
+    A projection of a unit vector has the same law whatever its dimension, so one simulation holds for all.
+    """
+    scale = max(1.0, (n * STRANGERS / CROWD) ** (1 / 8))
+    rng = np.random.default_rng(5)
+    a, b = (_unit(rng.normal(size=(pairs, 64))) for _ in range(2))
+    b = _unit(b - (a * b).sum(1, keepdims=True) * a)
+    b = least * a + np.sqrt(max(0.0, 1 - least * least)) * b
+    met, tables = np.zeros(pairs, bool), 0
+    while met.mean() < recall and tables < 200:
+        own, probed = Tables(64, 1, probes, scale, tables).cells(a)
+        other, asked = Tables(64, 1, probes, scale, tables).cells(b)
+        met |= ((own == other) | (probed == other[:, :, None]).any(2) | (asked == own[:, :, None]).any(2)).any(1)
+        tables += 1
+    return max(4, tables), scale
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     top = np.abs(vectors).max(1, keepdims=True)  # first by the largest component, as squares of extreme ones overflow
     vectors = vectors / top
@@ -143,13 +168,14 @@ def _compare(tables: int, probes: int, scale: float, seed: int, least: float):
     return work
 
 
-def near_duplicates(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", tables: int = 4, probes: int = 3, scale: float = 1.0, seed: int = 11) -> DataFrame:
+def near_duplicates(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", tables: int | None = None, probes: int = 3, scale: float | None = None, seed: int = 11) -> DataFrame:
     """Rows (key, n_links, component), one for each row of df: how many other vectors are linked directly, and the smallest key reachable.
 
     Vectors link within equal labels and lengths at a cosine of `least` or more. A null label, a null vector, a zero one and
     one with a null or non-finite component link with nothing. Equal vectors are one class however many there are and count
     with their number; pairs of classes are counted where the tables first bring them together and never leave as rows.
-    A row whose key is null links to nothing and has component null.
+    A row whose key is null links to nothing and has component null. tables and scale follow from the number of vectors of the
+    most frequent label unless they are given, so that neither cells nor the share of links missed grows with the input.
     """
     values = F.col(vector)
     usable = F.col(key).isNotNull() & F.col(label).isNotNull() & F.coalesce(
@@ -159,7 +185,11 @@ def near_duplicates(df: DataFrame, least: float = 0.98, key: str = "vec_id", vec
     good = rows.where("usable").select("_key", "_label", "embedding")
     named = good.select("_key", F.xxhash64("_label", "embedding").alias("h1"), F.hash("_label", "embedding").alias("h2"), "_label", "embedding")
     classes = common.stored(named.groupBy("h1", "h2", "_label", "embedding").agg(F.min("_key").alias("class"), F.count(F.lit(1)).alias("copies")))
-    n = classes.count()
+    sizes = classes.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    n, most = sizes["n"] or 0, sizes["most"] or 0
+    if tables is None or scale is None:
+        made = tuned(most, least, probes)
+        tables, scale = tables or made[0], scale or made[1]
     cells = common.arrow_map(classes.select("class", "embedding"), _rows(tables, probes, scale, seed), "class long, t int, code long, own boolean")
     met = cells.join(classes.select("class", "copies", "_label", "embedding"), "class").withColumn("bucket", F.xxhash64("t", "code", "_label", F.size("embedding"))).drop("code", "_label")
     found = common.stored(common.in_buckets(met, "bucket", "class", _compare(tables, probes, scale, seed, least), "class long, links long, root long", n * tables * (probes + 1)))
