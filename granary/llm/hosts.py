@@ -44,7 +44,7 @@ def repeated_words(ids: np.ndarray, hashes: np.ndarray, counts: np.ndarray, wind
 
 def measure_batch(texts: list[bytes]) -> dict[str, np.ndarray]:
     ids, words, counts = common.number_words(texts)
-    size = np.fromiter((len(w.decode()) for w in words), np.int64, len(words))
+    size = np.fromiter((len(w.decode(errors="replace")) for w in words), np.int64, len(words))
     ends = np.r_[0, np.cumsum(size[ids])][np.r_[0, np.cumsum(counts)]]
     lines = [[x for x in t.split(b"\n") if x and not x.isspace()] for t in texts]
     return {

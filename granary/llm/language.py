@@ -117,15 +117,19 @@ def _machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int =
     return w, float(b)
 
 
-def fit(df: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample: int = 4000, buckets: int = 8192, scale: float = 30.0) -> Model:
-    """Learns from a sample of at most `sample` rows with a text and a language, as many of each language as far as they go, chosen by the key's hash."""
+def fit(df: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample: int = 4000, buckets: int = 8192, scale: float = 30.0, most_languages: int = 500) -> Model:
+    """Learns from a sample of at most `sample` rows with a text and a language, as many of each language as far as they go, chosen by the hash of key and text.
+
+    Rows of equal key, text and language count once. Beyond most_languages languages the most frequent ones are learned. The
+    model does not depend on the order or the partitions of the rows.
+    """
     rows = df.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(language).cast("string").alias("lang"))
-    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not found:
         return Model(buckets, scale, [], [], np.zeros((buckets, 0), np.float32), np.zeros(0))
     each = max(1, sample // len(found))
     share = F.create_map(*[x for lang, n in found.items() for x in (F.lit(lang), F.lit(min(1.0, 1.25 * each / n)))])
-    order = F.pmod(F.xxhash64(F.lit(5), F.col("key").cast("string"), F.length("text")), F.lit(1_000_000))
+    order = F.xxhash64(F.lit(5), F.col("key").cast("string"), "text")
 
     def work(batch: pa.RecordBatch):
         texts = batch.column(0).to_pylist()
@@ -137,8 +141,9 @@ def fit(df: DataFrame, text: str = "text", language: str = "lang", key: str = "d
                 lists.append((kinds.astype(np.int16), (n * (scale / max(len(part), 1))).astype(np.float32)))
             yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], pa.array([x for x, _ in lists], pa.list_(pa.int16())), pa.array([x for _, x in lists], pa.list_(pa.float32()))], ["lang", "o", "at", "x"])
 
-    chosen = rows.withColumn("o", order).where(F.col("o") < F.element_at(share, F.col("lang")) * 1_000_000).select("text", "lang", "o")
-    got = common.arrow_map(chosen, work, "lang string, o long, at array<short>, x array<float>").toArrow().sort_by([("o", "ascending")])
+    chosen = rows.withColumn("o", order).where(F.pmod("o", F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    chosen = chosen.groupBy("lang", "o").agg(F.first("text").alias("text")).select("text", "lang", "o")
+    got = common.arrow_map(chosen, work, "lang string, o long, at array<short>, x array<float>").toArrow().sort_by([("o", "ascending"), ("lang", "ascending")])
     lang = np.array(got.column("lang").to_pylist(), object)
     keep = np.concatenate([np.flatnonzero(lang == code)[:each] for code in sorted(found)])
     x = np.zeros((len(keep), buckets), np.float32)

@@ -142,8 +142,7 @@ counted as (
 lines as (
   select doc_id, count(*) - count(distinct line) as n_dup_lines
   from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents)
-  where regexp_matches(line, '[^ 	-
-]') group by doc_id
+  where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id
 ),
 measured as (
   select d.doc_id, d.source, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars,
