@@ -89,13 +89,14 @@ def doc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_FEATURES} select * exclude (text) from features")
 def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *((c.cast("long") if n in ("n_chars", "n_words", "sentence_pieces", "paragraphs") else c).alias(n) for n, c in T.features(F.col("text")).items()))
+    own = T.with_measures(table(spark, sf_dir, "documents"))
+    return own.select("doc_id", *((F.col(f"_m.{n}").cast("long") if n in ("n_chars", "n_words", "sentence_pieces", "paragraphs") else F.col(f"_m.{n}")).alias(n) for n in T.FEATURES))
 
 
 @query(f"with {_FEATURES} select doc_id, quality from scores")
 def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = T.features(F.col("text"))
-    return T.once(table(spark, sf_dir, "documents"), "f", **f).select("doc_id", T.quality(F.col("text"), None, {n: F.col(f"f.{n}") for n in f}).alias("quality"))
+    own = T.with_measures(table(spark, sf_dir, "documents"))
+    return own.select("doc_id", T.quality(F.col("text"), None, {n: F.col(f"_m.{n}") for n in T.FEATURES}).alias("quality"))
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

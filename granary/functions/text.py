@@ -1,11 +1,19 @@
-"""Text features, the quality score, language by letters, and the verdict of the text filter, all as Column expressions."""
+"""Text features, the quality score, language by letters, and the verdict of the text filter.
+
+A text's measures come from one pass over its code points in Arrow batches, through a table of their classes; what follows from
+them are Column expressions.
+"""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 #: White space as Python's str.split and str.strip take it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -19,10 +27,6 @@ LETTERS = {
     "de": "[äöüÄÖÜß]",
     "fr": "[àâéèêëïîôùûüÿçœæ]",
 }
-# What Python's str.isdigit takes beyond decimal digits.
-OTHER_DIGITS = "²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
-
-
 @dataclass(frozen=True)
 class QualityRules:
     """Thresholds of the quality score."""
@@ -58,13 +62,72 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def _left(text: Column, others: str) -> Column:
-    """How many characters stay when all runs of others go: a match for each run costs less than one for each character."""
-    return F.length(F.regexp_replace(text, f"{others}+", ""))
+_RATIOS = ("alpha", "digit", "special")
+FEATURES = {"n_chars": "int", "n_words": "int", "alpha_ratio": "double", "digit_ratio": "double", "special_ratio": "double", "line_repetition": "double", "mean_word_length": "double", "sentence_pieces": "int", "paragraphs": "int"}
+#: Characters that are measured at once.
+_SLICE = 1_000_000
+_table: list[np.ndarray] = []
+
+
+def _classes() -> np.ndarray:
+    """Of each code point the classes it is in, a bit each: the letters of each language, letters, digits, what is neither letter, number nor space, spaces, sentence ends."""
+    if not _table:
+        every = [chr(i) for i in range(0x110000)]
+        tests = [lambda c, own=re.compile(pattern): own.match(c) is not None for pattern in LETTERS.values()]
+        tests += [str.isalpha, str.isdigit, lambda c: not (c.isalnum() or c.isspace()), str.isspace, lambda c: c in ".!?"]
+        _table.append(sum(np.fromiter(map(test, every), bool, len(every)).astype(np.uint16) << np.uint16(k) for k, test in enumerate(tests)))
+    return _table[0]
+
+
+def _measured(texts: list[str]) -> dict[str, np.ndarray]:
+    n = np.array([len(t) for t in texts], np.int64)
+    got = _classes()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    bounds = np.r_[0, np.cumsum(n)]
+    first = np.zeros(len(got) + 1, bool)  # where a text starts
+    first[bounds] = True
+
+    def count(x: np.ndarray) -> np.ndarray:
+        return np.diff(np.r_[0, np.cumsum(x, dtype=np.int64)][bounds])
+
+    def bit(k: int) -> np.ndarray:
+        return (got & np.uint16(1 << k)) > 0
+
+    def runs(x: np.ndarray) -> np.ndarray:
+        return count(x & (first[:-1] | ~np.r_[False, x[:-1]])) if len(x) else np.zeros(len(texts), np.int64)
+
+    k = len(LETTERS)
+    solid = ~bit(k + 3)
+    out = {lang: count(bit(i)) for i, lang in enumerate(LETTERS)} | {"n_chars": n, "n_words": runs(solid)}
+    out |= {f"{name}_ratio": count(bit(k + i)) / np.maximum(n, 1) for i, name in enumerate(_RATIOS)}
+    lines = [t.split("\n") for t in texts]
+    out["line_repetition"] = np.array([1 - len({x.strip() for x in own} - {""}) / len(own) for own in lines], float)
+    out["mean_word_length"] = count(solid) / np.maximum(out["n_words"], 1)
+    out["sentence_pieces"] = runs(bit(k + 4)) + 1
+    out["paragraphs"] = np.array([sum(bool(p) and not p.isspace() for p in t.split("\n\n")) for t in texts], np.int64)
+    return out
+
+
+@F.arrow_udf(StructType([StructField(n, IntegerType() if kind == "int" else DoubleType()) for n, kind in (FEATURES | dict.fromkeys(LETTERS, "int")).items()]))
+def measures(texts: pa.Array) -> pa.Array:
+    """All features and letter counts of texts; null texts have null features and no letters. Bytes that are no UTF-8 count as the replacement character."""
+    own = [(x or b"").decode(errors="replace") for x in texts.cast(pa.binary() if texts.type == pa.string() else pa.large_binary()).to_pylist()]
+    parts, start, total = [], 0, 0
+    for i, t in enumerate(own, 1):
+        total += len(t)
+        if total >= _SLICE or i == len(own):
+            parts.append(_measured(own[start:i]))
+            start, total = i, 0
+    absent = ~np.array(texts.is_valid().to_pylist(), bool)
+    columns = {}
+    for name, kind in (FEATURES | dict.fromkeys(LETTERS, "int")).items():
+        values = np.concatenate([p[name] for p in parts]) if parts else np.zeros(0)
+        columns[name] = pa.array(values.astype(np.int32 if kind == "int" else float), mask=absent if name in FEATURES else None)
+    return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
 
 def letter_counts(text: Column) -> dict[str, Column]:
-    return {lang: _left(text, "[^" + letters[1:]) for lang, letters in LETTERS.items()}
+    own = measures(text)
+    return {lang: own[lang] for lang in LETTERS}
 
 
 def language(text: Column, least_share: float = 0.3, given: dict[str, Column] | None = None) -> Column:
@@ -77,21 +140,8 @@ def language(text: Column, least_share: float = 0.3, given: dict[str, Column] |
 
 def features(text: Column) -> dict[str, Column]:
     """n_chars, n_words, the ratios of letters, digits and special characters, line repetition, mean word length, pieces between sentence ends, and paragraphs."""
-    n_chars, n_words = F.length(text), F.regexp_count(text, F.lit(WORD))
-    lines = F.split(text, "\n", -1)
-    filled = F.filter(F.transform(lines, strip), lambda x: x != "")
-    share = lambda others: F.when(n_chars == 0, 0.0).otherwise(_left(text, others) / n_chars)
-    return {
-        "n_chars": n_chars,
-        "n_words": n_words,
-        "alpha_ratio": share(r"[^\p{L}]"),
-        "digit_ratio": share(rf"[^\p{{Nd}}{OTHER_DIGITS}]"),
-        "special_ratio": share(r"(?U)[\p{L}\p{N}\s\x1c-\x1f]"),
-        "line_repetition": 1 - F.size(F.array_distinct(filled)) / F.size(lines),
-        "mean_word_length": F.when(n_words == 0, 0.0).otherwise(F.length(F.regexp_replace(text, rf"{SPACE}+", "")) / n_words),
-        "sentence_pieces": F.size(F.split(text, "[.!?]+", -1)),
-        "paragraphs": F.size(F.filter(F.split(text, "\n\n", -1), lambda x: ~is_blank(x))),
-    }
+    own = measures(text)
+    return {n: own[n] for n in FEATURES}
 
 
 def quality(text: Column, rules: QualityRules | None = None, given: dict[str, Column] | None = None) -> Column:
@@ -128,16 +178,19 @@ def once(df: DataFrame, name: str, **columns: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def with_measures(df: DataFrame, text: str = "text", name: str = "_m") -> DataFrame:
+    """df with the struct of a text's measures."""
+    return df.withColumn(name, measures(F.col(text)))
+
+
 def with_language(df: DataFrame, text: str = "text") -> DataFrame:
     """df with language."""
-    counted = once(df, "_f", **letter_counts(F.col(text)))
-    return counted.withColumn("language", language(F.col(text), given={n: F.col(f"_f.{n}") for n in LETTERS})).drop("_f")
+    return with_measures(df, text).withColumn("language", language(F.col(text), given={n: F.col(f"_m.{n}") for n in LETTERS})).drop("_m")
 
 
 def with_verdict(df: DataFrame, rules: FilterRules | None = None, text: str = "text") -> DataFrame:
     """df with verdict: struct(passed, quality, reason)."""
     r, t = rules or FilterRules(), F.col(text)
-    first = once(df, "_f", **features(t), **letter_counts(F.coalesce(t, F.lit(""))))
-    made = lambda names: {n: F.col(f"_f.{n}") for n in names}
-    second = once(first, "_q", quality=quality(t, r.quality, made(features(t))), language=language(t, given=made(LETTERS)))
-    return second.withColumn("verdict", verdict(t, r, {n: F.col(f"_q.{n}") for n in ("quality", "language")})).drop("_f", "_q")
+    made = lambda names: {n: F.col(f"_m.{n}") for n in names}
+    second = once(with_measures(df, text), "_q", quality=quality(t, r.quality, made(FEATURES)), language=language(t, given=made(LETTERS)))
+    return second.withColumn("verdict", verdict(t, r, {n: F.col(f"_q.{n}") for n in ("quality", "language")})).drop("_m", "_q")

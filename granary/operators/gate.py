@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import chat
+from granary.operators.tokens import offsets
 from granary.plans.durable import stored
 
 # The domains of the metadata, and the keys that it must have.
@@ -35,9 +36,18 @@ def repeated(rows: DataFrame, column: str | Column, what: str) -> DataFrame:
     return rows.groupBy(value.alias("v")).count().where("count > 1 and v is not null").select(F.col("v").cast("string").alias("location"), F.lit(f"duplicate {what}").alias("error"))
 
 
+def _numbered(metadata: DataFrame) -> DataFrame:
+    """metadata with position from 1 in the order of its line."""
+    own = stored(metadata.withColumn("_id", F.monotonically_increasing_id()))
+    keyed = stored(own.select("_id", "line").orderBy("line", "_id").withColumn("_at", F.monotonically_increasing_id()))
+    starts = offsets(keyed, "_at", F.lit(1)).select("_id", (F.col("start") + 1).alias("position"))
+    return own.join(starts, "_id").drop("_id")
+
+
 def check(data: DataFrame, metadata: DataFrame, train: DataFrame | None = None, rows: int = 1000, per_category: int = 100, per_language: int = 50) -> DataFrame:
-    """All errors of data (line, keys, messages) and metadata (line, keys and the metadata's columns), against training conversations (messages).
+    """All errors of data (line, keys, messages) and metadata (position, keys and the metadata's columns, its claimed line among them), against training conversations (messages).
 
+    line and position are line numbers of the two files. Without a column position rows are numbered by their claimed lines.
     Rows of a wrong structure are not checked further; metadata that lacks a key counts for no quota.
     """
     named = stored(data.withColumn("location", F.concat(F.lit("line "), F.col("line").cast("string"))).withColumn("wrong", chat.structure_errors(F.col("messages"))))
@@ -56,9 +66,8 @@ def check(data: DataFrame, metadata: DataFrame, train: DataFrame | None = None,
         errors.append(good.join(t.select("full").distinct(), "full", "left_semi").select("location", F.lit("conversation found in training data").alias("error")))
         prompts = t.select(F.explode("prompts").alias("p")).distinct()
         errors.append(good.select("location", F.explode("prompts").alias("p")).join(prompts, "p", "left_semi").select("location", F.lit("target prompt found in training data").alias("error")).distinct())
-    by_line = Window.orderBy("line")  # both sides have `rows` rows if they pass, and are small
     a = good.select("location", F.col("line").alias("position"), "content")
-    b = metadata.withColumn("position", F.row_number().over(by_line))
+    b = metadata if "position" in metadata.columns else _numbered(metadata)
     both = stored(a.join(b, "position"))
     missing = F.array_sort(F.array_except(F.array(*map(F.lit, METADATA_KEYS)), F.col("keys")))
     errors.append(both.where(F.size(missing) > 0).select("location", F.concat(F.lit("metadata lacks "), F.array_join(missing, ", ")).alias("error")))

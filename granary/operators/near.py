@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.plans.durable import stored
+from granary.plans.durable import discard, stored
 
 
 def prefixes(sets: DataFrame, more_than: float) -> DataFrame:
@@ -61,14 +61,17 @@ def without_led(met: DataFrame, sets: DataFrame, more_than: float, crowded: int
 
 
 def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Ids that stay when each, in order, goes if a smaller one that stays is its neighbour: rounds keep all whose smaller neighbours are decided."""
-    edges, kept = stored(edges), None
+    """Ids that stay when each, in order, goes if a smaller one that stays is its neighbour: rounds keep all whose smaller neighbours are decided. Each round's ids are a table, read as one in the end."""
+    spark, gone_at = nodes.sparkSession, []
+    edges = stored(edges)
     while edges.limit(1).count():
         low = edges.select(F.col("a").alias("id")).distinct().join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
         gone = stored(edges.join(low, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct())
-        kept = gone if kept is None else kept.union(gone)
-        edges = stored(edges.join(gone, F.col("a") == F.col("id"), "left_anti").join(gone, F.col("b") == F.col("id"), "left_anti"))
-    return nodes if kept is None else nodes.join(kept, "id", "left_anti")
+        gone_at.append(gone._stored_at)
+        left = stored(edges.join(gone, F.col("a") == F.col("id"), "left_anti").join(gone, F.col("b") == F.col("id"), "left_anti"))
+        discard(edges)
+        edges = left
+    return nodes.join(spark.read.schema(gone.schema).parquet(*gone_at), "id", "left_anti") if gone_at else nodes
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", more_than: float = 0.9, size: int = 3) -> DataFrame:

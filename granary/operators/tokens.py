@@ -2,19 +2,49 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from granary.functions.text import once
+from granary.plans.durable import stored
 
 IGNORE = -100
 
 
 def char_ids(text: Column, end: int | None = 2, vocabulary: int = 48_000) -> Column:
-    """Code points modulo the vocabulary, and the end id: the encoder where there is no tokenizer."""
-    ids = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) % vocabulary)
-    return ids if end is None else F.concat(ids, F.array(F.lit(end)))
+    """Code points modulo the vocabulary, and the end id: the encoder where there is no tokenizer. Null texts stay null."""
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def encode(texts: pa.Array) -> pa.Array:
+        own = [(x or b"").decode(errors="replace") for x in texts.cast(pa.binary() if texts.type == pa.string() else pa.large_binary()).to_pylist()]
+        tail = [] if end is None else [end]
+        sizes = np.array([len(t) for t in own], np.int64)
+        ends = np.cumsum(sizes + len(tail))
+        flat = np.full(int(ends[-1]) if len(ends) else 0, end or 0, np.int32)
+        place = np.ones(len(flat), bool)
+        if tail:
+            place[ends - 1] = False
+        flat[place] = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32) % vocabulary
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat), mask=pa.array(~np.array(texts.is_valid().to_pylist(), bool)))
+
+    return encode(text)
+
+
+_tokenizers: dict[str, object] = {}
+
+
+def _tokenizer(path: str):
+    """A tokenizer file, loaded once in each worker."""
+    if path not in _tokenizers:
+        from tokenizers import Tokenizer
+
+        _tokenizers[path] = Tokenizer.from_file(path)
+    return _tokenizers[path]
 
 
 def encoder(tokenizer_path: str, start: int | None = None, end: int | None = None):
@@ -22,16 +52,12 @@ def encoder(tokenizer_path: str, start: int | None = None, end: int | None = Non
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-
         def framed(ids: list[int]) -> list[int]:
             if start is not None and ids[:1] != [start]:
                 ids = [start, *ids]
             return [*ids, end] if end is not None and ids[-1:] != [end] else ids
 
-        return pd.Series([framed(e.ids) for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)])
+        return pd.Series([framed(e.ids) for e in _tokenizer(tokenizer_path).encode_batch([t or "" for t in texts], add_special_tokens=False)])
 
     return encode
 
@@ -39,10 +65,7 @@ def encoder(tokenizer_path: str, start: int | None = None, end: int | None = Non
 def decoder(tokenizer_path: str):
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        return pd.Series([tokenizer.decode(list(x) if x is not None else [], skip_special_tokens=True) for x in ids])
+        return pd.Series([_tokenizer(tokenizer_path).decode(list(x) if x is not None else [], skip_special_tokens=True) for x in ids])
 
     return decode
 
@@ -76,16 +99,28 @@ def preference_example(prompt: Column, chosen: Column, rejected: Column, length:
     return F.struct(padded(chosen).alias("input_ids"), padded(rejected).alias("rejected_ids"), F.size(head).alias("prompt_len"))
 
 
-def offsets(df: DataFrame, order: str, length: Column, buckets: int = 64) -> DataFrame:
-    """df with start: the sum of lengths before each row in the order of a distinct number. Two passes: sums of ranges of the order, then running sums within each."""
-    probabilities = [k / buckets for k in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(order, probabilities, 0.001))) if buckets > 1 else []
-    bucket = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
-    rows = df.withColumn("_length", length.cast("long")).withColumn("_bucket", bucket)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    base = rows.groupBy("_bucket").agg(F.sum("_length").alias("n")).select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_in", F.coalesce(F.sum("_length").over(within), F.lit(0))).join(F.broadcast(base), "_bucket").withColumn("start", F.col("_base") + F.col("_in")).drop("_bucket", "_length", "_in", "_base")
+def offsets(df: DataFrame, order: str, length: Column) -> DataFrame:
+    """df with start: the sum of lengths before each row in the order of a distinct number.
+
+    Only orders and lengths are sorted, in ranges that follow from their size; each range sums its own in one pass, and the
+    sums of the ranges before, a row for each, are added. What else df has is joined to that by the order.
+    """
+    kind = df.schema[order].dataType.simpleString()
+
+    def work(batches):
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column(1).to_numpy(zero_copy_only=False)
+            ends = before + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - n), pa.array(ends), pa.array(np.full(len(n), part, np.int32))], ["_order", "_in", "_end", "_part"])
+            before = int(ends[-1]) if len(ends) else before
+
+    slim = df.select(F.col(order).alias("_order"), F.coalesce(length.cast("long"), F.lit(0)).alias("_length")).orderBy("_order")
+    summed = stored(slim.mapInArrow(work, f"_order {kind}, _in long, _end long, _part int"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    base = summed.groupBy("_part").agg(F.max("_end").alias("n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
+    starts = summed.join(F.broadcast(base), F.col("_part") == F.col("_p")).select("_order", (F.col("_base") + F.col("_in")).alias("start"))
+    return df.join(starts, F.col(order) == F.col("_order")).drop("_order")
 
 
 def windows(stream: DataFrame, length: int, ids: str = "ids", pad: int = 0) -> DataFrame:
@@ -104,27 +139,56 @@ def windows(stream: DataFrame, length: int, ids: str = "ids", pad: int = 0) -> D
 
 
 def shards(stream: DataFrame, size: int, ids: str = "ids") -> DataFrame:
-    """Rows (shard, at, token): where each token of a stream (start, ids) goes in shards of `size`."""
-    flat = stream.select("start", F.posexplode(ids).alias("i", "token"))
-    place = F.col("start") + F.col("i")
-    return flat.select(F.floor(place / size).cast("long").alias("shard"), (place % size).alias("at"), "token")
+    """Rows (shard, at, ids): the slices of a stream (start, ids), each with its place in a shard of `size` tokens."""
+    some = stream.where(F.size(ids) > 0)
+    end = F.col("start") + F.size(ids)
+    parts = some.withColumn("shard", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((end - 1) / size))))
+    low = F.greatest(F.col("start"), F.col("shard") * size)
+    high = F.least(end, (F.col("shard") + 1) * size)
+    return parts.select(F.col("shard").cast("long").alias("shard"), (low - F.col("shard") * size).alias("at"), F.slice(ids, (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("ids"))
 
 
 def write_shards(stream: DataFrame, folder: str, split: str, size: int, ids: str = "ids", first: int = 0) -> DataFrame:
-    """Writes the stream as {split}_{shard:04d}.bin of unsigned 16-bit numbers in a folder that executors share, and returns (shard, tokens). Ids of 65,536 and above raise."""
+    """Writes the stream as {split}_{shard:04d}.bin of unsigned 16-bit numbers in a folder that executors share, and returns (shard, tokens). Ids of 65,536 and above raise.
 
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        import os
+    Slices of documents are sorted, not tokens, and a shard is written as they come: a task holds a batch of them only.
+    """
 
-        shard, own = int(part["shard"].iloc[0]), part.sort_values("at")["token"]
-        if own.max() > 65_535 or own.min() < 0:
-            raise ValueError("a token does not fit 16 bits")
-        path = f"{folder}/{split}_{shard:04d}.bin"
-        own.to_numpy("uint16").tofile(f"{path}.tmp{os.getpid()}")
-        os.replace(f"{path}.tmp{os.getpid()}", path)
-        return pd.DataFrame({"shard": [shard], "tokens": [len(own)]})
+    def work(batches):
+        import os
 
-    return shards(stream, size, ids).withColumn("shard", F.col("shard") + first).groupBy("shard").applyInPandas(work, "shard long, tokens long")
+        shard, file, n, done = None, None, 0, []
+        path = lambda: f"{folder}/{split}_{shard:04d}.bin"
+        temporary = lambda: f"{path()}.tmp{os.getpid()}"
+
+        def close() -> None:
+            if file is not None:
+                file.close()
+                os.replace(temporary(), path())
+                done.append((shard, n))
+
+        for batch in batches:
+            for k, own in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if k != shard:
+                    close()
+                    shard, n = k, 0
+                    file = open(temporary(), "wb")  # noqa: SIM115
+                values = own.values.to_numpy(zero_copy_only=False)
+                if values.max() > 65_535 or values.min() < 0:
+                    raise ValueError("a token does not fit 16 bits")
+                file.write(values.astype("<u2").tobytes())
+                n += len(values)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.int64()), pa.array([x for _, x in done], pa.int64())], ["shard", "tokens"])
+
+    placed = shards(stream, size, ids).withColumn("shard", F.col("shard") + first)
+    return placed.repartition("shard").sortWithinPartitions("shard", "at").mapInArrow(work, "shard long, tokens long")
+
+
+def completion_log_probability(log_p: Column, targets: Column, prompt_len: Column, pad: int = 0, end: int = 2) -> Column:
+    """The sum of the log-probabilities of an answer's tokens, of arrays of what is predicted after each token but the last: from the prompt's end on, without padding and end ids."""
+    each = F.transform(F.arrays_zip(log_p.alias("p"), targets.alias("t")), lambda x, i: F.when((i >= prompt_len - 1) & ~x.t.isin(pad, end), x.p).otherwise(0.0))
+    return F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
 
 
 def learning_rate(step: Column, warm_up: int, total: int, most: float, least: float) -> Column:

@@ -117,21 +117,23 @@ def tree_reasons(nodes: DataFrame) -> DataFrame:
 
 
 def paths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of sound trees all root-to-leaf paths (tree_id, leaf_id, path), and the nodes reached (tree_id, reached): a join for each level, until none is left."""
-    slim = stored(nodes.select("tree_id", "parent_id", F.struct(*_NODE).alias("node")))
-    parents = slim.select("tree_id", F.col("parent_id").alias("_p")).where("_p is not null").distinct()
-    level = stored(slim.where("parent_id is null").select("tree_id", F.array("node").alias("path")))
+    """Of sound trees all root-to-leaf paths (tree_id, leaf_id, path), and the nodes reached (tree_id, reached): a join of ids for each level, until none is left; the nodes themselves join the finished paths once."""
+    slim = stored(nodes.select("tree_id", F.col("parent_id").alias("_p"), F.col("message_id").alias("_id")))
+    parents = slim.select("tree_id", "_p").where("_p is not null").distinct()
+    level = stored(slim.where("_p is null").select("tree_id", F.array("_id").alias("ids")))
     done, reached = [], []
     while level.limit(1).count():
-        last = level.withColumn("_p", F.element_at("path", -1).message_id)
-        done.append(last.join(parents, ["tree_id", "_p"], "left_anti").select("tree_id", F.col("_p").alias("leaf_id"), "path"))
+        last = level.withColumn("_p", F.element_at("ids", -1))
+        done.append(last.join(parents, ["tree_id", "_p"], "left_anti").select("tree_id", F.col("_p").alias("leaf_id"), "ids"))
         reached.append(level.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n")))
-        below = slim.select("tree_id", F.col("parent_id").alias("_p"), "node")
-        level = stored(last.join(below, ["tree_id", "_p"]).select("tree_id", F.concat("path", F.array("node")).alias("path")))
+        level = stored(last.join(slim, ["tree_id", "_p"]).select("tree_id", F.concat("ids", F.array("_id")).alias("ids")))
     if not done:
-        empty = level.select("tree_id", F.lit("").alias("leaf_id"), "path")
-        return empty, level.select("tree_id", F.lit(0).alias("reached"))
-    return reduce(DataFrame.union, done), reduce(DataFrame.union, reached).groupBy("tree_id").agg(F.sum("n").alias("reached"))
+        empty = nodes.select("tree_id", F.lit("").alias("leaf_id"), F.array(F.struct(*_NODE)).alias("path")).limit(0)
+        return empty, nodes.select("tree_id", F.lit(0).alias("reached")).limit(0)
+    found = stored(reduce(DataFrame.union, done)).select("tree_id", "leaf_id", F.posexplode("ids").alias("at", "_id"))
+    whole = nodes.select("tree_id", F.col("message_id").alias("_id"), F.struct(*_NODE).alias("node"))
+    joined = found.join(whole, ["tree_id", "_id"]).groupBy("tree_id", "leaf_id").agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("x"))
+    return joined.select("tree_id", "leaf_id", F.transform("x", lambda x: x.node).alias("path")), reduce(DataFrame.union, reached).groupBy("tree_id").agg(F.sum("n").alias("reached"))
 
 
 def convert(nodes: DataFrame, rules: PathRules | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

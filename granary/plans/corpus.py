@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import chat
-from granary.operators import mixing, tokens
+from granary.operators import gate, mixing, tokens
 from granary.plans.durable import stored
-from granary.sources import paths, readers, writers
+from granary.sources import chats, paths, readers, writers
 
 
 def read_config(path: str) -> tuple[dict, str, list[mixing.Source], int, int]:
@@ -39,7 +40,7 @@ def build_mix(spark: SparkSession, config_path: str, output: str, metadata: str,
     for name, own in files.items():
         rows = readers.numbered_lines(spark, own)
         v = F.try_parse_json("value")
-        parsed = rows.select(F.lit(name).alias("source"), "file", "line", v.isNull().alias("bad"), F.from_json("value", f"messages {chat.MESSAGES}").messages.alias("messages"))
+        parsed = rows.select(F.lit(name).alias("source"), "file", "line", v.isNull().alias("bad"), chat.typed_messages(F.try_variant_get(v, "$.messages", "variant")).alias("messages"))
         pool = parsed if pool is None else pool.union(parsed)
     pool = stored(pool)
     held = paths.expand(config["validation_paths"], base) if config.get("validation_paths") else []
@@ -50,7 +51,10 @@ def build_mix(spark: SparkSession, config_path: str, output: str, metadata: str,
     counters = judged.groupBy("source").pivot("status").count().na.fill(0).collect()
     invalid = {r["source"]: r["count"] for r in pool.where("bad").groupBy("source").count().collect()}
     by_source = {r["source"]: {k: v for k, v in r.asDict().items() if k != "source"} | {"invalid_json": invalid.get(r["source"], 0)} for r in counters}
-    report = {r["source"]: r.asDict() for r in mixing.report(chosen, sources).collect()}
+    quotas = mixing.allocate(target, sources)
+    report = {
+        r["source"]: r.asDict() | {"requested_targets": quotas[r["source"]], "target_deficit": quotas[r["source"]] - r["selected_targets"], "filter_stats": by_source.get(r["source"], {})} for r in mixing.report(chosen, sources).collect()
+    }  # a row a source
     got = sum(r["selected_targets"] for r in report.values())
     facts = {"version": 1, "config": config, "requested_targets": target, "selected_targets": got, "target_deficit": target - got, "validation_hashes": blocked.count(), "statuses": by_source, "sources": report}
     below = F.regexp_replace(F.regexp_replace("file", "^file:/+", "/"), f"^{re.escape(base.rstrip('/'))}/", "")
@@ -65,6 +69,47 @@ def pack_corpus(docs: DataFrame, encode: Column, folder: str, size: int, split:
     return tokens.write_shards(stream, folder, split, size, first=paths.next_shard(folder, split))
 
 
+def pack_files(spark: SparkSession, files: list[str], encode: Callable[[Column], Column], folder: str, size: int, split: str = "train") -> DataFrame:
+    """pack_corpus over text files, each a document, in the order of their names."""
+    docs = stored(readers.documents(spark, files).orderBy("file").withColumn("doc_id", F.monotonically_increasing_id()))
+    return pack_corpus(docs, encode(F.col("text")), folder, size, split)
+
+
+def prepare_sources(spark: SparkSession, mirror: str, folder: str, quotas: dict[str, int], seed: int = 42) -> dict:
+    """Reads the sources of the registry from a local mirror, adapts each, fills its quota of targets and writes conversations and the manifest. A quota that can't be met raises."""
+    made = {}
+    for k, (name, quota) in enumerate(quotas.items()):
+        rows = chats.adapted(chats.mirrored(spark, mirror, name.split("-")[0]), name)
+        made[name] = chats.with_quota(rows, quota, seed + k, name)
+    return writers.write_sources(made, folder, seed, {k: v for k, v in chats.REGISTRY.items() if k != "trees"})
+
+
+def gate_files(spark: SparkSession, data: str, metadata: str, train: list[str], **limits: int) -> DataFrame:
+    """The errors of a validation set in files; training files may have bad lines, the set's own may not."""
+    about = readers.numbered_lines(spark, metadata).where(F.col("value").rlike(r"\S"))
+    v = F.try_parse_json("value")
+    text = lambda key: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")) == "STRING", F.try_variant_get(v, f"$.{key}", "string")).alias(key)
+    line = F.when(F.schema_of_variant(F.try_variant_get(v, "$.line", "variant")) == "BIGINT", F.try_variant_get(v, "$.line", "long")).alias("line")
+    named = about.select(F.col("line").alias("position"), F.json_object_keys("value").alias("keys"), line, *(text(k) for k in gate.METADATA_KEYS if k != "line"))
+    own = readers.conversations(spark, train) if train else None
+    return gate.check(readers.strict_conversations(spark, data), named, own, **limits)
+
+
+def preflight_files(spark: SparkSession, data: str, tokenizer: str, length: int = 1024, prompt_ids: tuple[str, str] = ("<|tool_call|>", "<|eos|>")) -> dict:
+    """preflight over the training examples of a file of conversations, encoded by a tokenizer file that has the chat's special tokens."""
+    from tokenizers import Tokenizer
+
+    ids = [Tokenizer.from_file(tokenizer).token_to_id(t) for t in (*prompt_ids, "<|pad|>")]
+    if None in ids:
+        raise ValueError("the tokenizer lacks special tokens of the chat template")
+    call, end, pad = ids
+    encode, ending = tokens.encoder(tokenizer), tokens.encoder(tokenizer, end=end)
+    each = readers.conversations(spark, data).where(~chat.malformed(F.col("messages"))).select(F.explode(chat.examples(F.col("messages"))).alias("e"))
+    starts = F.when(F.col("e.completion.role") == "tool_call", F.concat(F.lit("<|tool_call|>\n"), F.col("e.completion.content"))).otherwise(F.col("e.completion.content"))
+    rows = stored(each.select(F.col("e.completion.role").alias("role"), encode(chat.template(F.col("e.prompt"), True)).alias("p"), ending(starts).alias("a")))
+    return preflight(tokens.with_training_example(rows, "p", "a", length, pad, end), call, pad)
+
+
 def preflight(examples: DataFrame, tool_call_id: int, pad: int = 0) -> dict:
     """Counts of targets by role of rows (role, input_ids, labels); ValueError if there is no tool call, if one learns nothing, its prompt or padding, or does not start with the tool-call token."""
     first = F.array_position(F.transform("labels", lambda x: x != tokens.IGNORE), True)

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.functions.chat import MESSAGES
-
-_KEYS = f"messages {MESSAGES}, conversations {MESSAGES}"
+from granary.functions import chat
+from granary.plans.durable import stored
 
 
 def lines(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
@@ -20,29 +19,43 @@ def lines(spark: SparkSession, path: str | list[str], pattern: str | None = None
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
-    """Rows (file, line, value) with line numbers from 1. A file is read as one value, so files are to be of some size only; `lines` has no such limit."""
+    """Rows (file, line, value) with line numbers from 1, however large a file is: it is read in splits, and the lines of the splits before are added."""
     reader = spark.read.option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    split = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return split.select("file", (F.col("line") + 1).alias("line"), "value")
+    block = F.col("_metadata.file_block_start")
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    rows = stored(rows)  # the ids depend on the tasks that read
+    starts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    base = starts.select(F.col("file").alias("_f"), F.col("block").alias("_b"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    joined = rows.join(base, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    return joined.select("file", (F.col("base") + F.col("id") - F.col("first") + 1).alias("line"), "value")
 
 
-def _parsed(value: Column) -> Column:
-    return F.from_json(value, _KEYS)
+def _conversation(v: Column) -> Column:
+    """The messages of a JSON object, or its conversations if it has no such key; null if that is nothing or empty, one null message if it is no list."""
+    has = F.coalesce(F.array_contains(F.json_object_keys(F.to_json(v)), "messages"), F.lit(False))
+    own = F.when(has, F.try_variant_get(v, "$.messages", "variant")).otherwise(F.try_variant_get(v, "$.conversations", "variant"))
+    none = own.isNull() | (F.schema_of_variant(own) == "VOID") | F.to_json(own).isin("[]", "{}", '""', "0", "false")
+    wrong = F.array(F.lit(None).cast("struct<role:string,content:string>"))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT") & ~none, F.coalesce(chat.typed_messages(own), wrong))
 
 
 def conversations(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows (file, messages) of JSON lines with messages or else conversations; lines that are no JSON object, or have neither, are passed over one by one."""
-    rows = lines(spark, path, "*.jsonl").withColumn("v", _parsed(F.col("value")))
-    return rows.select("file", F.coalesce("v.messages", "v.conversations").alias("messages")).where("messages is not null")
+    """Rows (file, messages) of JSON lines with messages or else conversations; lines that are no JSON object, or have neither, are passed over one by one.
+
+    Types are kept: a role or content that is no string is null in the message, so that the rules reject it.
+    """
+    rows = lines(spark, path, "*.jsonl").withColumn("v", F.try_parse_json("value"))
+    return rows.select("file", _conversation(F.col("v")).alias("messages")).where("messages is not null")
 
 
 def conversation_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows (file, messages) of files that hold one JSON array; other files give none."""
+    """Rows (file, messages) of files that hold one JSON array; files that hold anything else give none."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-    rows = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.explode(F.from_json("value", f"array<struct<{_KEYS.replace('messages ', 'messages:', 1).replace(' conversations ', 'conversations:')}>>")).alias("v"))
-    return rows.select("file", F.coalesce("v.messages", "v.conversations").alias("messages")).where("messages is not null")
+    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    rows = whole.where(F.schema_of_variant("v").startswith("ARRAY")).select("file", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v"))
+    return rows.select("file", _conversation(F.col("v")).alias("messages")).where("messages is not null")
 
 
 def strict_conversations(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -51,7 +64,7 @@ def strict_conversations(spark: SparkSession, path: str | list[str]) -> DataFram
     keys = F.json_object_keys("value")
     place = F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(": not a JSON object"))
     sound = F.when(F.try_parse_json("value").isNull() | keys.isNull(), F.raise_error(place)).otherwise(keys)
-    return rows.select("file", "line", sound.alias("keys"), _parsed(F.col("value")).messages.alias("messages"))
+    return rows.select("file", "line", sound.alias("keys"), chat.typed_messages(F.try_variant_get(F.try_parse_json("value"), "$.messages", "variant")).alias("messages"))
 
 
 def preference_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -62,6 +75,11 @@ def preference_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return both.select(*(F.get_json_object("value", f"$.{k}").alias(k) for k in ("prompt", "chosen", "rejected")))
 
 
+def sampled(texts: DataFrame, n: int, least: int = 100, text: str = "text") -> DataFrame:
+    """Of the first n rows those with more than `least` characters: the limit comes before the filter."""
+    return texts.limit(n).where(F.length(text) > least)
+
+
 def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows (file, text): each file is one document; bytes that are no UTF-8 are left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -242,7 +242,7 @@ def test_windows_over_a_stream(spark, n, length, tmp_path):
         size = min(rng.randrange(0, 60), n - at)
         rows.append((len(rows) * 3, list(range(at + 1, at + size + 1))))
         at += size
-    stream = tokens.offsets(spark.createDataFrame(rows, "doc_id long, ids array<int>"), "doc_id", F.size("ids"), 8)
+    stream = tokens.offsets(spark.createDataFrame(rows, "doc_id long, ids array<int>"), "doc_id", F.size("ids"))
     flat = list(range(1, n + 1))
     items = max(1, n // (length + 1) - 1)
     want = {i: (flat[i * length : i * length + length + 1] + [0] * (length + 1))[: length + 1] for i in range(items)} if n else {}
