@@ -14,6 +14,7 @@ from granary.functions import chat
 from granary.functions import text as T
 from granary.operators import gate, mixing, near, tokens, trees
 from granary.plans.durable import stored
+from granary.sources.chats import tool_messages
 
 RULES = chat.ChatRules(max_turns=4, max_system_length=100, min_answer_length=200, max_word_share=0.08)
 SEED = 42
@@ -121,19 +122,28 @@ def doc_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(first, "h").select("doc_id", (F.col("doc_id") == F.col("first")).alias("kept"))
 
 
-_SETS = r"""words as (select doc_id, regexp_extract_all(text, '\S+') as w from documents),
+def _near_sql(table: str) -> str:
+    """CTEs to `stay`: ids of a table (doc_id, text) that stay when each, in order, goes if a smaller one that stays is too similar."""
+    return rf"""words as (select doc_id, regexp_extract_all(text, '\S+') as w from {table}),
 shingles as (select doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s from words where len(w) >= 3),
 elements as (select doc_id, len(s) as n, unnest(s) as e from shingles),
 common_ as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as o from elements a join elements b on a.e = b.e and a.doc_id < b.doc_id and least(a.n, b.n) > greatest(a.n, b.n) * 0.9 group by all),
-edges as (select a, b from common_ where o / (na + nb - o) > 0.9)"""
+edges as (select a, b from common_ where o / (na + nb - o) > 0.9),
+nodes as (select id, row_number() over (order by id) as i from (select a as id from edges union select b from edges)),
+lower_ones as (select n.i, n.id, coalesce(list(e.a) filter (where e.a is not null), []) as low from nodes n left join edges e on e.b = n.id group by all),
+walk as (select 0::bigint as i, []::bigint[] as kept union all select n.i, case when list_has_any(kept, low) then kept else list_append(kept, n.id) end from walk w join lower_ones n on n.i = w.i + 1),
+stay as (select doc_id from {table} where doc_id not in (select id from nodes) or doc_id in (select unnest(arg_max(kept, i)) from walk))"""
 
 
-@query(f"with {_SETS} select doc_id from documents where doc_id not in (select b from edges)")
+@query(f"with recursive {_near_sql('documents')} select doc_id from stay")
 def doc_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    f"""with recursive {_COUNTS}, {_FEATURES}, passed as (select doc_id, text, quality, language from scores join languages using (doc_id, text) where quality >= 0.3), {_near_sql("passed")}
+select doc_id, quality, language from passed semi join stay using (doc_id)"""
+)
 def doc_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.filter_and_dedup(table(spark, sf_dir, "documents"))
 
@@ -332,8 +342,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.judged(rows, mixing.blocked_hashes(own.where("conv_id % 10 = 0 and exists(messages, m -> m.role = 'assistant')")), SEED)
 
 
-@query(
-    f"""with {_DIGESTS}, targets as (select * from parts where role in ('assistant', 'tool_call')),
+_JUDGED = f"""{_DIGESTS}, targets as (select * from parts where role in ('assistant', 'tool_call')),
 keys as (
   select conv_id, digest as h from digests union select t.conv_id, sha256(string_agg(p.part, chr(10) order by p.turn)) from targets t join parts p on p.conv_id = t.conv_id and p.i < t.i group by t.conv_id, t.i
   union select t.conv_id, sha256(p.part) from targets t join parts p on p.conv_id = t.conv_id and p.i = t.i - 1 where p.role in ('user', 'tool_result')
@@ -344,26 +353,49 @@ twice as (select conv_id, conv_id as line, source, digest, targets from digests
 firsts as (select source, digest, min(line) as first from twice where targets > 0 and conv_id not in (select conv_id from leaked) group by all),
 owners as (select digest, arg_min(source, sha256('42:owner:' || digest || ':' || source)) as owner from firsts group by digest),
 judged as (
-  select t.source, case when targets = 0 then 'no_trainable_target' when conv_id in (select conv_id from leaked) then 'validation_leakage' when line <> first then 'duplicate' when t.source <> owner then 'cross_source_duplicate' else 'eligible' end as status, targets
+  select t.source, case when targets = 0 then 'no_trainable_target' when conv_id in (select conv_id from leaked) then 'validation_leakage' when line <> first then 'duplicate' when t.source <> owner then 'cross_source_duplicate' else 'eligible' end as status, targets, digest
   from twice t left join firsts using (source, digest) left join owners using (digest)
-)
-select source, status, count(*) as records, sum(targets)::bigint as targets from judged group by all"""
-)
+)"""
+
+
+@query(f"with {_JUDGED} select source, status, count(*) as records, sum(targets)::bigint as targets from judged group by all")
 def mix_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).groupBy("source", "status").agg(F.count(F.lit(1)).alias("records"), F.sum("targets").cast("long").alias("targets"))
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eligible = _judged(spark, sf_dir).where("status = 'eligible'").select("source", "digest", "targets")
-    return mixing.select(eligible, SOURCES, 60, SEED)
+    """A mix of a third of all eligible targets."""
+    eligible = stored(_judged(spark, sf_dir).where("status = 'eligible'").select("source", "digest", "targets"))
+    goal = (eligible.agg(F.sum("targets")).first()[0] or 0) // 3
+    return mixing.select(eligible, SOURCES, max(1, goal), SEED)
+
+
+# No source runs dry at a third of all targets, so one walk settles the mix.
+_SELECTED = f"""{_JUDGED},
+eligible as (select source, digest, targets, sha256('42:' || source || ':' || digest) as key from judged where status = 'eligible'),
+weights as (select * from (values ('s0', 3.0::double), ('s1', 2.0::double), ('s2', 1.5::double)) t(source, weight)),
+goal as (select greatest(1, coalesce(sum(targets), 0)::bigint // 3) as target from eligible),
+shares as (select source, weight, target * weight / 6.5 as x, target from weights, goal),
+quotas as (select source, weight, floor(x)::bigint + (row_number() over (order by floor(x) - x, source) <= target - sum(floor(x)) over ())::bigint as quota from shares),
+queue as (select *, row_number() over (partition by source order by key) as i from eligible),
+walk as (
+  select source, quota, 0::bigint as i, 0::bigint as used, false as taken from quotas
+  union all select w.source, quota, q.i, (used + case when used + q.targets <= quota then q.targets else 0 end)::bigint, used + q.targets <= quota from walk w join queue q on q.source = w.source and q.i = w.i + 1
+),
+chosen as (select q.source, q.digest, q.targets from queue q join walk w using (source, i) where taken)"""
 
 
-@query()
+@query(f"with recursive {_SELECTED} select source, digest, targets, sha256('42:mixed:' || digest) as mix_key from chosen")
 def source_mix_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed_order(_selected(spark, sf_dir), SEED)
+    return mixing.mixed_order(_selected(spark, sf_dir), SEED).select("source", "digest", "targets", "mix_key")
 
 
-@query()
+@query(
+    f"""with recursive {_SELECTED}, sums as (select source, count(*) as eligible_records, sum(targets)::bigint as eligible_targets from eligible group by source),
+taken as (select source, count(*) as selected_records, sum(targets)::bigint as selected_targets from chosen group by source)
+select source, weight, coalesce(eligible_records, 0) as eligible_records, coalesce(eligible_targets, 0) as eligible_targets, coalesce(selected_records, 0) as selected_records, coalesce(selected_targets, 0) as selected_targets,
+  coalesce(selected_targets / (select sum(selected_targets)::double from taken), 0.0) as share from weights left join sums using (source) left join taken using (source)"""
+)
 def mix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_selected(spark, sf_dir), SOURCES)
 
@@ -374,10 +406,9 @@ given as (select source, x, floor(x)::bigint as g from shares), left_over as (se
 select source, g + (row_number() over (order by g - x, source) <= r)::int as quota from given, left_over"""
 )
 def source_mix_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1,000 documents shared out by the sources' sizes; sources are few and their counts go to the driver."""
-    sizes = table(spark, sf_dir, "documents").where("source is not null").groupBy("source").count().orderBy("source").collect()
-    given = mixing.allocate(1000, [mixing.Source(r["source"], float(r["count"])) for r in sizes])
-    return spark.createDataFrame(sorted(given.items()), "source string, quota long")
+    """1,000 documents shared out by the sources' sizes."""
+    sizes = table(spark, sf_dir, "documents").where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("weight"))
+    return mixing.allocate_rows(stored(sizes), 1000)
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -568,16 +599,28 @@ def dpo_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", made.alias("x")).select("event_id", F.round("x.loss", 6).alias("loss"), F.col("x.accuracy").alias("accuracy"), F.round("x.margin", 6).alias("margin"))
 
 
-@query()
+@query(
+    r"""with turns as (select *, regexp_replace(text, '^\s+|\s+$', '', 'g') as bare from conversations),
+made as (
+  select conv_id, turn, role, bare = '' as blank,
+    case when role = 'assistant' then '{"n":' || length(text) || '}' else bare end as content
+  from turns where role <> 'system'
+),
+whole as (
+  select conv_id, 'system:Available tools:' || chr(10) || '[{"name":"f"}]' || chr(10) || string_agg(case when role = 'assistant' then 'tool_call' else role end || ':' || content, chr(10) order by turn) as messages,
+    sum(length(content)) + length('Available tools:' || chr(10) || '[{"name":"f"}]') as n, bool_or(role not in ('user', 'assistant')) as odd
+  from made group by conv_id
+)
+select conv_id, case when n <= 8000 and not odd and conv_id not in (select conv_id from turns where role <> 'assistant' and bare = '') then messages end as messages
+from whole where conv_id in (select conv_id from turns where role = 'user') and conv_id in (select conv_id from turns where role = 'assistant')"""
+)
 def tool_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations dressed as tool calls, through the adapter."""
-    from granary.sources.chats import tool_messages
-
     own = chats(spark, sf_dir).where(F.exists("messages", lambda m: m.role == "user") & F.exists("messages", lambda m: m.role == "assistant"))
     sender = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
     value = lambda m: F.when(m.role == "assistant", F.concat(F.lit('<tool_call>{"n": '), F.length(m.content).cast("string"), F.lit("}</tool_call>"))).otherwise(m.content)
     rows = own.select(F.col("conv_id").alias("id"), F.lit('[{"name": "f"}]').alias("tools"), F.transform("messages", lambda m: F.struct(sender(m.role).alias("from"), value(m).alias("value"))).alias("conversations"))
-    return tool_messages(rows).select(F.col("id").alias("conv_id"), F.to_json("messages").alias("messages"))
+    return tool_messages(rows).select(F.col("id").alias("conv_id"), F.array_join(F.transform("messages", lambda m: F.concat(m.role, F.lit(":"), m.content)), "\n").alias("messages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -42,6 +42,16 @@ def allocate(total: int, sources: list[Source]) -> dict[str, int]:
     return given
 
 
+def allocate_rows(sizes: DataFrame, total: int) -> DataFrame:
+    """The same over rows (source, weight) of a stored table, however many sources there are: rows (source, quota)."""
+    weights = sizes.agg(F.sum(F.col("weight").cast("double")).alias("w"))
+    shares = sizes.join(F.broadcast(weights)).select("source", (F.lit(total) * F.col("weight") / F.col("w")).alias("x"))  # one row
+    whole = shares.withColumn("given", F.floor("x").cast("long"))
+    left = total - (whole.agg(F.coalesce(F.sum("given"), F.lit(total))).first()[0])
+    more = stored(whole.orderBy(F.col("given") - F.col("x"), "source").limit(left).select("source", F.lit(1).alias("more")))
+    return whole.join(more, "source", "left").select("source", (F.col("given") + F.coalesce("more", F.lit(0))).alias("quota"))
+
+
 def blocked_hashes(held_out: DataFrame) -> DataFrame:
     """All leakage keys (h) of held-out conversations; a malformed one raises when the plan runs."""
     ok = F.coalesce(F.raise_error(F.concat(F.lit("held-out conversation: "), chat.mixable(F.col("messages")))).cast("boolean"), F.lit(True))
