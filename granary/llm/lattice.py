@@ -139,8 +139,8 @@ def _compare(tables: int, probes: int, scale: float, seed: int, least: float):
                 if b - a < 2:
                     continue
                 owners = np.flatnonzero(own[a:b]) + a
-                for step in range(a, b, 512):
-                    rows = np.arange(step, min(b, step + 512))
+                for step in range(a, b, 64):  # so few at a time that all pairs of a block may link without much memory
+                    rows = np.arange(step, min(b, step + 64))
                     i, j = np.nonzero(unit[rows] @ unit[owners].T >= least - 1e-9)
                     x, y = rows[i], owners[j]
                     # an owner meets each other owner once; a prober meets the owners

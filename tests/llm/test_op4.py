@@ -46,3 +46,52 @@ def test_nothing_to_learn_from_and_empty_tables(spark):
     assert all(r.kept for r in grade.rate(docs, grade.fit(docs, none), 2).collect())
     one = spark.createDataFrame([(1, 1), (1, 1), (2, 7)], "doc_id long, grade int")
     assert grade.rate(docs.limit(0), grade.fit(docs, one), 2).count() == 0
+
+
+def plain_fit(x, y, weight, grades, penalty, rounds=40_000):
+    """Weights and thresholds of the same loss over a dense matrix, by plain gradient steps."""
+    n, m = x.shape
+    w, theta = np.zeros(m), np.linspace(-1, 1, grades - 1)
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(rounds):
+        latent = x @ w
+        upper = np.where(y < grades - 1, sig(theta[np.minimum(y, grades - 2)] - latent), 1.0)
+        lower = np.where(y > 0, sig(theta[np.maximum(y - 1, 0)] - latent), 0.0)
+        p = upper - lower
+        up, down = upper * (1 - upper) / p * weight, lower * (1 - lower) / p * weight
+        w = w - 0.5 * (x.T @ (up - down) + penalty * w)
+        theta = theta - 0.5 * np.array([-up[y == j].sum() + down[y == j + 1].sum() for j in range(grades - 1)])
+    return w, theta
+
+
+def test_regression_equals_a_dense_one():
+    rng = np.random.default_rng(4)
+    x = (rng.random((200, 6)) < 0.4).astype(float)
+    y = np.digitize(x @ np.array([2.0, -1, 0.5, 0, 1, -2]) + rng.logistic(size=200), [-0.5, 1.0])
+    weight = np.full(200, 1 / 200)
+    rows, cols = np.nonzero(x)
+    w, theta = grade._descend(rows, cols, 200, 6, y, weight, 3, 1e-3, 3000)
+    want_w, want_theta = plain_fit(x, y, weight, 3, 1e-3)
+    assert np.abs(w - want_w).max() < 0.05 and np.abs(theta - want_theta).max() < 0.05
+
+
+def test_scores_equal_plain_ones_and_models_do_not_depend_on_order(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(i, make(rng, i % 3, rng.randrange(10, 60))) for i in range(300)] + [(3, "another text"), (3, "another text"), (400, None)]
+    ratings = [(i, i % 3) for i in range(300)] + [(5, 0), (5, 1), (5, 2), (6, 2), (400, 1)]  # of conflicting ones the lowest holds
+    docs, rated = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ratings, "doc_id long, grade int")
+    one = grade.fit(docs.coalesce(1), rated.coalesce(1), sample=180)
+    many = grade.fit(docs.repartition(5, F.rand(1)), rated.repartition(3, F.rand(2)), sample=180)
+    assert (one.at == many.at).all() and np.allclose(one.weights, many.weights) and len(one.at) > 5
+    weight, features = dict(zip(one.at.tolist(), one.weights.tolist(), strict=True)), grade.Features()
+    got = sorted((r.doc_id, r.expected_grade, r.tail, r.kept) for r in grade.rate(docs, one, tail=2, least=0.4).collect())
+    want = []
+    for i, t in rows:
+        latent = sum(weight.get(b, 0.0) for b in features(t or ""))
+        tails = [1 / (1 + np.exp(theta - latent)) for theta in one.thresholds]
+        want.append((i, sum(tails), tails[1], tails[1] >= 0.4))
+    want.sort()
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1:3] for g in got], [w[1:3] for w in want]) and [g[3] for g in got] == [w[3] for w in want]

@@ -39,3 +39,12 @@ def test_hash_is_minimal_and_perfect():
         keys = [str(i).encode() for i in range(n)]
         h = bpe.PerfectHash(keys)
         assert h.lookup(keys) == list(range(n)) and sorted(h.slot_key) == list(range(n))
+
+
+def test_repeated_rows_and_null_keys_stay(spark):
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "a b"), (None, None)], "doc_id long, text string")
+    got = bpe.decode(bpe.encode(rows, ranks), ranks).collect()
+    assert sorted((r.doc_id or 0, bytes(r.decoded)) for r in got) == [(0, b""), (0, b"a b"), (1, b"a b"), (1, b"a b"), (1, b"c")]

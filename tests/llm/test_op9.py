@@ -47,3 +47,16 @@ def test_prior_shrinks_small_hosts_and_empty_tables_pass(spark):
     alpha, beta = hosts.fit_prior(frame)
     assert (1 + alpha) / (1 + alpha + beta) < 0.5
     assert hosts.judge(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_repeated_rows_null_keys_and_tied_hosts(spark):
+    good, bad = " ".join(f"w{i}" for i in range(30)), "too short"
+    rows = [(1, good, "a"), (1, good, "a"), (None, good, "a"), (2, bad, "b"), (2, bad, "b"), (3, good, "b"), (4, good, None), (None, bad, None)]
+    got = hosts.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id or 0, r.host or "", r.base_failed) for r in got) == sorted((i or 0, h or "", t == bad) for i, t, h in rows)
+    rates = {r.host: r.host_rate for r in got}
+    assert rates[None] is None and 0 < rates["a"] < rates["b"] < 1
+    assert all(r.kept == (not r.base_failed and (r.host_rate or 0) <= 0.5) for r in got)
+    for text in (good, bad):  # all hosts alike: the prior is as strong as it gets, and every rate the mean
+        got = hosts.judge(spark.createDataFrame([(i, text, f"h{i % 3}") for i in range(9)], "doc_id long, text string, source string")).collect()
+        assert len({round(r.host_rate, 6) for r in got}) == 1 and {r.kept for r in got} == {text == good}

@@ -78,3 +78,35 @@ def test_without_any_language_lettered_texts_stay(spark):
     rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "ä", None)]
     got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
     assert sorted(r.doc_id for r in got.collect()) == [1, 4]
+
+
+def test_every_stage_keeps_rows_with_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(3)
+    make = lambda n: " ".join("".join(rng.choices("thewaslogn", k=rng.randrange(2, 8))) for _ in range(n))
+    passage = make(70)
+    texts = [make(60) for _ in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (2, f"{texts[4]} {passage}"), (None, f"{texts[5]} {passage}"), (3, f"{texts[6]} {passage}"), (3, f"{texts[7]} {passage}"), (4, "")]
+    extra = [(i, t, "en", None, len(t), "x", 1, 2.0, 3, b"k") for i, t in rows]  # columns with names that stages make themselves
+    docs = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long, key string, component int, score double, id int, _h binary")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        ids = sorted(str(r.doc_id) for r in docs.select("doc_id").collect())
+        assert ids == sorted(str(i) for i, t in rows if t), name  # the empty text has no letter
+        if n < 4:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "component", "score", "id", "_h"]
+        if n == 3:
+            kept = {(r.doc_id, r.text) for r in docs.collect()}
+            # no row without a key loses words or takes any; of rows under one key neither counts against the other
+            assert (None, f"{texts[5]} {passage}") in kept and (3, texts[6]) in kept and (3, texts[7]) in kept and (2, f"{texts[4]} {passage}") in kept
+    assert all(len(r.ids) == 4 * r.length for r in docs.collect())
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
