@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import common, grade, language, packing, queries, simhash, spans
@@ -14,6 +14,12 @@ LEAST_LANGUAGE_SCORE = 0.25
 LEAST_ALIKE = 0.8
 
 
+def _apart(docs: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """docs with names for all columns but `own` that no operator makes itself, and the columns that bring the names back."""
+    names = {c: c if c in own else f"_column{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(now).alias(c) for c, now in names.items()]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those whose language is too uncertain; lang stays as it came.
 
@@ -22,14 +28,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs)
     if not model.families:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language.identify(docs, model, carry=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    plain, back = _apart(docs, "doc_id", "text")
+    found = language.identify(plain, model, carry=tuple(plain.columns))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*back)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are unlikely to be good: toxic and poor ones."""
     model = grade.fit(docs, grade.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return grade.rate(docs, model, tail=2, least=queries.LEAST_GOOD, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
+    plain, back = _apart(docs, "doc_id", "text")
+    return grade.rate(plain, model, tail=2, least=queries.LEAST_GOOD, carry=tuple(plain.columns)).where("kept").select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,16 +45,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Different texts with one doc_id, or with none, are judged each for itself; null ids come last, and of equal rows one stays.
     """
-    return simhash.near_copies(docs, least=LEAST_ALIKE)
+    plain, back = _apart(docs, "doc_id", "text")
+    return simhash.near_copies(plain, least=LEAST_ALIKE).select(*back)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated spans out of the texts; a document goes if none of its words is left. Texts without such spans stay as they are."""
-    columns = docs.columns
-    found = spans.remove_repeated(docs, carry=tuple(c for c in columns if c not in ("doc_id", "n_chars")))
+    plain, back = _apart(docs.drop("n_chars"), "doc_id", "text")
+    found = spans.remove_repeated(plain, carry=tuple(c for c in plain.columns if c != "doc_id"))
     changed = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    left = found.where("n_removed = 0 or n_removed < n_words").withColumn("text", changed).withColumn("n_chars", F.length("text").cast("long"))
-    return left.select(*columns)
+    left = found.where("n_removed = 0 or n_removed < n_words").withColumn("text", changed).select(*back)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else left
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
