@@ -5,16 +5,20 @@ Where the tables would never reach a rule's branch, the queries take other limit
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary import streaming
 from granary.functions import chat
 from granary.functions import text as T
 from granary.operators import gate, mixing, near, tokens, trees
-from granary.plans.durable import stored
-from granary.sources.chats import tool_messages
+from granary.plans import corpus
+from granary.plans.durable import shared_dir, stored
+from granary.sources import readers, writers
+from granary.sources.chats import tool_messages, until_quota
 
 RULES = chat.ChatRules(max_turns=4, max_system_length=100, min_answer_length=200, max_word_share=0.08)
 SEED = 42
@@ -255,13 +259,14 @@ def conv_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats(spark, sf_dir).select("conv_id", chat.normalised(F.col("messages")).isNotNull().alias("kept"))
 
 
-@query(
-    """with turns as (select conv_id, turn, role, text, lag(role) over (partition by conv_id order by turn) as before, row_number() over (partition by conv_id order by turn) - 1 as i from conversations)
+_ERRORS_SQL = """with turns as (select conv_id, turn, role, text, lag(role) over (partition by conv_id order by turn) as before, row_number() over (partition by conv_id order by turn) - 1 as i from conversations)
 select conv_id, count(*) filter (where role = 'system' and i > 0)
   + count(*) filter (where (role = 'system' and before is not null) or (role = 'user' and before is not null and before not in ('system', 'assistant')) or (role = 'assistant' and (before is null or before not in ('user', 'tool_result'))))
   + (count(*) filter (where role = 'assistant') = 0)::int as errors
 from turns group by conv_id"""
-)
+
+
+@query(_ERRORS_SQL)
 def gate_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats(spark, sf_dir).select("conv_id", F.size(chat.structure_errors(F.col("messages"))).cast("long").alias("errors"))
 
@@ -623,6 +628,183 @@ def tool_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_messages(rows).select(F.col("id").alias("conv_id"), F.array_join(F.transform("messages", lambda m: F.concat(m.role, F.lit(":"), m.content)), "\n").alias("messages"))
 
 
+_CANONICAL = """canonical as (
+  select conv_id, sha256('{"messages":[' || string_agg('{"content":' || to_json(text) || ',"role":' || to_json(role) || '}', ',' order by turn) || ']}') as canonical,
+    sha256('[' || string_agg('{"content": ' || to_json(text) || ', "role": ' || to_json(role) || '}', ', ' order by turn) || ']') as spaced, count(*) filter (where role in ('assistant', 'tool_call')) as targets
+  from conversations group by conv_id
+)"""
+
+
+@query(f"with {_CANONICAL} select conv_id, canonical, spaced from canonical")
+def conv_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats(spark, sf_dir).select("conv_id", chat.sha256(chat.canonical_json("messages")).alias("canonical"), chat.sha256(chat.spaced_json("messages")).alias("spaced"))
+
+
+@query(f"with {_CANONICAL} select canonical as digest from canonical")
+def conv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as JSON lines and read again."""
+    path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
+    writers.write_conversations(chats(spark, sf_dir), path)
+    return readers.conversations(spark, path).select(chat.sha256(chat.canonical_json("messages")).alias("digest"))
+
+
+@query(f"""with {_CANONICAL}, own as (select distinct spaced as digest, targets, sha256('42:s:' || spaced) as key from canonical),
+summed as (select digest, targets, sum(targets) over (order by key) - targets as before from own)
+select digest, targets from summed where before < (select greatest(1, sum(targets)::bigint // 2) from own)""")
+def quota_take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct conversations in pseudo-random order up to half of all targets."""
+    rows = chats(spark, sf_dir).select(chat.sha256(chat.spaced_json("messages")).alias("digest"), "messages", chat.targets(F.col("messages")).cast("long").alias("targets"))
+    rows = stored(rows)
+    half = (rows.dropDuplicates(["digest"]).agg(F.sum("targets")).first()[0] or 0) // 2
+    return until_quota(rows, max(1, half), SEED, "s").select("digest", "targets")
+
+
+@query(
+    """select conv_id, turn, case turn % 3 when 0 then '{"n":' || length(text) || ',"t":[1,2]}' when 1 then '[{"n":' || length(text) || '},{"m":1.5}]' end as value from conversations"""
+)
+def tagged_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON between tags: one value, two in upper and lower case, and one that is broken."""
+    n = F.length("text").cast("string")
+    one, two = F.concat(F.lit('a <call>{"n": '), n, F.lit(', "t": [1, 2]}</call> b')), F.concat(F.lit('<call>{"n":'), n, F.lit('}</call><CALL>\n{"m": 1.50} </CALL>'))
+    text = F.when(F.col("turn") % 3 == 0, one).when(F.col("turn") % 3 == 1, two).otherwise(F.concat(one, F.lit("<call>{</call>")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", chat.tagged_json(text, F.lit("call")).alias("value"))
+
+
+def _general_sql(max_turns: int) -> str:
+    """CTEs to `general`: whether a normalised conversation passes as one of a general source."""
+    cut = lambda sql: sql.replace(f"with {_TURNS}, ", "").replace(f"with {_TURNS} ", "")
+    structure = cut(_STRUCTURE).replace("targets as (", "with targets as (", 1).replace(">= 200", ">= 10").replace("c.n > 4", f"c.n > {max_turns}").replace("> 100)", "> 1000)")
+    return rf"""turns as (select conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') as bare, bare as text from conversations), {_BAD.replace("0.08", "0.3")}, structure as ({structure}),
+sterile as ({cut(_sterile_sql()).replace("< 400", "< 80")}),
+jailbreak as (select conv_id, bool_or(role = 'user' and regexp_matches(lower(bare), $re$(?i){_JAILBREAK_SQL}$re$)) as jailbreak from turns group by conv_id),
+play as (select conv_id, bool_or(role = 'assistant' and regexp_matches(bare, $re$(?im){_ROLEPLAY_SQL}$re$)) as roleplay from turns group by conv_id),
+lists as (select conv_id, list(role order by turn) as roles, list(text order by turn) as texts, sum(length(text)) as chars, count(*) filter (where role = 'assistant') as answers, arg_min(text, turn) filter (where role = 'user') as first from turns group by conv_id),
+bodies as (select *, case when roles[1] = 'system' then roles[2:] else roles end as b from lists),
+normal as (select *, len(b) > 0 and len(b) % 2 = 0 and b = list_transform(range(len(b)), lambda i: case when i % 2 = 0 then 'user' else 'assistant' end) and not list_contains(texts, '') as ok from bodies),
+general as (
+  select conv_id, ok and chars <= 8000 and not (too_short or too_long or empty_assistant or sterile or jailbreak or duplicate or system_too_long or roleplay) and conv_id not in (select conv_id from bad) as good, answers, first, chars
+  from normal join structure using (conv_id) join sterile using (conv_id) join jailbreak using (conv_id) join play using (conv_id)
+)"""
+
+
+@query(f"with {_general_sql(12)} select conv_id, good from general")
+def conv_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = chats(spark, sf_dir).select("conv_id", chat.normalised(F.col("messages")).alias("m"))
+    return own.select("conv_id", F.coalesce(chat.general_quality(F.col("m")), F.lit(False)).alias("good"))
+
+
+_BLOCKED_SQL = " or ".join(f"contains(lower(first), '{term}')" for term in chat.CASUAL_BLOCKLIST)
+
+
+@query(
+    f"""with {_general_sql(10)}
+select conv_id, conv_id % 5 <> 0 and good and answers >= 2 as dialogue, conv_id % 5 <> 0 and good and answers <= 2 and length(first) <= 300 and chars <= 3000 and not ({_BLOCKED_SQL}) as casual from general"""
+)
+def conv_wildchat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two uses of a conversation, a fifth of them toxic."""
+    own = chats(spark, sf_dir).select("conv_id", chat.wildchat(F.col("messages"), F.col("conv_id") % 5 == 0).alias("w"))
+    return own.select("conv_id", "w.dialogue", "w.casual")
+
+
+@query(
+    r"""with firsts as (select conv_id, case when conv_id % 3 <> 0 then arg_min(text, turn) filter (where role = 'user') end as q, case when conv_id % 7 <> 0 then arg_max(text, turn) filter (where role = 'assistant') end as a from conversations group by conv_id)
+select conv_id, 'user:' || regexp_replace(q, '^\s+|\s+$', '', 'g') || chr(10) || 'assistant:' || regexp_replace(a, '^\s+|\s+$', '', 'g') as messages from firsts"""
+)
+def conv_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request and an answer as two messages, without either none."""
+    turns = table(spark, sf_dir, "conversations")
+    own = turns.groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("q"), F.max_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("a"))
+    made = own.select("conv_id", chat.instruction_messages(F.lit(None).cast(chat.MESSAGES), F.when(F.col("conv_id") % 3 != 0, F.col("q")), F.when(F.col("conv_id") % 7 != 0, F.col("a"))).alias("m"))
+    return made.select("conv_id", F.array_join(F.transform("m", lambda m: F.concat(m.role, F.lit(":"), m.content)), "\n").alias("messages"))
+
+
+@query(
+    f"""with {_STREAM}, flat as (select start + i - 1 as g, case when i <= length(text) then unicode(text[i]) % 48000 else 2 end as token from (select text, start, unnest(range(1, length(text) + 2)) as i from docs))
+select (g // 100000)::bigint as shard, count(*) as tokens, sum(token * (g % 100000 + 1))::bigint as weighted from flat group by shard"""
+)
+def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of 100,000 tokens, as sums weighted by place."""
+    parts = tokens.shards(_stream(spark, sf_dir), 100_000)
+    weighted = F.aggregate(F.transform("ids", lambda t, i: t.cast("long") * (F.col("at") + i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return parts.select("shard", F.size("ids").alias("n"), weighted.alias("w")).groupBy("shard").agg(F.sum("n").alias("tokens"), F.sum("w").alias("weighted"))
+
+
+@query(
+    """with scaled as (select event_id // 8 as step, event_id % 8 as token, value / 10 / 0.7 as x from events), top as (select *, rank() over (partition by step order by x desc) as r from scaled),
+shares as (select *, exp(x - max(x) over (partition by step)) as w from top where r <= 5),
+summed as (select *, (sum(w) over (partition by step order by x desc, token rows unbounded preceding) - w) / sum(w) over (partition by step) as before from shares)
+select step, token, round(w / sum(w) over (partition by step), 9) as p from summed where before <= 0.9"""
+)
+def sampling_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sampler may draw, with the values of events as logits of eight tokens a step."""
+    logits = table(spark, sf_dir, "events").select(F.expr("event_id div 8").alias("step"), (F.col("event_id") % 8).alias("token"), (F.col("value") / 10).alias("logit"))
+    return corpus.sampling_mask(logits, 5, 0.9, 0.7).withColumn("p", F.round("p", 9))
+
+
+@query(
+    """with own as (select event_id // 16 as item, event_id, value, row_number() over (partition by event_id // 16 order by event_id) - 1 as i from events)
+select item, round(sum(case when i >= item % 5 and event_id % 7 not in (0, 2) then -value else 0 end), 6) as log_p from own group by item"""
+)
+def completion_log_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability sums of answers, with the values of events as what is predicted."""
+    own = table(spark, sf_dir, "events").groupBy(F.expr("event_id div 16").alias("item")).agg(F.array_sort(F.collect_list(F.struct("event_id", (-F.col("value")).alias("p"), (F.col("event_id") % 7).alias("t")))).alias("x"))
+    return own.select("item", F.round(tokens.completion_log_probability(F.col("x.p"), F.col("x.t"), F.col("item") % 5 + 1), 6).alias("log_p"))
+
+
+@query(
+    """select case (conv_id + turn) % 6 when 1 then 'malformed_record' when 2 then 'invalid_message_id' when 3 then 'invalid_tree_id' when 4 then 'invalid_parent_id' when 5 then 'malformed_record' end as reason, count(*) as n from conversations group by reason"""
+)
+def node_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree nodes from JSON of right and wrong types."""
+    kind, turn = (F.col("conv_id") + F.col("turn")) % 6, F.col("turn").cast("string")
+    record = lambda message, tree, parent: F.concat(F.lit('{"message_id":'), message, F.lit(f',"message_tree_id":{tree},"parent_id":{parent}}}'))
+    quoted = F.concat(F.lit('"'), turn, F.lit('"'))
+    raw = F.when(kind == 1, F.lit("no json")).when(kind == 2, record(turn, '"t"', "null")).when(kind == 3, record(quoted, '""', "null")).when(kind == 4, record(quoted, '"t"', "7")).when(kind == 5, F.lit("[1]")).otherwise(record(quoted, '"t"', "null"))
+    return trees.parse_nodes(table(spark, sf_dir, "conversations").select(raw.alias("raw"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_GATE_ERRORS = ["keys must be exactly messages", "conversation found in training data", "target prompt found in training data", "metadata lacks license", "metadata line differs", "content_sha256 differs", "unknown language"]
+
+
+@query(
+    f"""with {_PARTS}, own as (select conv_id, row_number() over (order by conv_id) as line from conversations group by conv_id),
+wrong as ({_ERRORS_SQL}),
+hashes as (select conv_id, sha256(string_agg(part, chr(10) order by turn)) as h from parts group by conv_id),
+prompts as (select t.conv_id, t.i, sha256(string_agg(p.part, chr(10) order by p.turn)) as h from parts t join parts p on p.conv_id = t.conv_id and p.i < t.i where t.role in ('assistant', 'tool_call') and t.i > 1 group by t.conv_id, t.i),
+good as (select * from own join wrong using (conv_id) where errors = 0)
+select 'line ' || line as location, 'keys must be exactly messages' as error from own where line % 10 = 3
+union all select 'line ' || line, 'conversation found in training data' from good join hashes using (conv_id) where h in (select h from hashes where conv_id % 10 = 0)
+union all select distinct 'line ' || line, 'target prompt found in training data' from good join prompts using (conv_id) where h in (select h from prompts where conv_id % 10 = 0)
+union all select 'line ' || line, 'metadata lacks license' from good where line % 10 = 4
+union all select 'line ' || line, 'metadata line differs' from good where line % 10 = 5
+union all select 'line ' || line, 'content_sha256 differs' from good where line % 10 = 1
+union all select 'line ' || line, 'unknown language' from good where line % 10 = 6"""
+)
+def gate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over all conversations and metadata with faults by the line, against a tenth of them as training data."""
+    own = stored(chats(spark, sf_dir).select("conv_id", "messages"))
+    numbered = stored(tokens.offsets(own, "conv_id", F.lit(1)).withColumn("line", F.col("start") + 1))
+    fault = F.col("line") % 10
+    data = numbered.select("line", F.when(fault == 3, F.array(F.lit("messages"), F.lit("x"))).otherwise(F.array(F.lit("messages"))).alias("keys"), "messages")
+    keys = F.array(*map(F.lit, gate.METADATA_KEYS))
+    about = numbered.select(
+        F.col("line").alias("position"), F.when(fault == 4, F.array_remove(keys, "license")).otherwise(keys).alias("keys"), (F.col("line") + (fault == 5).cast("int")).alias("line"), F.col("line").cast("string").alias("id"), F.when(fault == 6, "xx").otherwise("en").alias("language"),
+        F.lit("math").alias("category"), F.lit("easy").alias("difficulty"), F.lit("human_authored").alias("origin_type"), F.lit("curated").alias("review_status"), F.when(fault == 1, "0").otherwise(chat.sha256(chat.canonical_json("messages"))).alias("content_sha256"),
+    )
+    found = gate.check(data, about, own.where("conv_id % 10 = 0").select("messages"))
+    return found.where(F.col("error").isin(*_GATE_ERRORS))
+
+
+@query(f"with {_VERDICTS} select doc_id, quality, reason from verdicts")
+def verdict_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text filter over documents as a stream, all that is there in one run."""
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
+    stream = streaming.verdicts(spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parque?").select("doc_id", "text"), _RULES)  # a pattern, as a single file is no folder
+    made = stream.select("doc_id", "verdict.quality", "verdict.reason")
+    made.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, (fn, _) in _QUERIES.items()}
 

@@ -158,3 +158,21 @@ def test_paths(tmp_path):
     with pytest.raises(ValueError):
         paths.expand(["*.none"], str(tmp_path))
     assert paths.next_shard(str(tmp_path), "train") == 0 and chat.SPECIAL_TOKENS[:3] == ["<|pad|>", "<|bos|>", "<|eos|>"]
+
+
+def test_tables_need_a_shared_folder_on_a_cluster_and_can_be_discarded(spark):
+    from types import SimpleNamespace
+
+    from granary.plans import durable
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none))))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        durable.shared_dir(fake)
+    table = durable.stored(spark.range(5))
+    at = table._stored_at.removeprefix("file://")
+    import os
+
+    assert table.count() == 5 and os.path.isdir(at)
+    durable.discard(table, spark.range(1))
+    assert not os.path.exists(at)
