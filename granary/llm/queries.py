@@ -161,5 +161,22 @@ from judged left join rates using (source)
 """
 
 
+# All pairs and all that can be reached: for small tables.
+_OP2 = """
+with recursive vectors as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links as (
+  select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.98
+),
+reached as (select vec_id as a, vec_id as b from vectors union select r.a, l.b from reached r join links l on l.a = r.b),
+least as (select a, min(b) as component_id from reached group by a),
+counts as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(n, 0) as n_links, coalesce(component_id, e.vec_id) as component_id, coalesce(component_id, e.vec_id) = e.vec_id as kept
+from embeddings e left join least on least.a = e.vec_id left join counts on counts.a = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_spans": _OP7, "op9_host_rules": _OP9}
+    return {"op2_lattice": _OP2, "op7_spans": _OP7, "op9_host_rules": _OP9}
