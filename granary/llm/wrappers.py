@@ -392,11 +392,13 @@ class _Judge:
 
     def __init__(self, root: Node):
         self.out: set[int] = set()  # elements that are left out
-        self.masses: dict[int, float] = {}
+        self.masses: dict[tuple[int, bool], float] = {}
         self.root = root
         self.links = any(x.slot and x.chars > x.links for x in self.every(root))  # else there is nothing but links, and they are the text
-        self.total = self.mass(root, False)
-        self.visit(root, False)
+        self.trusted: set[int] = set()  # parts named as aside that hold what their parent has
+        self.loose(root, False)
+        self.total = self.strict(root, False)
+        self.visit(root, False, False)
 
     @staticmethod
     def every(x: Node) -> Iterator[Node]:
@@ -413,44 +415,77 @@ class _Judge:
             return not within and not any(y.sign[0] == "h1" and y.slot and len(y.seen) >= FEWEST_PAGES and y.chars > y.links for y in self.every(x))
         return name == "head" or kind in ("a", "c", "h")
 
-    def mass(self, x: Node, within: bool) -> float:
+    def strict(self, x: Node, within: bool) -> float:
         """Characters of slots in x that are no links, without the parts that are named as aside, whatever x itself is named."""
-        if id(x) not in self.masses:
-            chars = (x.chars - (x.links if self.links else 0)) if x.slot else 0
+        return self._mass(x, within, False)
+
+    def loose(self, x: Node, within: bool) -> float:
+        """The same with those of these parts that hold what there is, next to what their neighbours have."""
+        return self._mass(x, within, True)
+
+    def _mass(self, x: Node, within: bool, all_: bool) -> float:
+        at = id(x), all_
+        if at not in self.masses:
             within = within or x.sign[1] == "r"
-            self.masses[id(x)] = max(chars, 0) + sum(self.mass(y, within) for y in x.inside.values() if not self.aside(y, within))
-        return self.masses[id(x)]
-
-    def believed(self, x: Node, within: bool) -> bool:
-        """Whether x, named as aside, is: not if it has headings or paragraphs, and next to it nothing much would be left."""
-        if x.sign[0] == "head":
-            return True
-        inside, titled = self.mass(x, within), False
+            chars = (x.chars - (x.links if self.links else 0)) if x.slot else 0
+            got = max(chars, 0) + sum(self._mass(y, within, all_) for y in x.inside.values() if not self.aside(y, within))
+            if all_:
+                beside = got
+                for y in x.inside.values():
+                    if self.aside(y, within) and self.holds(y, within, beside):
+                        self.trusted.add(id(y))
+                        got += self.loose(y, within)
+            self.masses[at] = got
+        return self.masses[at]
+
+    def holds(self, x: Node, within: bool, beside: float) -> bool:
+        """Whether x, named as aside, holds what the page is about: it has headings or paragraphs, and next to it nothing much would be left."""
+        if x.sign[0] in ASIDE_TAGS - {"form"}:  # these are never put around a page
+            return False
+        inside, titled = self.loose(x, within), False
         if not inside:
-            return True
+            return False
         todo, plain = [x], False
         while todo:
             for y in todo.pop().inside.values():
                 titled |= y.sign[0] == "h1" or y.sign[1] == "r"
                 plain |= y.sign[0] == "p" or y.sign[0] in HEADINGS
-                if not self.aside(y, within):
+                if not self.aside(y, within) or id(y) in self.trusted:
                     todo.append(y)
         if x.sign[1] == "c" or not plain and not titled:
-            return not titled or inside < self.total
-        return inside < self.total * (1 if titled else 4)
+            return titled and inside >= beside
+        return inside >= beside * (1 if titled else 4)
 
-    def visit(self, x: Node, within: bool) -> None:
+    def visit(self, x: Node, within: bool, counted: bool) -> None:
+        """Which of x's elements are left out. counted: whether the total has what holds() found in x."""
         within = within or x.sign[1] == "r"
         for y in x.inside.values():
+            now = counted
             if self.aside(y, within):
-                if self.believed(y, within):
+                own = self.loose(y, within)
+                there = counted and id(y) in self.trusted
+                if not self.holds(y, within, self.total - own if there else self.total):
                     self.out.add(id(y))
                     continue
-                self.total += self.mass(y, within)
+                if not there:
+                    self.total += own
+                now = True
             elif not within and self.menu(y):
                 self.out.add(id(y))
                 continue
-            self.visit(y, within)
+            self.visit(y, within, now)
+            if y.sign[0] not in HEADINGS | {"body", "html", "main", "article"} and y.sign[1] != "r" and any(id(z) in self.out for z in self.every(y)) and not self.says(y):
+                self.out.add(id(y))  # headings of what is left out
+
+    def says(self, x: Node) -> bool:
+        """Whether anything but lesser headings is left of x."""
+        todo = [x]
+        while todo:
+            x = todo.pop()
+            if x.chars and x.sign[0] not in HEADINGS - {"h1"}:
+                return True
+            todo += [y for y in x.inside.values() if id(y) not in self.out]
+        return False
 
     def menu(self, x: Node) -> bool:
         """A group of links: most of its text is in links, of which a page has several."""
@@ -462,7 +497,7 @@ class _Judge:
         return n >= 2 * x.pages and links > 0.6 * chars
 
     def roots(self) -> set[int]:
-        """Elements named as the article that hold at least half of the slots, the outermost of them, or one within that has most of its text; none if no such name helps."""
+        """Elements named as the article that hold at least half of the slots, the outermost of them, or one within that has most of its text and its title; none if no such name helps."""
         named: list[tuple[Node, tuple[int, ...]]] = []
 
         def walk(x: Node, above: tuple[int, ...]) -> None:
@@ -474,12 +509,26 @@ class _Judge:
                 walk(y, (*above, id(y)))
 
         walk(self.root, ())
-        mass = {id(x): self.mass(x, False) for x, _ in named}
-        inner = [(x, above) for x, above in named if not any(id(x) in up and mass[id(y)] * 2 > mass[id(x)] for y, up in named)]
+        mass = {id(x): self.loose(x, False) for x, _ in named}
+        titles = {id(x): sum(y.sign[0] == "h1" and id(y) not in self.out for y in self.every(x)) for x, _ in named}
+        inner = [(x, above) for x, above in named if not any(id(x) in up and mass[id(y)] * 2 > mass[id(x)] and titles[id(y)] == titles[id(x)] for y, up in named)]
         chosen = [(x, above) for x, above in inner if not any(id(y) in above for y, _ in inner)]
         top = max((mass[id(x)] for x, _ in chosen), default=0)
         chosen = [x for x, _ in chosen if 25 * mass[id(x)] >= top]
-        return {id(x) for x in chosen} if sum(mass[id(x)] for x in chosen) * 2 >= self.total > 0 else set()
+        if not sum(mass[id(x)] for x in chosen) * 2 >= self.total > 0:
+            return set()
+        within = [y for x in chosen for y in self.every(x) if id(y) not in self.out]
+        if not any(y.sign[0] == "h1" for y in within):  # the title stands outside
+            chosen += [y for y in self.kept(self.root) if y.sign[0] == "h1" and y.slot and y.chars > y.links]
+        return {id(x) for x in chosen}
+
+    def kept(self, x: Node) -> Iterator[Node]:
+        """All elements that are not left out."""
+        todo = [x]
+        while todo:
+            x = todo.pop()
+            yield x
+            todo += [y for y in x.inside.values() if id(y) not in self.out]
 
 
 def rules(root: Node) -> list:
@@ -533,14 +582,17 @@ def _read(page: str, rooted: bool, top: _Match) -> str:
     blocks: list[str] = []
     parts: list[str] = []
     names: list[str] = [""]
+    linked = ends = links = 0  # within a link; characters of the block in links; links of the block
 
     def end_block() -> None:
+        nonlocal ends, links
         match, read, within = stack[-1]
         raw = "".join(parts)
         parts.clear()
+        menu, ends, links = not rooted and links >= 3 and ends > 0.7 * len(raw.strip()), 0, linked
         if not raw or raw.isspace():
             return
-        if not (read and within):
+        if not (read and within) or menu:
             headings.clear()
             return
         text = " ".join(html.unescape(raw).split())
@@ -557,8 +609,12 @@ def _read(page: str, rooted: bool, top: _Match) -> str:
     for kind, a, b in events(page):
         if kind == "text":
             parts.append(a)
+            ends += linked * len(a)
         elif kind == "space":
             parts.append(" ")
+        elif kind == "link":
+            linked = 0 if b else 1
+            links += linked
         elif kind == "open":
             end_block()
             match, read, within = stack[-1]
@@ -575,7 +631,7 @@ def _read(page: str, rooted: bool, top: _Match) -> str:
                     within = within or own.state == "r"
                 stack.append((own, read, within))
             names.append(a)
-        elif kind != "link":
+        else:
             end_block()
             if kind == "close":
                 stack.pop()

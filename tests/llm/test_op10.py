@@ -99,6 +99,51 @@ def test_articles_are_read_through_the_wrapper(name):
         assert got == "\n".join([f"Title {k}", (f"first text {k} of the article " * 4).strip(), (f"second text {k} " * 9).strip()])
 
 
+def links(rng, n):
+    return "".join(f'<li><a href="/{i}">{words(rng, rng.randrange(1, 4))}</a></li>' for i in range(n))
+
+
+def some(rng, tag):
+    return "".join(f'<{tag} class="comment"><p class="author">{words(rng, 1)}</p><p>{words(rng, 20)}</p></{tag}>' for _ in range(rng.randrange(5)))
+
+
+# Layouts as sites have them: the page around a title t, a body b and the number k.
+LAYOUTS = {
+    "blog": lambda r, t, b, k: f'<body class="post-{k}"><header id="masthead"><h1 class="site-title"><a href="/">My Site</a></h1><nav><ul>{links(r, 5)}</ul></nav></header><div id="page"><main id="main"><article id="post-{k}" class="tag-{words(r, 1)}"><header class="entry-header"><h1>{t}</h1></header><div class="entry-content">{b}</div><footer><a href=x>{words(r, 2)}</a></footer></article><div class="comments-area"><h3>{k} Comments</h3>{some(r, "div")}</div></main><aside><section class="widget"><h2>Recent</h2><ul>{links(r, 4)}</ul></section><section><p>{words(r, 30)}</p></section></aside></div><footer id="colophon"><p>Proudly powered</p></footer></body>',
+    "columns": lambda r, t, b, k: f'<body><div id="header"><div class="logo">Daily News</div><div class="menu"><ul>{links(r, 6)}</ul></div></div><div id="wrapper"><div id="left"><ul>{links(r, 5)}</ul></div><div id="content"><h1>{t}</h1>{b}</div><div id="right"><div class="banner">{words(r, 8)}</div><h4>Related</h4><ul>{links(r, 3)}</ul></div></div><div id="footer">All rights reserved.</div></body>',
+    "tables": lambda r, t, b, k: f"<body><table><tr><td colspan=3>Site title here</td></tr><tr><td><a href=1>{words(r, 1)}</a><br><a href=2>{words(r, 2)}</a></td><td class=main><h1>{t}</h1>{b}</td><td class=ads>{words(r, 12)}</td></tr><tr><td colspan=3>Footer text of site</td></tr></table></body>",
+    "form and sidebar": lambda r, t, b, k: f'<body><form id="aspnetForm"><div class="topbar"><a href=1>In</a> <a href=2>Out</a></div><div class="page has-sidebar"><div class="story"><h1>{t}</h1>{b}</div><section class="reader-comments">{some(r, "div")}</section><div class="sidebar"><p>{words(r, 30)}</p></div></div><div class="footer"><p>Terms and privacy</p></div></form></body>',
+    "sections": lambda r, t, b, k: f'<body><div class="cookie-banner"><p>We use cookies.</p><button>OK</button></div><nav>{links(r, 4)}</nav><section class="hero"><h1>{t}</h1></section><section class="text">{b}</section><section class="newsletter"><h3>Stay informed</h3><p>Sign up</p><form><input></form></section><section class="related"><h3>More</h3><div class="card"><a href=1>{words(r, 6)}</a><p>{words(r, 9)}</p></div></section><footer><ul>{links(r, 6)}</ul><p>(c) us</p></footer></body>',
+    "roles": lambda r, t, b, k: f'<body><div role="navigation"><a href=1>A</a><a href=2>B</a></div><div role="main"><div class="notice">Down at {words(r, 2)}</div><h1>{t}</h1>{b}<div class="advert"><p>{words(r, 20)}</p></div></div><div role="contentinfo">Imprint</div><div id="disqus_thread"><p>{words(r, 40)}</p></div></body>',
+    "title outside": lambda r, t, b, k: f'<body><div class="nav"><a href=1>x</a></div><ul class="breadcrumbs">{links(r, 2)}</ul><div class="title"><h1>{t}</h1></div><div class="article__body">{b}</div><ol class="commentlist">{some(r, "li")}</ol><div class="pagination"><a href=1>1</a><a href=2>2</a></div></body>',
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+@pytest.mark.parametrize("n", [1, 3, 20])
+def test_layouts_of_sites(name, n):
+    rng = random.Random(n)
+    pages, want = [], []
+    for k in range(n):
+        title, paragraphs = words(rng, 5), [words(rng, rng.randrange(8, 60)) for _ in range(rng.randrange(1, 7))]
+        pages.append(LAYOUTS[name](rng, title, "".join(f"<p>{p}</p>" for p in paragraphs[:1]) + "".join(f"<h2>{p[:9].strip()}</h2><p>{p}</p>" for p in paragraphs[1:]), k))
+        want.append("\n".join([title, *paragraphs[:1], *(x for p in paragraphs[1:] for x in (p[:9].strip(), p))]))
+    if n == 1 and name == "tables":  # what has no name and is on one page only looks like the article
+        return
+    assert texts(*pages) == want
+
+
+def test_a_host_of_several_layouts():
+    rng = random.Random(5)
+    pages, want = [], []
+    for k in range(30):
+        title, paragraphs = words(rng, 5), [words(rng, 30) for _ in range(3)]
+        pages.append(LAYOUTS["blog" if k % 3 else "columns"](rng, title, "".join(f"<p>{p}</p>" for p in paragraphs), k))
+        want.append("\n".join([title, *paragraphs]))
+    front = [f'<body><header><h1><a href="/">My Site</a></h1></header><div><ul>{links(rng, 20)}</ul></div><footer><p>Proudly powered</p></footer></body>' for _ in range(5)]
+    assert texts(*pages, *front) == want + [""] * 5
+
+
 def test_shared_headings_stay_with_what_follows_and_copies_are_one_page():
     pages = [f"<body><article><h1>T{k}</h1><p>one {k}</p><h2>Sources</h2><p>two {k}</p><h2>Share</h2><p>now</p></article></body>" for k in range(5)]
     assert texts(*pages) == [f"T{k}\none {k}\nSources\ntwo {k}" for k in range(5)]
