@@ -96,25 +96,49 @@ class Model:
         return names.tolist(), np.clip(score, 0, 1)
 
 
-def _machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
+class Rows:
+    """Sparse rows of numbers: of each the columns that are not zero."""
+
+    def __init__(self, sizes: np.ndarray, cols: np.ndarray, values: np.ndarray, width: int):
+        self.sizes, self.cols, self.values, self.width = sizes, cols, values, width
+        self.some = np.flatnonzero(sizes)
+        self.starts = (np.cumsum(sizes) - sizes)[self.some]
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.sizes))
+        if len(self.some):
+            out[self.some] = np.add.reduceat(w[self.cols] * self.values, self.starts)
+        return out
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        """The transposed product."""
+        return np.bincount(self.cols, np.repeat(v, self.sizes) * self.values, self.width)
+
+    def __getitem__(self, rows: np.ndarray) -> Rows:
+        """The rows that a mask keeps."""
+        inside = np.repeat(rows, self.sizes)
+        return Rows(self.sizes[rows], self.cols[inside], self.values[inside], self.width)
+
+
+def _machine(x: Rows, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, by accelerated gradient steps; both classes weigh the same."""
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
-    probe = np.random.default_rng(0).normal(size=x.shape[1]).astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+    w, b = np.zeros(x.width), 0.0
+    probe = np.random.default_rng(0).normal(size=x.width)
     for _ in range(12):  # the largest curvature, by power iteration
-        probe = x.T @ (weight * (x @ probe))
+        probe = x.back(weight * x.dot(probe))
         curve = float(np.linalg.norm(probe))
         probe /= max(curve, 1e-12)
     step = 1 / (2 * (curve + 1) + penalty)
     look_w, look_b, t = w, b, 1.0
     for _ in range(rounds):
-        short = np.maximum(0, 1 - y * (x @ look_w + look_b)) * weight * y
-        next_w = look_w + step * (2 * (x.T @ short) - penalty * look_w)
+        short = np.maximum(0, 1 - y * (x.dot(look_w) + look_b)) * weight * y
+        next_w = look_w + step * (2 * x.back(short) - penalty * look_w)
         next_b = look_b + step * 2 * short.sum()
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        look_w, look_b = next_w + np.float32((t - 1) / after) * (next_w - w), next_b + np.float32((t - 1) / after) * (next_b - b)
+        look_w, look_b = next_w + (t - 1) / after * (next_w - w), next_b + (t - 1) / after * (next_b - b)
         w, b, t = next_w, next_b, after
-    return w, float(b)
+    return w.astype(np.float32), float(b)
 
 
 def fit(df: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample: int = 4000, buckets: int = 8192, scale: float = 30.0, most_languages: int = 500) -> Model:
@@ -146,9 +170,9 @@ def fit(df: DataFrame, text: str = "text", language: str = "lang", key: str = "d
     got = common.arrow_map(chosen, work, "lang string, o long, at array<short>, x array<float>").toArrow().sort_by([("o", "ascending"), ("lang", "ascending")])
     lang = np.array(got.column("lang").to_pylist(), object)
     keep = np.concatenate([np.flatnonzero(lang == code)[:each] for code in sorted(found)])
-    x = np.zeros((len(keep), buckets), np.float32)
-    for row, k in enumerate(keep.tolist()):
-        x[row, np.array(got["at"][k].values)] = np.array(got["x"][k].values)
+    got = got.take(pa.array(keep))
+    at, values = (got.column(c).combine_chunks() for c in ("at", "x"))
+    x = Rows(at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), at.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False), buckets)
     lang = lang[keep]
     members: dict[str, list[str]] = {}
     for code in sorted(set(lang.tolist())):
@@ -156,7 +180,7 @@ def fit(df: DataFrame, text: str = "text", language: str = "lang", key: str = "d
     families = sorted(members.items())
     machines = []
     if len(families) > 1:
-        machines = [_machine(x, np.where(np.isin(lang, codes), 1, -1).astype(np.float32)) for _, codes in families]
+        machines = [_machine(x, np.where(np.isin(lang, codes), 1.0, -1.0)) for _, codes in families]
     else:
         machines = [(np.zeros(buckets, np.float32), 0.0)]
     pairs = []
@@ -165,7 +189,7 @@ def fit(df: DataFrame, text: str = "text", language: str = "lang", key: str = "d
         for a, b in combinations(range(len(codes)), 2):
             rows_ = (lang == codes[a]) | (lang == codes[b])
             own.append((a, b, len(machines)))
-            machines.append(_machine(x[rows_], np.where(lang[rows_] == codes[a], 1, -1).astype(np.float32)))
+            machines.append(_machine(x[rows_], np.where(lang[rows_] == codes[a], 1.0, -1.0)))
         pairs.append(own)
     return Model(buckets, scale, families, pairs, np.stack([w for w, _ in machines], 1), np.array([b for _, b in machines]))
 
