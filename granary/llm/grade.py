@@ -160,9 +160,24 @@ def fit(df: DataFrame, ratings: DataFrame, grades: int = 3, key: str = "doc_id",
     got = common.arrow_map(rows.select("text", "key", "grade"), work, f"key {kind}, grade int, at array<long>").toArrow().sort_by([("key", "ascending")])
     grade_of = got.column("grade").to_numpy()
     at = got.column("at").combine_chunks()
-    sizes = np.array(at.value_lengths())
-    kinds, cols = np.unique(at.flatten().to_numpy(), return_inverse=True)
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    sizes = at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = at.flatten().to_numpy(zero_copy_only=False)
+    del got, at
+    # only features of three rows or more can keep a weight; the others are not numbered, as they are most of all
+    ranked = np.sort(flat)
+    kinds = ranked[:-2][(ranked[:-2] == ranked[2:])] if len(ranked) > 2 else ranked[:0]
+    kinds = kinds[np.r_[True, kinds[1:] != kinds[:-1]]] if len(kinds) else kinds
+    del ranked
+    row, cols = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), []
+    common_ = np.zeros(len(flat), bool)
+    for start in range(0, len(flat) if len(kinds) else 0, 1 << 20):
+        part = flat[start : start + (1 << 20)]
+        place = np.minimum(np.searchsorted(kinds, part), len(kinds) - 1).astype(np.int32)
+        there = kinds[place] == part
+        common_[start : start + len(part)] = there
+        cols.append(place[there])
+    row, cols = row[common_], np.concatenate(cols) if cols else np.zeros(0, np.int32)
+    del flat, common_
     total = np.bincount(cols, minlength=len(kinds)).astype(float)
     gain = np.zeros(len(kinds))
     for g in found:
