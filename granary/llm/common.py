@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +47,19 @@ def beside(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatc
 
 
 def carried(df: DataFrame, key: str, text: str, carry: tuple[str, ...], fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], made: dict[str, tuple[str, str]]) -> DataFrame:
-    """fn over batches of df's key, the columns to carry and _text; made: of each column that fn adds, its name in the result and its type."""
+    """fn over batches of df's key, the columns to carry and _text; made: of each column that fn adds, its name in the result and its type. A text that is carried is sent once."""
     names = list(dict.fromkeys((key, *carry)))
-    plain = df.select(*(F.col(n).alias(f"_c{i}") for i, n in enumerate(names)), F.col(text).alias("_text"))
+    sent = [F.col(n).alias(f"_c{i}") for i, n in enumerate(names)]
+    plain = df.select(*sent) if text in names else df.select(*sent, F.col(text).alias("_text"))
+    place = names.index(text) if text in names else -1
+
+    def with_text(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+        if place < 0:
+            return fn(batch)
+        return fn(pa.RecordBatch.from_arrays([*batch.columns, batch.column(place)], [*batch.schema.names, "_text"]))
+
     schema = ", ".join([f"_c{i} {df.schema[n].dataType.simpleString()}" for i, n in enumerate(names)] + [f"{m} {kind}" for m, (_, kind) in made.items()])
-    out = arrow_map(plain, fn, schema)
+    out = arrow_map(plain, with_text, schema)
     return out.toDF(*names, *(name for name, _ in made.values()))
 
 
@@ -61,6 +70,11 @@ def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]
 
 
+def text_sizes(column: pa.Array) -> list[int]:
+    """Bytes of each text, 0 for null."""
+    return pc.binary_length(column).fill_null(0).to_pylist()
+
+
 def slices(sizes: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges whose sizes add up to most at least, the last one excepted."""
     start = total = 0

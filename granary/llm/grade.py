@@ -78,7 +78,7 @@ class Model:
 class Scorer:
     """A model applied to texts; words whose buckets have no weight are passed over."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 250_000):
         self.model, self.most = model, most
         self.weight = dict(zip(model.at.tolist(), model.weights.tolist(), strict=True))
         self.known: dict[str, tuple[int, ...]] = {}
@@ -213,7 +213,7 @@ def rate(df: DataFrame, model: Model, tail: int, least: float = 0.5, key: str =
             _scorers.clear()
             _scorers[name] = Scorer(shared.value)
         scorer = _scorers[name]
-        p = shared.value.tails(np.array([scorer.latent(t or "") for t in batch.column("_text").to_pylist()]))
+        p = shared.value.tails(np.array([scorer.latent(t.as_py() or "") for t in batch.column("_text")]))
         yield common.beside(batch, {"_grade": pa.array(p.sum(1)), "_tail": pa.array(p[:, tail - 1])})
 
     got = common.carried(df, key, text, carry, work, {"_grade": ("expected_grade", "double"), "_tail": ("tail", "double")})

@@ -202,9 +202,9 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     shared = df.sparkSession.sparkContext.broadcast(model)  # a few machines of `buckets` numbers, whatever the input
 
     def work(batch: pa.RecordBatch):
-        texts = [t or "" for t in batch.column("_text").to_pylist()]
-        for a, b in common.slices([len(t) for t in texts]):
-            names, score = shared.value.predict(texts[a:b])
+        column = batch.column("_text")
+        for a, b in common.slices(common.text_sizes(column)):
+            names, score = shared.value.predict([t or "" for t in column[a:b].to_pylist()])
             yield common.beside(batch[a:b], {"_lang": pa.array(names, pa.string()), "_score": pa.array(score)})
 
     return common.carried(df, key, text, carry, work, {"_lang": ("lang_pred", "string"), "_score": ("score", "double")})
