@@ -1,11 +1,12 @@
 """Operator 7: removal of long repeated spans by de Bruijn compaction.
 
 A window of `length` consecutive words is an edge of a de Bruijn graph over the corpus. Edges are dealt by their minimizer (the
-k-mer in the window with the least hash), and the consecutive edges of a document with the same minimizer form a path. A Spark
-join on the minimizer brings all paths through it together: paths of equal words are one class, and where there is one class
-the path does not branch and is settled by its earliest document as a whole. Only where paths branch are they opened into
-single edges, once for each class, at the source coordinates of its earliest document, and joined edge by edge. Minimizers only
-bring paths together; that paths or edges are equal is verified by 128-bit BLAKE2b digests of the very words at their coordinates.
+k-mer in the window with the least hash), and the consecutive edges of a document with the same minimizer form a path; equal
+paths of a document, which repeated lines make by the hundred, are one row with all the places where they start. A Spark join on
+the minimizer brings all paths through it together: paths of equal words are one class, and where there is one class the path
+does not branch and is settled by its earliest document as a whole. Only where paths branch are they opened into single edges,
+once for each class, at the source coordinates of its earliest document, and joined edge by edge. Minimizers only bring paths
+together; that paths or edges are equal is verified by 128-bit BLAKE2b digests of the very words at their coordinates.
 """
 
 from __future__ import annotations
@@ -59,9 +60,9 @@ def digests(words: list[bytes], start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 
 def paths_batch(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Of all texts' paths: the text, the first window's start, the number of windows, the minimizer and the digest of all words."""
+    """Of each text's different paths: the text, the number of windows, the minimizer and the digest of all words; then where each path's starts begin in the row of starts, and these."""
     ids, words, counts = common.number_words(texts)
-    none = (*(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64)), np.zeros((0, 2), np.int64))
+    none = (*(np.zeros(0, d) for d in (np.int64, np.int64, np.uint64)), np.zeros((0, 2), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
     n = len(ids)
     if n < length:
         return none
@@ -79,18 +80,23 @@ def paths_batch(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ..
     windows = np.diff(np.r_[first, len(start)])
     at = start[first]
     flat = list(map(words.__getitem__, ids.tolist()))
-    return text[at], at - begin[text[at]], windows, mers[least[first]], digests(flat, at, at + windows + length - 1)
+    text, whole = text[at], digests(flat, at, at + windows + length - 1)
+    order = np.lexsort((whole[:, 1], whole[:, 0], text))  # stable: the starts of a path ascend
+    text, whole = text[order], whole[order]
+    one = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (whole[1:] != whole[:-1]).any(1)])
+    return text[one], windows[order[one]], mers[least[first[order[one]]]], whole[one], np.r_[one, len(order)], at[order] - begin[text]
 
 
 def paths(df: DataFrame, length: int, k: int) -> DataFrame:
     def work(batch: pa.RecordBatch):
         texts = common.binary(batch.column(1))
         for a, b in common.slices([len(t) for t in texts]):
-            text, start, windows, minimizer, whole = paths_batch(texts[a:b], length, k)
+            text, windows, minimizer, whole, offsets, starts = paths_batch(texts[a:b], length, k)
             keys = batch.column(0)[a:b].take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int16)), pa.array(minimizer.view(np.int64)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())], ["key", "start", "windows", "minimizer", "whole", "check"])
+            places = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(starts.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([keys, places, pa.array(windows.astype(np.int16)), pa.array(minimizer.view(np.int64)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())], ["key", "starts", "windows", "minimizer", "whole", "check"])
 
-    return common.arrow_map(df.where("key is not null").select("key", "text"), work, "key long, start int, windows short, minimizer long, whole long, check long")
+    return common.arrow_map(df.where("key is not null").select("key", "text"), work, "key long, starts array<int>, windows short, minimizer long, whole long, check long")
 
 
 def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -100,6 +106,13 @@ def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
+def _spread(marks: list[dict], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of marked paths begin and end, each path at all its starts."""
+    starts = np.array([s for m in marks for s in m["starts"]], np.int64)
+    windows = np.array([m["windows"] for m in marks for _ in m["starts"]], np.int64)
+    return starts, starts + windows + length - 1
+
+
 def _finish(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes]:
     words = text.split()
     if not len(starts):
@@ -113,8 +126,8 @@ _SETTLED = "n_words long, n_removed long, kept string"
 
 def _settle(length: int):
     """Removes the paths that an earlier document has as a whole; opens the others that were marked into windows, and leaves their texts for the last step."""
-    edge = pa.struct([("minimizer", pa.int64()), ("edge", pa.int64()), ("check", pa.int64()), ("start", pa.int32())])
-    span = pa.struct([("start", pa.int32()), ("windows", pa.int32())])
+    edge = pa.struct([("minimizer", pa.int64()), ("edge", pa.int64()), ("check", pa.int64()), ("starts", pa.list_(pa.int32()))])
+    span = pa.struct([("starts", pa.list_(pa.int32())), ("windows", pa.int32())])
 
     def work(batch: pa.RecordBatch):
         texts = common.binary(batch.column(1))
@@ -125,15 +138,14 @@ def _settle(length: int):
                 opened = [m for m in marks or () if m["open"]]
                 if opened:
                     words = text.split()
-                    starts = np.concatenate([np.arange(m["start"], m["start"] + m["windows"]) for m in opened])
-                    minimizers = np.repeat([m["minimizer"] for m in opened], [m["windows"] for m in opened])
-                    edges = digests(words, starts, starts + length)
-                    out["edges"].append([{"minimizer": x, "edge": y[0], "check": y[1], "start": z} for x, y, z in zip(minimizers.tolist(), edges.tolist(), starts.tolist(), strict=True)])
-                    out["gone"].append([{"start": m["start"], "windows": m["windows"]} for m in gone])
+                    places = [(m, n) for m in opened for n in range(m["windows"])]
+                    first = np.array([m["starts"][0] + n for m, n in places], np.int64)
+                    edges = digests(words, first, first + length)
+                    out["edges"].append([{"minimizer": m["minimizer"], "edge": y[0], "check": y[1], "starts": [s + n for s in m["starts"]]} for (m, n), y in zip(places, edges.tolist(), strict=True)])
+                    out["gone"].append([{"starts": m["starts"], "windows": m["windows"]} for m in gone])
                     result = (len(words), 0, text)
                 else:
-                    starts = np.array([m["start"] for m in gone], np.int64)
-                    result = _finish(text, starts, starts + np.array([m["windows"] for m in gone], np.int64) + length - 1)
+                    result = _finish(text, *_spread(gone, length))
                     out["edges"].append(None)
                     out["gone"].append(None)
                 for name, value in zip(("n_words", "n_removed", "kept"), result, strict=True):
@@ -150,9 +162,9 @@ def _close(length: int):
         for a, b in common.slices([len(t) for t in texts]):
             done = []
             for text, gone, starts in zip(texts[a:b], batch.column(2)[a:b].to_pylist(), batch.column(3)[a:b].to_pylist(), strict=True):
-                first = np.array([m["start"] for m in gone] + (starts or []), np.int64)
-                last = np.array([m["start"] + m["windows"] - 1 for m in gone] + (starts or []), np.int64)
-                done.append(_finish(text, first, last + length))
+                first, end = _spread(gone, length)
+                single = np.array(starts or [], np.int64)
+                done.append(_finish(text, np.r_[first, single], np.r_[end, single + length]))
             n, removed, kept = zip(*done, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string()), batch.column(4)[a:b]], ["key", "n_words", "n_removed", "kept", "more"])
 
@@ -178,15 +190,15 @@ def remove_repeated(df: DataFrame, length: int = 50, k: int = 10, key: str = "do
     through = common.stored(through)
     shared = common.stored(classes.join(through, "minimizer").where("classes > 1 or low < high"))
     met = runs.join(shared, ["minimizer", "whole", "check"]).where("key > low or classes > 1")
-    marks = met.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", F.col("windows").cast("int").alias("windows"), "minimizer", (F.col("key") == F.col("low")).alias("open"))).alias("marks"))
+    marks = met.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("starts", F.col("windows").cast("int").alias("windows"), "minimizer", (F.col("key") == F.col("low")).alias("open"))).alias("marks"))
     named, plain = rows.where("key is not null"), rows.where("key is null")  # without a key they would all meet in one task
     joined = named.join(marks.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "text", "marks", "more")
     joined = joined.union(plain.select("key", "text", F.lit(None).cast(joined.schema["marks"].dataType), "more"))
-    some = common.stored(common.arrow_map(joined, _settle(length), f"key long, {_SETTLED}, gone array<struct<start int, windows int>>, edges array<struct<minimizer long, edge long, check long, start int>>, more {kind}"))
+    some = common.stored(common.arrow_map(joined, _settle(length), f"key long, {_SETTLED}, gone array<struct<starts array<int>, windows int>>, edges array<struct<minimizer long, edge long, check long, starts array<int>>>, more {kind}"))
     edges = some.where("edges is not null").select("key", F.explode("edges").alias("e")).select("key", "e.*")
     common.discard(every, twice, runs, classes, through, shared)
     earliest = common.stored(edges.groupBy("minimizer", "edge", "check").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").drop("high"))
-    later = edges.join(earliest, ["minimizer", "edge", "check"]).where("key > low").groupBy(F.col("key").alias("_key")).agg(F.collect_list("start").alias("starts"))
+    later = edges.join(earliest, ["minimizer", "edge", "check"]).where("key > low").groupBy(F.col("key").alias("_key")).agg(F.flatten(F.collect_list("starts")).alias("starts"))
     pending = some.where("edges is not null").join(later.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "kept", "gone", "starts", "more")
     closed = common.arrow_map(pending, _close(length), f"key long, {_SETTLED}, more {kind}")
     out = some.where("edges is null").select("key", "n_words", "n_removed", "kept", "more").union(closed)

@@ -60,3 +60,21 @@ def test_repeated_rows_null_keys_and_empty_tables(spark):
     got = spans.remove_repeated(spark.createDataFrame([(2, text), (2, text), (None, text), (9, text)], schema)).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (2, 0), (2, 0), (9, 60)]
     assert spans.remove_repeated(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_a_line_repeated_within_documents_is_one_row_a_path(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    line = rng.sample(words, 7)
+    texts = [" ".join(rng.choices(words, k=rng.randrange(70)) + line * rng.randrange(8, 60) + rng.choices(words, k=rng.randrange(70)) + line[:4] * rng.randrange(30)) for _ in range(40)]
+    rows = [(i * 7 % 41, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    paths = spans.paths(df.withColumnRenamed("doc_id", "key"), 50, 10).collect()
+    assert len({(r.key, r.whole, r.check) for r in paths}) == len(paths)
+    for key, text in rows:
+        own = [r for r in paths if r.key == key]
+        assert sorted(s + n for r in own for s in r.starts for n in range(r.windows)) == list(range(len(text.split()) - 49))
+    assert sum(len(r.starts) for r in paths) > 2 * len(paths)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in spans.remove_repeated(df).collect()}
+    assert got == brute(rows, 50)
+    assert sum(g > 0 for _, g, _ in got.values()) > 30
