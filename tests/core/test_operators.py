@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import chat
 from granary.operators import gate, mixing, near, tokens, trees
+from granary.plans.durable import stored
 
 NODE = "raw string"
 
@@ -55,6 +56,46 @@ def test_large_groups_are_decided_by_their_first(spark):
     assert sorted(r.doc_id for r in near.near_duplicates(frame).collect()) == greedy(rows)
 
 
+def test_similar_sets_share_a_signature(spark):
+    rng = random.Random(3)
+    for more_than in (0.9, 0.5):
+        rows, i = [], 0
+        for _ in range(150):
+            own = {rng.randrange(-(2**63), 2**63) for _ in range(rng.choice([1, 3, 10, 40, 300]))}
+            gone = rng.randrange(int(len(own) * (1 - more_than) / 2) + 1)
+            other = set(sorted(own)[gone:]) | {rng.randrange(-(2**63), 2**63) for _ in range(gone)}
+            rows += [(i, sorted(own)), (i + 1, sorted(other))]
+            i += 2
+        sets = dict(rows)
+        made = spark.createDataFrame([*rows, (i, [])], "id long, s array<long>").repartition(3).select("id", near.signatures(F.col("s"), more_than).alias("g"))
+        got = {r.id: r.g for r in made.collect()}
+        alike = [k for k in range(0, i, 2) if len(set(sets[k]) & set(sets[k + 1])) / len(set(sets[k]) | set(sets[k + 1])) > more_than]
+        assert len(alike) > 100 and all(set(got[k]) & set(got[k + 1]) for k in alike) and got[i] == []
+        if more_than == 0.9:
+            assert sum(map(len, got.values())) < 0.3 * sum(len(s) for s in sets.values())
+
+
+def test_shuffles_of_near_duplicates_are_a_small_part_of_the_shingles(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(10_000)}" for _ in range(400))) for i in range(60)]
+    rows += [(100 + i, t + " end") for i, t in rows[:10]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = []
+
+    def counted(df, *args):
+        out = stored(df, *args)
+        if "e" in df.columns or "g" in df.columns:
+            dealt.append(out.select(F.sum(F.size("g"))).first()[0] if "g" in df.columns else out.count())
+        return out
+
+    monkeypatch.setattr(near, "stored", counted)
+    assert sorted(r.doc_id for r in near.near_duplicates(frame).collect()) == greedy(rows)
+    assert len(dealt) >= 3 and max(dealt) < 0.3 * 70 * 398  # signatures; all elements were dealt before
+    crowd = spark.createDataFrame(rows[:20] + [(100 + i, " ".join(f"w{k}" for k in range(300)) + f" x{i}") for i in range(60)], "doc_id long, text string")
+    want = greedy([(r.doc_id, r.text) for r in crowd.collect()])
+    assert sorted(r.doc_id for r in near.near_duplicates(crowd, crowded=1).collect()) == want and len(want) == 21
+
+
 def test_similarity_must_exceed_and_chains_keep_their_third(spark):
     words = [f"w{i}" for i in range(21)]
     ten = spark.createDataFrame([(1, " ".join(words[:21])), (2, " ".join(words[:19] + ["x"] * 0))], "doc_id long, text string")  # 19 and 17 shingles: 17 / 19 < 0.9
