@@ -16,7 +16,7 @@ from granary.functions import chat
 from granary.functions import text as T
 from granary.operators import gate, mixing, near, tokens, trees
 from granary.plans import corpus
-from granary.plans.durable import shared_dir, stored
+from granary.plans.durable import SMALL, shared_dir, stored
 from granary.sources import readers, writers
 from granary.sources.chats import tool_messages, until_quota
 
@@ -497,11 +497,11 @@ def tree_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def char_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the ids pass a generator, so that each array function reads them instead of making them again
     ids = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.explode(F.array(tokens.char_ids(F.col("text")))).alias("t"))
-    return ids.select("doc_id", F.size("t").cast("long").alias("n"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("t")[0].alias("first"))
+    return stored(ids.select("doc_id", F.size("t").cast("long").alias("n"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("t")[0].alias("first")), at_once=SMALL)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = stored(table(spark, sf_dir, "documents").where("length(text) > 100").select("doc_id", tokens.char_ids(F.col("text")).alias("ids")))
+    docs = stored(table(spark, sf_dir, "documents").where("length(text) > 100").select("doc_id", tokens.char_ids(F.col("text")).alias("ids")), at_once=SMALL)
     return tokens.offsets(docs, "doc_id", F.size("ids"))
 
 
@@ -550,7 +550,7 @@ select conv_id, target, len(x) - 1 as n, list_sum(x[1:512])::bigint as input_sum
 def sft_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = T.once(tokens.with_training_example(_framed(spark, sf_dir), "p", "a", 512), "x", input_ids=F.col("input_ids"), labels=F.col("labels"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return made.select("conv_id", F.col("target").cast("long").alias("target"), F.size("x.input_ids").cast("long").alias("n"), total("x.input_ids").alias("input_sum"), total("x.labels").alias("label_sum"))
+    return stored(made.select("conv_id", F.col("target").cast("long").alias("target"), F.size("x.input_ids").cast("long").alias("n"), total("x.input_ids").alias("input_sum"), total("x.labels").alias("label_sum")), at_once=SMALL)
 
 
 @query(
@@ -559,7 +559,7 @@ select conv_id, target, len(h) as prompt_len, list_sum(c)::bigint as chosen_sum,
 )
 def dpo_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each answer against itself backwards."""
-    made = stored(stored(_framed(spark, sf_dir)).select("conv_id", "target", tokens.preference_example(F.col("p"), F.col("a"), F.reverse("a"), 512).alias("x")))
+    made = stored(stored(_framed(spark, sf_dir), at_once=SMALL).select("conv_id", "target", tokens.preference_example(F.col("p"), F.col("a"), F.reverse("a"), 512).alias("x")))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     weighted = F.transform("x.rejected_ids", lambda t, i: t.cast("long") * (i + 1))
     return made.select("conv_id", F.col("target").cast("long").alias("target"), F.col("x.prompt_len").cast("long").alias("prompt_len"), total("x.input_ids").alias("chosen_sum"), total(weighted).alias("rejected_sum"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from granary.functions import text as T
-from granary.plans.durable import discard, stored
+from granary.plans.durable import SMALL, discard, stored
 
 #: Elements that are signed at once.
 _SLICE = 500_000
@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     `crowded` pairs a row, these meet through their rare shingles instead.
     """
     given = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    base = stored(_shingled(given, size).select("id", F.size("s.s").alias("n"), F.xxhash64("s.s").alias("h"), signatures(F.col("s.s"), more_than).alias("g")))
+    base = stored(_shingled(given, size).select("id", F.size("s.s").alias("n"), F.xxhash64("s.s").alias("h"), signatures(F.col("s.s"), more_than).alias("g")), at_once=SMALL)
     classes = stored(base.where("n > 0").groupBy("h", "n").agg(F.min_by("g", "id").alias("g"), F.min("id").alias("id")).select("id", "n", "g"))
     signs = classes.select("id", "n", F.explode("g").alias("e"))
     met = stored(signs.join(signs.groupBy("e").count().where("count > 1"), "e", "left_semi").select("id", "n", "e"))
@@ -172,5 +172,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
 
 def filter_and_dedup(docs: DataFrame, rules: T.FilterRules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that pass the text filter and are no near-duplicates of an earlier one that passes: key, quality, language."""
-    passed = stored(T.with_verdict(docs.select(key, text), rules, text).withColumnRenamed("verdict", "v").where("v.passed"))
+    passed = stored(T.with_verdict(docs.select(key, text), rules, text).withColumnRenamed("verdict", "v").where("v.passed"), at_once=SMALL)
     return passed.join(near_duplicates(passed, key, text), key, "left_semi").select(key, F.col("v.quality").alias("quality"), F.col("v.reason").alias("language"))

@@ -11,25 +11,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from granary.functions.text import once
-from granary.plans.durable import stored
+from granary.plans.durable import SMALL, stored
 
 IGNORE = -100
+#: Code points that are encoded at once.
+_SLICE = 500_000
 
 
 def char_ids(text: Column, end: int | None = 2, vocabulary: int = 48_000) -> Column:
     """Code points modulo the vocabulary, and the end id: the encoder where there is no tokenizer. Null texts stay null."""
 
-    @F.arrow_udf(ArrayType(IntegerType()))
-    def encode(texts: pa.Array) -> pa.Array:
-        own = [(x or b"").decode(errors="replace") for x in texts.cast(pa.binary() if texts.type == pa.string() else pa.large_binary()).to_pylist()]
-        tail = [] if end is None else [end]
-        sizes = np.array([len(t) for t in own], np.int64)
-        ends = np.cumsum(sizes + len(tail))
-        flat = np.full(int(ends[-1]) if len(ends) else 0, end or 0, np.int32)
+    def coded(texts: list[str], tail: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(t) + tail for t in texts], np.int64)
+        flat = np.full(int(sizes.sum()), end or 0, np.int32)
         place = np.ones(len(flat), bool)
         if tail:
-            place[ends - 1] = False
-        flat[place] = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32) % vocabulary
+            place[np.cumsum(sizes) - 1] = False
+        flat[place] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % np.uint32(vocabulary)
+        return flat, sizes
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def encode(texts: pa.Array) -> pa.Array:
+        raw = texts.cast(pa.binary() if texts.type == pa.string() else pa.large_binary())
+        done, own, total = [], [], 0
+        for i in range(len(raw)):
+            own.append((raw[i].as_py() or b"").decode(errors="replace"))
+            total += len(own[-1])
+            if total >= _SLICE or i + 1 == len(raw):
+                done.append(coded(own, int(end is not None)))
+                own, total = [], 0
+        flat = np.concatenate([x for x, _ in done]) if done else np.zeros(0, np.int32)
+        ends = np.cumsum(np.concatenate([n for _, n in done])) if done else np.zeros(0, np.int64)
         return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat), mask=pa.array(~np.array(texts.is_valid().to_pylist(), bool)))
 
     return encode(text)
@@ -116,7 +128,7 @@ def offsets(df: DataFrame, order: str, length: Column) -> DataFrame:
             before = int(ends[-1]) if len(ends) else before
 
     slim = df.select(F.col(order).alias("_order"), F.coalesce(length.cast("long"), F.lit(0)).alias("_length")).orderBy("_order")
-    summed = stored(slim.mapInArrow(work, f"_order {kind}, _in long, _end long, _part int"))
+    summed = stored(slim.mapInArrow(work, f"_order {kind}, _in long, _end long, _part int"), at_once=SMALL)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     base = summed.groupBy("_part").agg(F.max("_end").alias("n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
     starts = summed.join(F.broadcast(base), F.col("_part") == F.col("_p")).select("_order", (F.col("_base") + F.col("_in")).alias("start"))

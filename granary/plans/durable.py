@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Lets Spark delete the shuffle files of a statement once it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of rows that a Python worker gets at once (64 MB by default), and a limit that keeps a worker small.
+_AT_ONCE, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,20 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def _set(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage is cut, and lost executors cost no recomputation."""
+def stored(df: DataFrame, partition_by: list[str] | None = None, at_once: int | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read again: lineage is cut, and lost executors cost no recomputation. at_once: bytes of rows that a Python worker gets at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
-    with _cleaned(spark):
+    with _set(spark, {_CLEANUP: "true"} | ({_AT_ONCE: str(at_once)} if at_once else {})):
         df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from granary import catalogue
 from granary.functions import chat
 from granary.operators import gate, mixing, near, tokens, trees
 from granary.plans.durable import stored
@@ -107,7 +109,6 @@ def test_similarity_must_exceed_and_chains_keep_their_third(spark):
 
 # mixing
 
-
 def test_allocation_and_config():
     s = lambda *w: [mixing.Source(f"s{i}", x) for i, x in enumerate(w)]
     assert mixing.allocate(10, s(1, 1, 1)) == {"s0": 4, "s1": 3, "s2": 3}
@@ -276,6 +277,30 @@ def test_preference_examples(spark):
     assert got.prompt_len == 10 and got.input_ids == list(range(1, 11)) + [100] * 9 + [0] * 11 and got.rejected_ids == list(range(1, 11)) + [200] * 20
 
 
+def test_a_worker_gets_few_texts_at_once(spark, monkeypatch, tmp_path):
+    spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 10_000).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+
+    @F.arrow_udf("array<int>")
+    def bounded(texts: pa.Array) -> pa.Array:
+        if texts.nbytes > 5_000_000:
+            raise ValueError("too much at once")
+        return pa.array([[1, 2]] * len(texts), pa.list_(pa.int32()))
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(catalogue.tokens, "char_ids", lambda text, *args: bounded(text))
+    for name, n in (("token_offsets", 1500), ("char_tokens", 1500), ("token_shards", 1)):
+        assert catalogue.queries()[name](spark, str(tmp_path)).count() == n
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_texts_are_encoded_alike_in_any_slices(spark):
+    texts = ["ab", None, "", "x" * 600_000, "\U0001f600я", "y" * 500_000, "z"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for end in (2, None):
+        got = {r.i: r.x for r in frame.select("i", tokens.char_ids(F.col("t"), end).alias("x")).collect()}
+        assert got == {i: None if t is None else [ord(c) % 48_000 for c in t] + [end] * (end is not None) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize(("n", "length"), [(1000, 16), (5, 16), (34, 16), (0, 16), (171, 10)])
 def test_windows_over_a_stream(spark, n, length, tmp_path):
     rng, rows, at = random.Random(n), [], 0
